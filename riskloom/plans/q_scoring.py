@@ -1 +1,113 @@
-"""Registered queries."""
+"""Queries over the scored transactions: rules, hybrid score, explanations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskloom.operators import rules as RU
+from riskloom.operators import scoring as SC
+from riskloom.operators.ledger import window_stats
+from riskloom.plans import inputs
+from riskloom.plans.catalog import register
+from riskloom.plans.sql import RULES, base
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@register("rule_score", base("SELECT txn_id, round(rule_score, 4) AS rule_score FROM scored"))
+def rule_score(spark, sf_dir):
+    f = inputs.features(spark, sf_dir)
+    return f.select("txn_id", F.round(RU.rule_score_col(), 4).alias("rule_score"))
+
+
+@register("rule_hits", base(" UNION ALL ".join(
+    f"SELECT '{rid}' AS rule_id, count(*) FILTER (WHERE {cond}) AS hits FROM feat" for rid, cond, _, _ in RULES)))
+def rule_hits(spark, sf_dir):
+    return RU.rule_hits(inputs.features(spark, sf_dir))
+
+
+@register("rule_label_matrix", base(" UNION ALL ".join(
+    f"SELECT '{rid}' AS rule_id, fraud_label, count(*) FILTER (WHERE {cond}) AS n FROM scored GROUP BY fraud_label"
+    for rid, cond, _, _ in RULES)))
+def rule_label_matrix(spark, sf_dir):
+    s = inputs.scored(spark, sf_dir)
+    rules = RU.default_rules()
+    per_label = s.groupBy("fraud_label").agg(*[F.count_if(F.coalesce(r.condition, F.lit(False))).alias(r.rule_id)
+                                               for r in rules])
+    stack = ", ".join(f"'{r.rule_id}', `{r.rule_id}`" for r in rules)
+    return per_label.selectExpr("fraud_label", f"stack({len(rules)}, {stack}) AS (rule_id, n)")
+
+
+HYBRID_COLS = ["txn_id", "ml_probability", "anomaly_score", "rule_score", "fraud_probability", "risk_score",
+               "fraud_label"]
+
+
+@register("hybrid_score", base("""SELECT txn_id, ml_probability, round(anomaly_score, 4) AS anomaly_score,
+    round(rule_score, 4) AS rule_score, fraud_probability, risk_score, fraud_label FROM scored"""))
+def hybrid_score(spark, sf_dir):
+    s = inputs.scored(spark, sf_dir)
+    return s.select("txn_id", "ml_probability", F.round("anomaly_score", 4).alias("anomaly_score"),
+                    F.round("rule_score", 4).alias("rule_score"), "fraud_probability", "risk_score", "fraud_label")
+
+
+@register("explain_reasons", base("SELECT txn_id, array_to_string(reasons, ' | ') AS reasons_text FROM scored"))
+def explain_reasons(spark, sf_dir):
+    return inputs.scored(spark, sf_dir).select("txn_id", F.array_join("reasons", " | ").alias("reasons_text"))
+
+
+def _sql_template(t: str) -> str:
+    pre, rest = t.split("{score}")
+    parts = [_q(pre), "CAST(risk_score AS VARCHAR)"]
+    if "{reasons}" in rest:
+        mid, post = rest.split("{reasons}")
+        parts += [_q(mid), "array_to_string(list_transform(reasons, lambda x: '- ' || x), chr(10))", _q(post)]
+    else:
+        parts.append(_q(rest))
+    return " || ".join(parts)
+
+
+_EXPLAIN_SQL = (f"CASE fraud_label WHEN 'FRAUD' THEN {_sql_template(SC.EXPLAIN_FRAUD)} "
+                f"WHEN 'SUSPICIOUS' THEN {_sql_template(SC.EXPLAIN_SUSPICIOUS)} "
+                f"ELSE {_sql_template(SC.EXPLAIN_SAFE)} END")
+_FOLLOW_SQL = (f"CASE fraud_label WHEN 'FRAUD' THEN {_q(SC.FOLLOW_UPS['FRAUD'])} "
+               f"WHEN 'SUSPICIOUS' THEN {_q(SC.FOLLOW_UPS['SUSPICIOUS'])} ELSE {_q(SC.FOLLOW_UPS['SAFE'])} END")
+_ACTION_SQL = (f"CASE fraud_label WHEN 'FRAUD' THEN {_q(SC.ACTIONS['FRAUD'])} "
+               f"WHEN 'SUSPICIOUS' THEN {_q(SC.ACTIONS['SUSPICIOUS'])} ELSE {_q(SC.ACTIONS['SAFE'])} END")
+
+
+@register("explain_text", base(
+    f"SELECT txn_id, fraud_label, {_EXPLAIN_SQL} AS explanation, {_FOLLOW_SQL} AS follow_up FROM scored"))
+def explain_text(spark, sf_dir):
+    s = inputs.scored(spark, sf_dir)
+    return s.select("txn_id", "fraud_label", SC.explain_text("fraud_label", "risk_score", "reasons").alias("explanation"),
+                    SC.follow_up("fraud_label").alias("follow_up"))
+
+
+@register("score_breakdown", base("""SELECT txn_id, round(ml_probability * 50, 4) AS ml_points,
+    round(anomaly_score * 20, 4) AS anomaly_points, round(rule_score * 30, 4) AS rule_points FROM scored"""))
+def score_breakdown(spark, sf_dir):
+    s = inputs.scored(spark, sf_dir)
+    pts = SC.breakdown("ml_probability", "anomaly_score", "rule_score")
+    return s.select("txn_id", *[F.round(c, 4).alias(n) for n, c in pts.items()])
+
+
+@register("risk_band", base(f"""SELECT txn_id, risk_score,
+    CASE WHEN risk_score >= 60 THEN 'danger' WHEN risk_score >= 30 THEN 'warning' ELSE 'safe' END AS band,
+    least(risk_score, CAST(100 AS DOUBLE)) AS bar_width, {_ACTION_SQL} AS action FROM scored"""))
+def risk_band(spark, sf_dir):
+    s = inputs.scored(spark, sf_dir)
+    return s.select("txn_id", "risk_score", SC.risk_band("risk_score").alias("band"),
+                    SC.bar_width("risk_score").alias("bar_width"), SC.action("fraud_label").alias("action"))
+
+
+@register("stats_hourly", base("""SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') AS window_start,
+    count(*) AS total_transactions,
+    count(*) FILTER (WHERE fraud_status = 'FRAUD') AS fraud_detected,
+    count(*) FILTER (WHERE fraud_status = 'SUSPICIOUS') AS suspicious,
+    count(*) FILTER (WHERE fraud_status = 'SAFE') AS safe_transactions,
+    round(avg(CAST(coalesce(risk_score, 0) AS DECIMAL(20,4))), 4) AS avg_risk_score
+FROM log GROUP BY 1"""))
+def stats_hourly(spark, sf_dir):
+    return window_stats(inputs.scored_log(spark, sf_dir), "1 hour")
