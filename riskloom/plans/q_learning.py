@@ -1 +1,74 @@
-"""Registered queries."""
+"""Model training and scoring queries (rows-only checks: model outputs have no
+SQL statement).  Training data: the adapter's feature table with the fixture
+label; split, scaled and oversampled as in ``operators.models``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskloom.functions.scalars import display_name
+from riskloom.operators import models as M
+from riskloom.operators.anomaly import fit_iforest, score_iforest
+from riskloom.operators.scoring import anomaly_score
+from riskloom.plans import inputs
+from riskloom.plans.catalog import register
+from riskloom.schemas import FEATURE_COLUMNS
+
+SEED = 42
+
+
+def _prepared(spark, sf_dir, oversample=True):
+    frame = M.training_frame(inputs.features(spark, sf_dir))
+    return M.prepare(frame, seed=SEED, oversample=oversample)
+
+
+def _scores(pred):
+    return pred.select("txn_id", "label", F.round("probability", 6).alias("probability"), "prediction")
+
+
+@register("lr_scores")
+def lr_scores(spark, sf_dir):
+    train, test, _ = _prepared(spark, sf_dir)
+    return _scores(M.predict(M.fit_lr(train), test))
+
+
+@register("rf_scores")
+def rf_scores(spark, sf_dir):
+    train, test, _ = _prepared(spark, sf_dir)
+    return _scores(M.predict(M.fit_rf(train), test))
+
+
+@register("svm_scores")
+def svm_scores(spark, sf_dir):
+    train, test, _ = _prepared(spark, sf_dir)
+    return _scores(M.RffSvm(seed=SEED).fit(train).predict(test))
+
+
+@register("iforest_scores")
+def iforest_scores(spark, sf_dir):
+    train, test, _ = _prepared(spark, sf_dir, oversample=False)
+    model = fit_iforest(train, FEATURE_COLUMNS, seed=SEED)
+    s = score_iforest(spark, test, model)
+    return s.select("txn_id", F.round("iforest_score", 6).alias("iforest_score"),
+                    F.round("decision", 6).alias("decision"), "is_anomaly",
+                    F.round(anomaly_score("decision"), 6).alias("anomaly_score"))
+
+
+def _importance_df(spark, sf_dir):
+    train, _, _ = _prepared(spark, sf_dir)
+    ranked = M.importance(M.fit_rf(train))
+    rows = [(i + 1, c, v) for i, (c, v) in enumerate(ranked)]
+    return spark.createDataFrame(rows, "rank int, feature string, importance double")
+
+
+@register("feature_importance")
+def feature_importance(spark, sf_dir):
+    return _importance_df(spark, sf_dir)
+
+
+@register("top_features")
+def top_features(spark, sf_dir, n: int = 8):
+    top = _importance_df(spark, sf_dir).filter(F.col("rank") <= n)
+    mx = top.agg(F.max("importance")).first()[0] or 1.0
+    return top.select("rank", "feature", display_name("feature").alias("display_name"), "importance",
+                      F.round(F.lit(0.4) + F.col("importance") / F.lit(mx) * 0.6, 4).alias("weight"))
