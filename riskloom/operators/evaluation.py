@@ -53,8 +53,10 @@ def roc_auc(scores: DataFrame, by: list[str] | None = None, ranges: int = 256) -
     by approximate quantiles; each range computes its local negative prefix and
     adds the negatives of all lower ranges from a small totals table."""
     by = by or []
-    d = scores.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"),
-                                         F.count_if(F.col("label") != 1).alias("neg"))
+    from riskloom.session import cut_lineage
+
+    d = cut_lineage(scores.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"),
+                                                     F.count_if(F.col("label") != 1).alias("neg")))
     probs = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set(b for b in d.approxQuantile("score", probs, 0.001) if b is not None)) if ranges > 1 else []
     d = d.withColumn("_r", _range_of(F.col("score"), bounds))

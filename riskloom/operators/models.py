@@ -36,7 +36,7 @@ def prepare(frame: DataFrame, *, test_fraction: float = 0.2, ratio: float = 0.5,
             id_col: str = "txn_id", oversample: bool = True):
     """Returns (train, test, scaler stats).  ``train`` carries a ``weight`` column
     (balanced weights n / (2 n_c) after oversampling)."""
-    split = SA.stratified_split(frame, label="label", key=id_col, test_fraction=test_fraction, seed=seed)
+    split = cut_lineage(SA.stratified_split(frame, label="label", key=id_col, test_fraction=test_fraction, seed=seed))
     train = split.filter(F.col("is_test") == 0).drop("is_test", "class_rank")
     test = split.filter(F.col("is_test") == 1).drop("is_test", "class_rank")
     stats = fit_scaler(train, FEATURE_COLUMNS)

@@ -22,6 +22,8 @@ approximate ``lsh_candidates`` path is available for that regime.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,8 @@ def _pivot_dists(vec: Column, pivots: Column) -> Column:
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "features",
-        exclude_self: bool = True, n_pivots: int | None = None, rings: int = 8, seed: int = 42) -> DataFrame:
+        exclude_self: bool = True, n_pivots: int | None = None, rings: int = 8, seed: int = 42,
+        block: int = 20000) -> DataFrame:
     """Exact kNN: (``id_col``, neighbour_id, dist, nn_rank 1..k) for each query row."""
     n_pivots = n_pivots or max(2 * k, 16)
     refv = ref.select(F.col(id_col).alias("_pid"), as_double_vector(vec_col).alias("_pv"))
@@ -58,7 +61,8 @@ def knn(query: DataFrame, ref: DataFrame, k: int, *, id_col: str = "vec_id", vec
     pivot_ids = F.lit(piv_ids)
     usable = len(piv_ids) - (1 if exclude_self else 0)
 
-    refd = refv.withColumn("_pd", _pivot_dists(F.col("_pv"), pivots))
+    # materialised so pivot distances are computed once per row, never re-derived per candidate pair
+    refd = cut_lineage(refv.withColumn("_pd", _pivot_dists(F.col("_pv"), pivots)))
     refd = refd.withColumns({"_dc": F.array_min("_pd")})
     refd = refd.withColumn("_cell", (F.array_position("_pd", F.col("_dc")) - 1).cast("int"))
     radius = {r["_cell"]: r["_rad"] for r in refd.groupBy("_cell").agg(F.max("_dc").alias("_rad")).collect()}
@@ -74,7 +78,7 @@ def knn(query: DataFrame, ref: DataFrame, k: int, *, id_col: str = "vec_id", vec
         bound = F.element_at(F.array_sort(masked), k) * F.lit(1 + _SLACK) + F.lit(_SLACK)
     else:  # fewer reference rows than k + 1: every row is a candidate
         bound = F.lit(float("inf"))
-    q = q.withColumn("_r", bound)
+    q = cut_lineage(q.withColumn("_r", bound))
 
     def range_for(c):
         dq = F.element_at(F.col("_qd"), c + 1)
@@ -84,27 +88,70 @@ def knn(query: DataFrame, ref: DataFrame, k: int, *, id_col: str = "vec_id", vec
         ok = (rc >= 0) & (dq - rc <= F.col("_r")) & (lo <= hi)
         return F.when(ok, F.struct(c.cast("int").alias("cell"), lo.alias("lo"), hi.alias("hi")))
 
-    # one row per (query, reachable cell) with the ring range it can reach there;
-    # vectors are attached only after the cheap pivot-distance test
+    # one row per (query, reachable cell) with the ring range it can reach there
     cells = F.sequence(F.lit(0), F.lit(len(piv_ids) - 1))
-    exp = q.select("_qid", "_qd", "_r", F.explode(F.filter(F.transform(cells, range_for), lambda x: x.isNotNull()))
-                   .alias("_k"))
-    exp = exp.select("_qid", "_qd", "_r", F.col("_k.cell").alias("_cell"), F.col("_k.lo").alias("_lo"),
+    exp = q.select("_qid", "_qv", "_qd", "_r",
+                   F.explode(F.filter(F.transform(cells, range_for), lambda x: x.isNotNull())).alias("_k"))
+    exp = exp.select("_qid", "_qv", "_qd", "_r", F.col("_k.cell").alias("_cell"), F.col("_k.lo").alias("_lo"),
                      F.col("_k.hi").alias("_hi"))
-    cond = ((exp["_cell"] == refd["_cell"]) & (refd["_ring"] >= exp["_lo"]) & (refd["_ring"] <= exp["_hi"]))
-    pairs = exp.join(refd.select("_cell", "_ring", "_pid", "_pd"), cond)
-    if exclude_self:
-        pairs = pairs.filter(F.col("_qid") != F.col("_pid"))
-    lb = F.array_max(F.zip_with("_qd", "_pd", lambda a, b: F.abs(a - b)))
-    pairs = pairs.filter(lb <= F.col("_r")).select("_qid", "_pid", "_r")
-    pairs = (pairs.join(q.select("_qid", "_qv"), "_qid").join(refd.select("_pid", "_pv"), "_pid")
-             .withColumn("dist", euclid(F.col("_qv"), F.col("_pv"))).filter(F.col("dist") <= F.col("_r")))
+    # queries of one cell are cut into blocks of at most ``block`` rows; the cell's
+    # reference rows are sent to each block of that cell, so no group is unbounded
+    n_q = q.count()
+    blocks = max(1, -(-n_q // block))
+    exp = exp.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(blocks)).cast("int"))
+    refx = refd.select("_cell", "_ring", "_pid", "_pv", "_pd").withColumn(
+        "_qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    kernel = _block_kernel(k, exclude_self)
+    cand = (exp.groupBy("_cell", "_qb").cogroup(refx.groupBy("_cell", "_qb"))
+            .applyInPandas(kernel, "_qid long, _pid long, dist double"))
     w = Window.partitionBy("_qid").orderBy("dist", "_pid")
-    top = pairs.select("_qid", "_pid", "dist").withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
+    top = cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
     return top.select(F.col("_qid").alias(id_col), F.col("_pid").alias("neighbour_id"), "dist",
                       F.col("nn_rank").cast("int"))
 
 
+def _block_kernel(k: int, exclude_self: bool):
+    """Per (cell, query block): ring and pivot lower-bound tests, exact
+    distances with numpy, and at most k candidates per query."""
+
+    def run(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
+        if qs.empty or rs.empty:
+            return pd.DataFrame({"_qid": [], "_pid": [], "dist": []})
+        rv = np.stack(rs["_pv"].to_numpy())
+        rd = np.stack(rs["_pd"].to_numpy())
+        rring = rs["_ring"].to_numpy()
+        rid = rs["_pid"].to_numpy()
+        out_q, out_p, out_d = [], [], []
+        for qid, qv, qd, r, lo, hi in zip(qs["_qid"], qs["_qv"], qs["_qd"], qs["_r"], qs["_lo"], qs["_hi"]):
+            m = (rring >= lo) & (rring <= hi)
+            if exclude_self:
+                m &= rid != qid
+            idx = np.flatnonzero(m)
+            if idx.size == 0:
+                continue
+            idx = idx[np.max(np.abs(rd[idx] - np.asarray(qd)), axis=1) <= r]
+            if idx.size == 0:
+                continue
+            diff = rv[idx] - np.asarray(qv)
+            d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+            keep = d <= r
+            idx, d = idx[keep], d[keep]
+            if idx.size > k:
+                # k smallest by (dist, id); ties at the cut are all kept for the final ranking
+                cut = np.partition(d, k - 1)[k - 1]
+                sel = d <= cut
+                idx, d = idx[sel], d[sel]
+            out_q.append(np.full(idx.size, qid))
+            out_p.append(rid[idx])
+            out_d.append(d)
+        if not out_q:
+            return pd.DataFrame({"_qid": [], "_pid": [], "dist": []})
+        return pd.DataFrame({"_qid": np.concatenate(out_q), "_pid": np.concatenate(out_p),
+                             "dist": np.concatenate(out_d)})
+
+    return run
+
+
 def lof(points: DataFrame, k: int = 20, *, id_col: str = "vec_id", vec_col: str = "features",
         query: DataFrame | None = None) -> DataFrame:
     """ML10: local outlier factor (Breunig et al. 2000) as joins and aggregates.

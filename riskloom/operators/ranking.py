@@ -58,8 +58,11 @@ def exact_quantile(df: DataFrame, col: str, q: float, ranges: int = 64, rel_err:
     rows in one task: distinct values with counts (partial aggregation), range
     totals, then a window over the one or two ranges that hold the target ranks.
     Ranges that are still large are split again."""
+    from riskloom.session import cut_lineage
+
     vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    # distinct values with counts, materialised once: every later pass reads this
+    counts = cut_lineage(vals.groupBy("v").agg(F.count(F.lit(1)).alias("c")))
     n = counts.agg(F.sum("c")).first()[0]
     if not n:
         return None
@@ -72,8 +75,7 @@ def exact_quantile(df: DataFrame, col: str, q: float, ranges: int = 64, rel_err:
     scope, offset = counts, 0
     for _ in range(8):
         probs = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(x for x in vals.join(scope.select("v"), "v", "left_semi")
-                            .approxQuantile("v", probs, rel_err) if x is not None))
+        bounds = sorted(set(x for x in scope.approxQuantile("v", probs, rel_err) if x is not None))
         tagged = scope.withColumn("_r", _range_of(F.col("v"), bounds))
         tot = sorted((r["_r"], r["n"], r["d"]) for r in
                      tagged.groupBy("_r").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect())
