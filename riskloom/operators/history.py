@@ -64,20 +64,19 @@ def history_features(
 
     narrow = txn.select(
         "account", "txn_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
-        "amount", F.struct(F.col("device_type_encoded").alias("device"),
+        "amount", F.struct(F.col("device_type_encoded").alias("dev"),
                            F.col("latitude").alias("lat"), F.col("longitude").alias("lng")).alias("pos"),
     )
-    data = narrow.withColumns({"kind": F.lit(1), "win": F.lit(-1)})
-    parts = [data]
+    # one scan: every row yields itself (kind 1) and one probe per velocity window (kind 0)
+    legs = [F.struct(F.lit(1).alias("kind"), F.lit(-1).alias("win"), F.col("t_us").alias("t"))]
     for i, name in enumerate(names):
         shift = _interval_us(velocity[name]) + 1  # ts < t - L  <=>  ts <= t - L - 1us
-        parts.append(narrow.select(
-            "account", "txn_id", (F.col("t_us") - F.lit(shift)).alias("t_us"),
-            F.lit(None).cast("double").alias("amount"), F.lit(None).cast(narrow.schema["pos"].dataType).alias("pos"),
-            F.lit(0).alias("kind"), F.lit(i).alias("win")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+        legs.append(F.struct(F.lit(0).alias("kind"), F.lit(i).alias("win"), (F.col("t_us") - F.lit(shift)).alias("t")))
+    u = narrow.select("account", "txn_id", "amount", "pos", F.explode(F.array(*legs)).alias("_leg"))
+    u = u.select("account", "txn_id", F.col("_leg.t").alias("t_us"), F.col("_leg.kind").alias("kind"),
+                 F.col("_leg.win").alias("win"),
+                 F.when(F.col("_leg.kind") == 1, F.col("amount")).alias("amount"),
+                 F.when(F.col("_leg.kind") == 1, F.col("pos")).alias("pos"))
     u = u.withColumn("b", bucket_id(F.col("t_us"), bucket_us))
 
     is_data = F.col("kind") == 1
@@ -85,16 +84,23 @@ def history_features(
     upto = rows_w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = rows_w.rowsBetween(Window.unboundedPreceding, -1)
     peers = Window.partitionBy("account", "b").orderBy("t_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("account", "b")
+    prev = F.last(F.when(is_data, F.col("pos")), ignorenulls=True).over(before)
     local = u.withColumns({
         "rn_in": F.sum("kind").over(upto),
         "amt_in": F.sum(F.when(is_data, F.col("amount"))).over(before),
-        "prev_in": F.last(F.when(is_data, F.col("pos")), ignorenulls=True).over(before),
-    }).withColumn("le_in", F.sum("kind").over(peers))
+        "prev_in": prev,
+    }).withColumns({"le_in": F.sum("kind").over(peers), "n_in": F.sum("kind").over(whole)})
 
-    per_bucket = u.groupBy("account", "b").agg(
+    # bucket totals come from the window output, already partitioned by (account, b):
+    # primitive-typed aggregates, hash aggregation, no extra shuffle or scan
+    is_last = is_data & (F.col("rn_in") == F.col("n_in"))
+    per_bucket = local.groupBy("account", "b").agg(
         F.sum("kind").alias("cnt"),
         F.sum(F.when(is_data, F.col("amount"))).alias("amt"),
-        F.max_by("pos", F.when(is_data, F.struct("t_us", "txn_id"))).alias("last_pos"),
+        F.max(F.when(is_last, F.col("pos.dev"))).alias("last_dev"),
+        F.max(F.when(is_last, F.col("pos.lat"))).alias("last_lat"),
+        F.max(F.when(is_last, F.col("pos.lng"))).alias("last_lng"),
         F.min(F.when(is_data, F.col("t_us"))).alias("first_us"),
     )
     acct_w = Window.partitionBy("account").orderBy("b")
@@ -103,18 +109,20 @@ def history_features(
         "account", "b",
         F.coalesce(F.sum("cnt").over(acct_before), F.lit(0)).alias("cnt_before"),
         F.sum("amt").over(acct_before).alias("amt_before"),
-        F.last("last_pos", ignorenulls=True).over(acct_before).alias("last_before"),
+        *[F.last(c, ignorenulls=True).over(acct_before).alias(f"{c}_before") for c in ("last_dev", "last_lat", "last_lng")],
         F.min("first_us").over(Window.partitionBy("account")).alias("first_us_acct"),
     )
 
     joined = local.join(prefix, ["account", "b"], "inner")
     c_at = F.col("cnt_before") + F.col("le_in")
+    has_in = F.col("prev_in").isNotNull()
     per_txn = joined.groupBy("txn_id").agg(
         F.max(F.when(is_data, F.col("cnt_before") + F.col("rn_in"))).alias("transactions_per_user"),
         F.max(F.when(is_data, c_at)).alias("_c_now"),
         F.max(F.when(is_data, F.coalesce(F.col("amt_before"), F.lit(0.0))
                      + F.coalesce(F.col("amt_in"), F.lit(0.0)))).alias("_sum_before"),
-        F.max(F.when(is_data, F.coalesce("prev_in", "last_before"))).alias("_prev"),
+        *[F.max(F.when(is_data, F.when(has_in, F.col(f"prev_in.{f}")).otherwise(F.col(f"last_{f}_before"))))
+          .alias(f"_prev_{f}") for f in ("dev", "lat", "lng")],
         F.max(F.when(is_data, F.col("first_us_acct"))).alias("_first_us"),
         *[F.max(F.when(F.col("win") == i, c_at)).alias(f"_c_probe{i}") for i in range(len(names))],
     )
@@ -124,16 +132,16 @@ def history_features(
     avg = F.when(n_before > 0, F.col("_sum_before") / n_before).otherwise(F.col("amount") * F.lit(first_avg_factor))
     if avg_floor is not None:
         avg = F.greatest(avg, F.lit(float(avg_floor)))
-    has_prev = F.col("_prev").isNotNull()
-    prev_lat = F.coalesce(F.col("_prev.lat"), F.col("latitude"))
-    prev_lng = F.coalesce(F.col("_prev.lng"), F.col("longitude"))
+    has_prev = F.col("_prev_dev").isNotNull()
+    prev_lat = F.coalesce(F.col("_prev_lat"), F.col("latitude"))
+    prev_lng = F.coalesce(F.col("_prev_lng"), F.col("longitude"))
     dist = F.when(has_prev, haversine_km("latitude", "longitude", prev_lat, prev_lng)).otherwise(F.lit(0.0))
     first_ts = F.timestamp_micros(F.col("_first_us"))
     out = out.withColumns({
         **{name: (F.col("_c_now") - F.col(f"_c_probe{i}")).cast("int") for i, name in enumerate(names)},
         "transactions_per_user": F.col("transactions_per_user").cast("int"),
         "velocity_rows5": F.least(F.col("transactions_per_user"), F.lit(rows_window)).cast("int"),
-        "device_change_flag": F.when(has_prev & (F.col("_prev.device") != F.col("device_type_encoded")), 1)
+        "device_change_flag": F.when(has_prev & (F.col("_prev_dev") != F.col("device_type_encoded")), 1)
         .otherwise(0).cast("int"),
         "prev_latitude": prev_lat,
         "prev_longitude": prev_lng,
@@ -141,7 +149,8 @@ def history_features(
         "avg_transaction": avg,
         "account_age": F.datediff(F.to_date(F.col("ts").cast("timestamp")), F.to_date(first_ts)).cast("int"),
     }).withColumn("impossible_travel_flag", impossible_travel("geo_distance", travel_km))
-    return out.drop("_c_now", "_sum_before", "_prev", "_first_us", *[f"_c_probe{i}" for i in range(len(names))])
+    return out.drop("_c_now", "_sum_before", "_prev_dev", "_prev_lat", "_prev_lng", "_first_us",
+                    *[f"_c_probe{i}" for i in range(len(names))])
 
 
 def history_features_by_window(txn: DataFrame, *, velocity: dict[str, str] | None = None,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.features import engineer
+from riskloom.operators.features import scalar_features
+from riskloom.operators.history import history_features
+from riskloom.operators.validate import apply_defaults
 from riskloom.operators.scoring import score
 from riskloom.sources import adapter
 from riskloom.sources.tables import table
@@ -19,7 +21,10 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = engineer(transactions(spark, sf_dir), velocity=RULE_VELOCITY, profile="batch")
+    # history needs only event columns; the account dimension is joined once, afterwards
+    ev = adapter.event_columns(table(spark, sf_dir, "events"))
+    hist = history_features(ev, velocity=RULE_VELOCITY)
+    f = scalar_features(apply_defaults(adapter.with_balances(hist, table(spark, sf_dir, "customer"))), "batch")
     return f.withColumns({
         "ml_probability": adapter.fixture_ml(F.col("amount")),
         "anomaly_decision": adapter.fixture_decision(F.col("geo_distance")),

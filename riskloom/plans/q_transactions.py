@@ -164,7 +164,8 @@ def feat_type_code(spark, sf_dir):
 
 
 def _hist(spark, sf_dir, velocity=None):
-    return history_features(inputs.transactions(spark, sf_dir), velocity=velocity or inputs.RULE_VELOCITY)
+    ev = inputs.adapter.event_columns(table(spark, sf_dir, "events"))
+    return history_features(ev, velocity=velocity or inputs.RULE_VELOCITY)
 
 
 @register("feat_geo", base("""SELECT txn_id, round(prev_latitude, 6) AS prev_latitude,
