@@ -39,6 +39,13 @@ def prepare(frame: DataFrame, *, test_fraction: float = 0.2, ratio: float = 0.5,
     split = cut_lineage(SA.stratified_split(frame, label="label", key=id_col, test_fraction=test_fraction, seed=seed))
     train = split.filter(F.col("is_test") == 0).drop("is_test", "class_rank")
     test = split.filter(F.col("is_test") == 1).drop("is_test", "class_rank")
+    return fit_prepare(train, test, ratio=ratio, k=k, seed=seed, id_col=id_col, oversample=oversample)
+
+
+def fit_prepare(train: DataFrame, test: DataFrame, *, ratio: float = 0.5, k: int = 5, seed: int = 42,
+                id_col: str = "txn_id", oversample: bool = True):
+    """Scaler fitted on ``train`` only, oversampling of ``train`` only, balanced
+    weights; ``test`` is only transformed."""
     stats = fit_scaler(train, FEATURE_COLUMNS)
     train, test = apply_scaler(train, stats), apply_scaler(test, stats)
     if oversample:
@@ -139,3 +146,87 @@ class RffSvm:
                      array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features"))
         p = self.platt.transform(m)
         return p.select(id_col, "label", vector_to_array("probability")[1].alias("probability"), "prediction")
+
+
+def cross_validate(frame: DataFrame, *, folds: int = 5, seed: int = 42, trees: int = 100, depth: int = 15,
+                   id_col: str = "txn_id") -> DataFrame:
+    """ML11: stratified k-fold F1 of the random forest with scaling and
+    oversampling fitted inside each fold.  The loop runs over the (bounded)
+    folds; every fold is a distributed fit."""
+    spark = frame.sparkSession
+    f = cut_lineage(SA.stratified_folds(frame, label="label", key=id_col, k=folds, seed=seed))
+    rows = []
+    for i in range(folds):
+        tr = f.filter(F.col("fold") != i).drop("fold", "class_rank")
+        va = f.filter(F.col("fold") == i).drop("fold", "class_rank")
+        train, val, _ = fit_prepare(tr, va, seed=seed, id_col=id_col)
+        pred = predict(fit_rf(train, trees=trees, depth=depth, min_leaf=1, seed=seed), val, id_col)
+        c = pred.agg(F.count_if((F.col("label") == 1) & (F.col("prediction") == 1)).alias("tp"),
+                     F.count_if((F.col("label") != 1) & (F.col("prediction") == 1)).alias("fp"),
+                     F.count_if((F.col("label") == 1) & (F.col("prediction") != 1)).alias("fn")).first()
+        den = 2 * c["tp"] + c["fp"] + c["fn"]
+        rows.append((i, round(2 * c["tp"] / den, 4) if den else 0.0))
+    return spark.createDataFrame(rows, "fold int, f1_score double")
+
+
+# ---------------------------------------------------------------- persistence (SNK3, SNK4, SRC5, SRC6)
+
+def metrics_document(spark, models: dict[str, dict], importance_pairs: list[tuple[str, float]], *,
+                     primary: str, training_samples: int, test_samples: int, fraud_ratio: float) -> DataFrame:
+    """D8: the metrics document as one row with the declared schema."""
+    from riskloom.schemas import METRICS_DOCUMENT
+
+    row = {
+        "models": {name: {**{k: m.get(k) for k in ("accuracy", "precision", "recall", "f1_score", "roc_auc", "type")},
+                          "confusion_matrix": m.get("confusion_matrix")} for name, m in models.items()},
+        "feature_importance": dict(importance_pairs),
+        "primary_model": primary,
+        "feature_columns": list(FEATURE_COLUMNS),
+        "training_samples": int(training_samples),
+        "test_samples": int(test_samples),
+        "fraud_ratio": float(fraud_ratio),
+    }
+    return spark.createDataFrame([row], METRICS_DOCUMENT)
+
+
+def write_metrics(doc: DataFrame, path: str) -> None:
+    doc.coalesce(1).write.mode("overwrite").json(path)
+
+
+def save_models(path: str, *, lr=None, rf=None, iforest=None, scaler: dict | None = None, spark=None) -> None:
+    """SNK4: Spark ML writers for the classifiers; the isolation forest as a
+    Parquet node table plus its parameters; scaler statistics as Parquet."""
+    if lr is not None:
+        lr.write().overwrite().save(f"{path}/logistic_regression")
+    if rf is not None:
+        rf.write().overwrite().save(f"{path}/random_forest")
+    if iforest is not None:
+        spark.createDataFrame(iforest.nodes).write.mode("overwrite").parquet(f"{path}/isolation_forest/nodes")
+        spark.createDataFrame([(iforest.psi, iforest.threshold, list(iforest.features))],
+                              "psi int, threshold double, features array<string>") \
+            .write.mode("overwrite").parquet(f"{path}/isolation_forest/params")
+    if scaler is not None:
+        spark.createDataFrame([(k, float(m), float(s or 0.0)) for k, (m, s) in scaler.items()],
+                              "feature string, mean double, std double").write.mode("overwrite").parquet(f"{path}/scaler")
+
+
+def load_models(spark, path: str) -> dict:
+    """SRC6: load whatever ``save_models`` wrote."""
+    import os
+
+    from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
+
+    from riskloom.operators.anomaly import IsolationForestModel
+
+    out: dict = {}
+    if os.path.exists(f"{path}/logistic_regression"):
+        out["lr"] = LogisticRegressionModel.load(f"{path}/logistic_regression")
+    if os.path.exists(f"{path}/random_forest"):
+        out["rf"] = RandomForestClassificationModel.load(f"{path}/random_forest")
+    if os.path.exists(f"{path}/isolation_forest"):
+        p = spark.read.parquet(f"{path}/isolation_forest/params").first()
+        nodes = spark.read.parquet(f"{path}/isolation_forest/nodes").toPandas()
+        out["iforest"] = IsolationForestModel(nodes, list(p["features"]), p["psi"], p["threshold"])
+    if os.path.exists(f"{path}/scaler"):
+        out["scaler"] = {r["feature"]: (r["mean"], r["std"]) for r in spark.read.parquet(f"{path}/scaler").collect()}
+    return out

@@ -72,3 +72,9 @@ def top_features(spark, sf_dir, n: int = 8):
     mx = top.agg(F.max("importance")).first()[0] or 1.0
     return top.select("rank", "feature", display_name("feature").alias("display_name"), "importance",
                       F.round(F.lit(0.4) + F.col("importance") / F.lit(mx) * 0.6, 4).alias("weight"))
+
+
+@register("cv_models")
+def cv_models(spark, sf_dir):
+    """ML11: per-fold F1 of the forest, scaling and oversampling inside each fold."""
+    return M.cross_validate(M.training_frame(inputs.features(spark, sf_dir)), seed=SEED)

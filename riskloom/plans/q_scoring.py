@@ -9,7 +9,7 @@ from riskloom.operators import scoring as SC
 from riskloom.operators.ledger import window_stats
 from riskloom.plans import inputs
 from riskloom.plans.catalog import register
-from riskloom.plans.sql import RULES, base
+from riskloom.plans.sql import D, RULES, TXN, base, with_ctes
 
 
 def _q(s: str) -> str:
@@ -111,3 +111,54 @@ def risk_band(spark, sf_dir):
 FROM log GROUP BY 1"""))
 def stats_hourly(spark, sf_dir):
     return window_stats(inputs.scored_log(spark, sf_dir), "1 hour")
+
+
+# ---------------------------------------------------------------- online payloads (JSON)
+
+_ONLINE_FIELDS = ["amount", "type", "oldbalanceOrg", "login_attempts", "QR_flag", "OTP_flag", "hour_of_day",
+                  "device_type_encoded"]
+
+
+def online_payloads(spark, sf_dir):
+    """One JSON payload per event, as the online path receives them: fields the
+    event does not carry are absent (a null field is omitted by ``to_json``)."""
+    t = inputs.transactions(spark, sf_dir)
+    ob = F.when(F.col("k") % 4 == 0, F.lit(None)).otherwise(F.col("oldbalanceOrg")).alias("oldbalanceOrg")
+    cols = [ob if c == "oldbalanceOrg" else F.col(c) for c in _ONLINE_FIELDS]
+    return t.select("txn_id", F.to_json(F.struct(*cols)).alias("payload"))
+
+
+@register("online_score", with_ctes(TXN, body=f"""
+, p AS (SELECT txn_id, amount, type, login_attempts, QR_flag,
+          CASE WHEN k % 4 = 0 THEN amount * 2 ELSE oldbalanceOrg END AS ob FROM txn)
+, f AS (SELECT *, least(amount / greatest(ob, {D(1)}), {D(100)}) AS balance_ratio,
+          CAST(CASE type WHEN 'CASH_IN' THEN 0 WHEN 'CASH_OUT' THEN 1 WHEN 'DEBIT' THEN 2 WHEN 'PAYMENT' THEN 3
+                         ELSE 4 END AS INTEGER) AS type_encoded,
+          round(least(amount / {D(300000)}, {D(1)}), 4) AS ml, round({D(0.4)} - least({D(10)} / {D(3000)}, {D(1)}) * {D(0.6)}, 4) AS dec
+        FROM p)
+, r AS (SELECT *, least((((({D(0)} + CASE WHEN amount > 100000 THEN {D(0.25)} ELSE {D(0)} END)
+          + CASE WHEN amount <= 100000 AND amount > 50000 THEN {D(0.15)} ELSE {D(0)} END)
+          + CASE WHEN login_attempts >= 4 THEN {D(0.2)} ELSE {D(0)} END)
+          + CASE WHEN balance_ratio > 0.9 THEN {D(0.2)} ELSE {D(0)} END), {D(1)}) AS rule_score,
+          least(greatest({D(0.5)} - dec, {D(0)}), {D(1)}) AS anomaly FROM f)
+, s AS (SELECT *, round(least(ml * {D(0.5)} + anomaly * {D(0.2)} + rule_score * {D(0.3)}, {D(1)}), 4) AS fraud_probability
+        FROM r)
+SELECT txn_id, type_encoded, round(balance_ratio, 6) AS balance_ratio, round(rule_score, 4) AS rule_score,
+  fraud_probability, round(fraud_probability * 100, 1) AS risk_score,
+  CASE WHEN fraud_probability >= 0.6 THEN 'FRAUD' WHEN fraud_probability >= 0.3 THEN 'SUSPICIOUS' ELSE 'SAFE' END
+    AS fraud_label FROM s"""))
+def online_score(spark, sf_dir):
+    """SRC4 + D5 + FLT2 + online profile: JSON payloads -> declared schema ->
+    defaults -> online features -> rules -> hybrid score."""
+    from riskloom.operators.features import scalar_features
+    from riskloom.operators.validate import apply_defaults
+    from riskloom.schemas import ONLINE_TRANSACTION
+    from riskloom.sources import adapter
+
+    parsed = online_payloads(spark, sf_dir).select("txn_id", F.from_json("payload", ONLINE_TRANSACTION).alias("t"))
+    f = scalar_features(apply_defaults(parsed.select("txn_id", "t.*")), "online")
+    f = f.withColumns({"ml_probability": adapter.fixture_ml(F.col("amount")),
+                       "anomaly_decision": adapter.fixture_decision(F.col("geo_distance"))})
+    s = SC.score(f)
+    return s.select("txn_id", "type_encoded", F.round("balance_ratio", 6).alias("balance_ratio"),
+                    F.round("rule_score", 4).alias("rule_score"), "fraud_probability", "risk_score", "fraud_label")
