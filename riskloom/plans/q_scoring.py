@@ -162,3 +162,33 @@ def online_score(spark, sf_dir):
     s = SC.score(f)
     return s.select("txn_id", "type_encoded", F.round("balance_ratio", 6).alias("balance_ratio"),
                     F.round("rule_score", 4).alias("rule_score"), "fraud_probability", "risk_score", "fraud_label")
+
+
+# ---------------------------------------------------------------- the same scoring as a stream
+
+@register("stream_scored", base("""SELECT txn_id, ml_probability, round(anomaly_score, 4) AS anomaly_score,
+    round(rule_score, 4) AS rule_score, fraud_probability, risk_score, fraud_label FROM scored"""))
+def stream_scored(spark, sf_dir):
+    """ST1 + ST2: the events file as a stream, per-account state instead of
+    windows, scored in foreachBatch into a Parquet table under the shared
+    checkpoint folder; returns that table.  Must equal ``hybrid_score``."""
+    import uuid
+
+    from riskloom.session import ensure_checkpoint_dir
+    from riskloom.sources.tables import table
+    from riskloom.streaming.scoring import EVENTS_SCHEMA, score_stream, scored_from_features
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-scored-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
+    feats = score_stream(events, table(spark, sf_dir, "customer"), velocity=inputs.RULE_VELOCITY, delay="3650 days")
+
+    def sink(batch, epoch_id):
+        s = scored_from_features(batch.filter(F.col("is_late") == 0))
+        s.select(*HYBRID_COLS).write.mode("append").parquet(f"{root}/out")
+
+    q = (feats.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select("txn_id", "ml_probability", F.round("anomaly_score", 4).alias("anomaly_score"),
+                      F.round("rule_score", 4).alias("rule_score"), "fraud_probability", "risk_score", "fraud_label")
