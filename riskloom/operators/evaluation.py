@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranking import _range_of
+from riskloom.operators.ranking import ranges_for, with_range
 
 
 def long_scores(df: DataFrame, models: dict[str, str], label: str = "isFraud") -> DataFrame:
@@ -45,7 +45,7 @@ def metrics_from_confusion(cm: DataFrame, digits: int = 4) -> DataFrame:
     })
 
 
-def roc_auc(scores: DataFrame, by: list[str] | None = None, ranges: int = 256) -> DataFrame:
+def roc_auc(scores: DataFrame, by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """EV3: exact ROC-AUC per group (ties count one half), from (label, score).
 
     AUC = sum over distinct s of pos(s) * (neg(<s) + neg(s)/2) / (P*N).
@@ -57,9 +57,11 @@ def roc_auc(scores: DataFrame, by: list[str] | None = None, ranges: int = 256) -
 
     d = cut_lineage(scores.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"),
                                                      F.count_if(F.col("label") != 1).alias("neg")))
+    if ranges is None:  # about ROWS_PER_RANGE distinct scores per range task
+        ranges = min(ranges_for(d.count(), minimum=64), 1 << 16)
     probs = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(b for b in d.approxQuantile("score", probs, 0.001) if b is not None)) if ranges > 1 else []
-    d = d.withColumn("_r", _range_of(F.col("score"), bounds))
+    bounds = sorted(set(b for b in d.approxQuantile("score", probs, 0.5 / ranges) if b is not None)) if ranges > 1 else []
+    d = with_range(d, "score", bounds)
     tot = d.groupBy(*by, "_r").agg(F.sum("neg").alias("_rn"))
     wr = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*by, "_r", F.coalesce(F.sum("_rn").over(wr), F.lit(0)).alias("_neg_lower"))

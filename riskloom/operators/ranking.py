@@ -14,6 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_RANGES = 256
+ROWS_PER_RANGE = 4_000_000   # target rows per range task
+MAX_RANGES = 1 << 18         # ranges x groups offsets stay a small broadcast table
+
+
+def ranges_for(rows: int, minimum: int = HASH_RANGES) -> int:
+    """Power-of-two range count so that a range holds about ROWS_PER_RANGE rows."""
+    need = max(minimum, -(-int(rows) // ROWS_PER_RANGE))
+    return min(MAX_RANGES, 1 << (need - 1).bit_length())
 
 
 def hash_key(seed: int, key) -> Column:
@@ -43,12 +51,16 @@ def ranked(df: DataFrame, group_cols: list[str], range_col: str, order_cols: lis
             .withColumn(out, (F.col("_off") + F.col("_local")).cast("long")).drop("_off", "_local"))
 
 
-def _range_of(value: Column, bounds: list[float]) -> Column:
-    """Index of the range holding ``value`` for sorted inner boundaries."""
+def with_range(df: DataFrame, col: str, bounds: list[float], out: str = "_r") -> DataFrame:
+    """Add the index of the value range holding ``col`` (number of inner
+    boundaries <= value), by binary search in the JVM (Spark ML Bucketizer)."""
     if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b <= value)).cast("int")
+        return df.withColumn(out, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    splits = [float("-inf"), *sorted(set(float(b) for b in bounds)), float("inf")]
+    b = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep")
+    return b.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, ranges: int = 64, rel_err: float = 0.001,
@@ -76,7 +88,7 @@ def exact_quantile(df: DataFrame, col: str, q: float, ranges: int = 64, rel_err:
     for _ in range(8):
         probs = [i / ranges for i in range(1, ranges)]
         bounds = sorted(set(x for x in scope.approxQuantile("v", probs, rel_err) if x is not None))
-        tagged = scope.withColumn("_r", _range_of(F.col("v"), bounds))
+        tagged = with_range(scope, "v", bounds)
         tot = sorted((r["_r"], r["n"], r["d"]) for r in
                      tagged.groupBy("_r").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect())
         start, need = offset, []

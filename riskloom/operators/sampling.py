@@ -13,20 +13,25 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranking import hash_key, hash_range, ranked
+from riskloom.operators.ranking import HASH_RANGES, hash_key, hash_range, ranked, ranges_for
 
 
-def class_ranks(df: DataFrame, label: str, key: str, seed: int = 42, out: str = "class_rank") -> DataFrame:
-    h = df.withColumn("_h", hash_key(seed, key)).withColumn("_hr", hash_range(F.col("_h")))
+def class_ranks(df: DataFrame, label: str, key: str, seed: int = 42, out: str = "class_rank",
+                rows: int | None = None) -> DataFrame:
+    """0-based rank inside each class by seeded hash (ties by key).  ``rows``
+    (largest class size) sets how many hash ranges split a class."""
+    ranges = ranges_for(rows) if rows else HASH_RANGES
+    h = df.withColumn("_h", hash_key(seed, key)).withColumn("_hr", hash_range(F.col("_h"), ranges))
     return ranked(h, [label], "_hr", ["_h", key], out=out).drop("_hr")
 
 
 def stratified_split(df: DataFrame, label: str = "isFraud", key: str = "txn_id", test_fraction: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """ML1: ``is_test`` = class rank (by seeded hash) < round(test_fraction * n_class)."""
-    r = class_ranks(df, label, key, seed)
-    # class sizes come from a small aggregate, not a window over the big class
+    # class sizes come from a small aggregate (bounded by the number of classes)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    biggest = sizes.agg(F.max("_n")).first()[0] or 0
+    r = class_ranks(df, label, key, seed, rows=biggest)
     r = r.join(F.broadcast(sizes), label)
     n_test = F.round(F.col("_n") * F.lit(test_fraction), 0)
     return r.withColumn("is_test", (F.col("class_rank") < n_test).cast("int")).drop("_n", "_h")
@@ -35,7 +40,8 @@ def stratified_split(df: DataFrame, label: str = "isFraud", key: str = "txn_id",
 def stratified_folds(df: DataFrame, label: str = "isFraud", key: str = "txn_id", k: int = 5,
                      seed: int = 42) -> DataFrame:
     """ML2: fold = class rank mod k, so every fold holds each class evenly."""
-    r = class_ranks(df, label, key, seed)
+    biggest = df.groupBy(label).count().agg(F.max("count")).first()[0] or 0
+    r = class_ranks(df, label, key, seed, rows=biggest)
     return r.withColumn("fold", (F.col("class_rank") % k).cast("int")).drop("_h")
 
 
@@ -57,7 +63,8 @@ def smote(minority: DataFrame, neighbours: DataFrame, needed: int, n_minority: i
         return minority.sparkSession.createDataFrame([], f"syn_id long, base_id long, nbr_id long, u double, "
                                                          f"{vec_col} array<double>")
     base, extra = divmod(needed, n_minority)
-    r = class_ranks(minority.withColumn("_one", F.lit(1)), "_one", id_col, seed, out="_rank").drop("_one")
+    r = class_ranks(minority.withColumn("_one", F.lit(1)), "_one", id_col, seed, out="_rank",
+                    rows=n_minority).drop("_one")
     copies = F.lit(base) + (F.col("_rank") < extra).cast("int")
     rep = r.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))).filter(copies > 0)
     pick_key = F.concat_ws(":", F.col(id_col).cast("string"), F.col("_copy").cast("string"))
