@@ -142,3 +142,25 @@ def risk_band(risk) -> Column:
 
 def bar_width(risk) -> Column:
     return F.least(F.coalesce(F.col(risk) if isinstance(risk, str) else risk, F.lit(0.0)), F.lit(100.0))
+
+
+def prediction_record(df: DataFrame, importance: list[tuple[str, float]] | None = None, top: int = 8,
+                      used: list[str] | None = None) -> DataFrame:
+    """SNK5 / D6: one nested record per row.  ``feature_importance`` is the
+    global top-``top`` importance map (a bounded literal built once, SC26);
+    ``features_used`` maps each feature name to its value."""
+    from riskloom.schemas import FEATURE_COLUMNS
+
+    used = used or [*FEATURE_COLUMNS, "balance_change_org", "balance_change_dest", "deviation_from_avg"]
+    imp = sorted(importance or [], key=lambda t: -t[1])[:top]
+    imp_map = (F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(float(v))) for k, v in imp]))
+               if imp else F.create_map().cast("map<string,double>"))
+    feats = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(c).cast("double")) for c in used]))
+    rec = F.struct(
+        F.col("fraud_probability"), F.col("fraud_label"), F.col("risk_score"), F.col("reasons"),
+        F.round("ml_probability", 4).alias("ml_probability"), F.round("anomaly_score", 4).alias("anomaly_score"),
+        F.round("rule_score", 4).alias("rule_score"),
+        (F.col("ml_probability") > 0.5).cast("int").alias("ml_prediction"),
+        imp_map.alias("feature_importance"), feats.alias("features_used"),
+    )
+    return df.select("txn_id", rec.alias("prediction"))

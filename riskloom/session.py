@@ -58,3 +58,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sizing_conf(input_bytes: int, cores: int, target_partition_mb: int = 256) -> dict[str, str]:
+    """Shuffle/scan sizing for a cluster run: about ``target_partition_mb`` per
+    task, at least two waves of tasks, AQE free to coalesce small partitions.
+    Apply with ``apply_if_unset`` so a cluster's own settings win."""
+    target = target_partition_mb * 1024 * 1024
+    shuffle = max(2 * cores, -(-input_bytes // target))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(min(target, 512 * 1024 * 1024)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    }
+
+
+def apply_if_unset(spark: SparkSession, conf: dict[str, str]) -> None:
+    defaults = {"spark.sql.shuffle.partitions": "200"}
+    for k, v in conf.items():
+        cur = spark.conf.get(k, None)
+        if cur is None or cur == defaults.get(k):
+            spark.conf.set(k, v)

@@ -117,3 +117,18 @@ def test_quarantine(spark):
     valid, bad = split_valid(df)
     assert sorted(r["amount"] for r in valid.collect()) == [-3.0, 12.5]
     assert bad.count() == 3
+
+
+def test_prediction_record(spark):
+    rows = [_row(**EXAMPLES[1][0])]
+    s = _score_online(spark, rows, ml=0.9, decision=-0.2)
+    from riskloom.operators.scoring import prediction_record
+    rec = prediction_record(s.withColumn("txn_id", F.lit(1)),
+                            [("login_attempts", 0.3577), ("transactions_per_user", 0.3256), ("QR_flag", 0.01)]).first()
+    p = rec["prediction"]
+    assert p["fraud_label"] == "FRAUD" and p["ml_prediction"] == 1
+    assert p["reasons"][0].startswith("Anomaly detection flags unusual pattern (score: 0.70)")
+    assert p["reasons"][1] == "ML model flags high fraud probability (90.0%)"
+    assert max(p["feature_importance"].items(), key=lambda kv: kv[1])[0] == "login_attempts"
+    assert len(p["feature_importance"]) == 3
+    assert p["features_used"]["login_attempts"] == 5.0
