@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalars import nonfinite_to_zero
 
 # --- Fixed values: defaults for a transaction with missing fields ---------------
-# Each entry: column -> (default expression builder, Spark type).  Order matters:
-# later defaults refer to earlier (already defaulted) columns.
+# Each entry: (column, default value or builder, Spark type).  Order matters: a
+# builder receives a resolver that returns the earlier, already defaulted fields.
 _DEFAULTS: list[tuple[str, object, str]] = [
     ("amount", 0.0, "double"),
-    ("oldbalanceOrg", lambda: F.col("amount") * 2, "double"),
-    ("newbalanceOrig", lambda: F.col("oldbalanceOrg") - F.col("amount"), "double"),
+    ("oldbalanceOrg", lambda c: c("amount") * 2, "double"),
+    ("newbalanceOrig", lambda c: c("oldbalanceOrg") - c("amount"), "double"),
     ("oldbalanceDest", 10000.0, "double"),
-    ("newbalanceDest", lambda: F.col("oldbalanceDest") + F.col("amount"), "double"),
+    ("newbalanceDest", lambda c: c("oldbalanceDest") + c("amount"), "double"),
     ("type", "TRANSFER", "string"),
-    ("avg_transaction", lambda: F.col("amount") * 0.5, "double"),
+    ("avg_transaction", lambda c: c("amount") * 0.5, "double"),
     ("account_age", 365, "int"),
     ("transactions_per_user", 5, "int"),
     ("transactions_last_1hr", 1, "int"),
@@ -41,15 +41,17 @@ DEFAULT_FIELDS = [name for name, _, _ in _DEFAULTS]
 
 def apply_defaults(df: DataFrame, keep_present: bool = True) -> DataFrame:
     """FLT2: fill missing fields.  A null counts as missing (documented policy);
-    absent columns are created."""
+    absent columns are created.  Derived defaults refer to the already
+    defaulted expressions, and everything is one projection."""
     cols = set(df.columns)
+    exprs: dict[str, Column] = {}
     for name, default, dtype in _DEFAULTS:
-        d: Column = default() if callable(default) else F.lit(default)
+        d = default(exprs.__getitem__) if callable(default) else F.lit(default)
         if name in cols and keep_present:
-            df = df.withColumn(name, F.coalesce(F.col(name).cast(dtype), d.cast(dtype)))
+            exprs[name] = F.coalesce(F.col(name).cast(dtype), d.cast(dtype))
         else:
-            df = df.withColumn(name, d.cast(dtype))
-    return df
+            exprs[name] = d.cast(dtype)
+    return df.select(*[c for c in df.columns if c not in exprs], *[e.alias(n) for n, e in exprs.items()])
 
 
 def split_valid(df: DataFrame, amount_text: str = "amount_text") -> tuple[DataFrame, DataFrame]:
