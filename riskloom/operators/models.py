@@ -36,6 +36,8 @@ def prepare(frame: DataFrame, *, test_fraction: float = 0.2, ratio: float = 0.5,
             id_col: str = "txn_id", oversample: bool = True):
     """Returns (train, test, scaler stats).  ``train`` carries a ``weight`` column
     (balanced weights n / (2 n_c) after oversampling)."""
+    # the feature frame is read by several passes (class sizes, ranks, split): materialise it once
+    frame = cut_lineage(frame)
     split = cut_lineage(SA.stratified_split(frame, label="label", key=id_col, test_fraction=test_fraction, seed=seed))
     train = split.filter(F.col("is_test") == 0).drop("is_test", "class_rank")
     test = split.filter(F.col("is_test") == 1).drop("is_test", "class_rank")
@@ -61,10 +63,11 @@ def fit_prepare(train: DataFrame, test: DataFrame, *, ratio: float = 0.5, k: int
                              *[F.element_at("features", i + 1).alias(c) for i, c in enumerate(FEATURE_COLUMNS)],
                              F.lit(1).alias("label"))
             train = train.unionByName(syn)
-    cw = train.groupBy("label").agg(F.count(F.lit(1)).alias("_nc"))
-    total = cw.agg(F.sum("_nc")).first()[0]
-    ncls = cw.count()
-    cw = cw.withColumn("weight", F.lit(float(total)) / (F.lit(ncls) * F.col("_nc"))).drop("_nc")
+    sizes = {r["label"]: r["_nc"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("_nc")).collect()}
+    total, ncls = sum(sizes.values()), len(sizes)
+    # class weights from the (bounded) class sizes: n / (classes * n_c)
+    cw = train.sparkSession.createDataFrame([(int(k), float(total) / (ncls * v)) for k, v in sizes.items()],
+                                            "label int, weight double")
     train = cut_lineage(train.join(F.broadcast(cw), "label"))
     return train, test, stats
 
