@@ -76,12 +76,13 @@ def _assemble(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features").transform(df)
 
 
-def fit_lr(train: DataFrame, max_iter: int = 1000, C: float = 1.0):
+def fit_lr(train: DataFrame, max_iter: int = 1000, C: float = 1.0, tol: float = 1e-4):
     """ML6: L2 logistic regression with balanced weights.  Spark averages the
-    weighted loss, so C maps to regParam = 1 / (C * sum of weights)."""
+    weighted loss, so C maps to regParam = 1 / (C * sum of weights); ``tol`` is
+    the usual lbfgs stopping tolerance (1e-4), ``max_iter`` only a cap."""
     wsum = train.agg(F.sum("weight")).first()[0]
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter,
-                            regParam=1.0 / (C * wsum), elasticNetParam=0.0, standardization=False)
+                            regParam=1.0 / (C * wsum), elasticNetParam=0.0, standardization=False, tol=tol)
     return lr.fit(_assemble(train))
 
 
@@ -134,7 +135,7 @@ class RffSvm:
         self.w = [[rng.gauss(0.0, math.sqrt(2.0 * gamma)) for _ in range(d)] for _ in range(self.dims)]
         self.b = [rng.uniform(0.0, 2.0 * math.pi) for _ in range(self.dims)]
         z = cut_lineage(self._project(train))
-        self.svc = LinearSVC(featuresCol="features", labelCol="label", weightCol="weight",
+        self.svc = LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", tol=1e-3,
                              maxIter=self.max_iter, regParam=1.0 / z.agg(F.sum("weight")).first()[0]).fit(z)
         margin = self.svc.transform(z).select("label", "weight",
                                               array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
