@@ -48,6 +48,7 @@ def history_features(
     first_avg_factor: float = 0.5,
     avg_floor: float | None = None,
     travel_km: float = 500.0,
+    travel_within: str | None = None,
     rows_window: int = 5,
 ) -> DataFrame:
     """Add W1-W7 to ``txn`` (columns account, txn_id, ts, amount,
@@ -85,7 +86,9 @@ def history_features(
     before = rows_w.rowsBetween(Window.unboundedPreceding, -1)
     peers = Window.partitionBy("account", "b").orderBy("t_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("account", "b")
-    prev = F.last(F.when(is_data, F.col("pos")), ignorenulls=True).over(before)
+    prev = F.last(F.when(is_data, F.struct(F.col("pos.dev").alias("dev"), F.col("pos.lat").alias("lat"),
+                                           F.col("pos.lng").alias("lng"), F.col("t_us").alias("t"))),
+                  ignorenulls=True).over(before)
     local = u.withColumns({
         "rn_in": F.sum("kind").over(upto),
         "amt_in": F.sum(F.when(is_data, F.col("amount"))).over(before),
@@ -101,6 +104,7 @@ def history_features(
         F.max(F.when(is_last, F.col("pos.dev"))).alias("last_dev"),
         F.max(F.when(is_last, F.col("pos.lat"))).alias("last_lat"),
         F.max(F.when(is_last, F.col("pos.lng"))).alias("last_lng"),
+        F.max(F.when(is_data, F.col("t_us"))).alias("last_t"),
         F.min(F.when(is_data, F.col("t_us"))).alias("first_us"),
     )
     acct_w = Window.partitionBy("account").orderBy("b")
@@ -109,7 +113,8 @@ def history_features(
         "account", "b",
         F.coalesce(F.sum("cnt").over(acct_before), F.lit(0)).alias("cnt_before"),
         F.sum("amt").over(acct_before).alias("amt_before"),
-        *[F.last(c, ignorenulls=True).over(acct_before).alias(f"{c}_before") for c in ("last_dev", "last_lat", "last_lng")],
+        *[F.last(c, ignorenulls=True).over(acct_before).alias(f"{c}_before")
+          for c in ("last_dev", "last_lat", "last_lng", "last_t")],
         F.min("first_us").over(Window.partitionBy("account")).alias("first_us_acct"),
     )
 
@@ -122,7 +127,7 @@ def history_features(
         F.max(F.when(is_data, F.coalesce(F.col("amt_before"), F.lit(0.0))
                      + F.coalesce(F.col("amt_in"), F.lit(0.0)))).alias("_sum_before"),
         *[F.max(F.when(is_data, F.when(has_in, F.col(f"prev_in.{f}")).otherwise(F.col(f"last_{f}_before"))))
-          .alias(f"_prev_{f}") for f in ("dev", "lat", "lng")],
+          .alias(f"_prev_{f}") for f in ("dev", "lat", "lng", "t")],
         F.max(F.when(is_data, F.col("first_us_acct"))).alias("_first_us"),
         *[F.max(F.when(F.col("win") == i, c_at)).alias(f"_c_probe{i}") for i in range(len(names))],
     )
@@ -149,7 +154,12 @@ def history_features(
         "avg_transaction": avg,
         "account_age": F.datediff(F.to_date(F.col("ts").cast("timestamp")), F.to_date(first_ts)).cast("int"),
     }).withColumn("impossible_travel_flag", impossible_travel("geo_distance", travel_km))
-    return out.drop("_c_now", "_sum_before", "_prev_dev", "_prev_lat", "_prev_lng", "_first_us",
+    if travel_within is not None:
+        # optional time condition: only a jump made within ``travel_within`` counts
+        elapsed = F.unix_micros(F.col("ts").cast("timestamp")) - F.col("_prev_t")
+        out = out.withColumn("impossible_travel_flag", (F.col("impossible_travel_flag").cast("boolean") & has_prev
+                                                         & (elapsed <= F.lit(_interval_us(travel_within)))).cast("int"))
+    return out.drop("_c_now", "_sum_before", "_prev_dev", "_prev_lat", "_prev_lng", "_prev_t", "_first_us",
                     *[f"_c_probe{i}" for i in range(len(names))])
 
 

@@ -97,3 +97,21 @@ def fixture_decision(geo_distance: Column) -> Column:
 
 def fixture_label(amount: Column, login_attempts: Column) -> Column:
     return ((amount > 120000) & (login_attempts >= 5)).cast("int")
+
+
+def from_raw(raw: DataFrame) -> DataFrame:
+    """D1 raw table (``step`` in hours, ``nameOrig`` as account) -> the columns
+    the history and feature operators read.  Raw rows carry no id, so the id is
+    a hash of the whole row (exact duplicates share it; drop them first, FLT4);
+    device and position are absent and stay null (no device change, distance 0)."""
+    cols = [F.col(c) for c in raw.columns]
+    return raw.select(
+        *raw.columns,
+        F.xxhash64(*cols).alias("txn_id"),
+        F.col("nameOrig").alias("account"),
+        F.timestamp_seconds(F.col("step").cast("long") * 3600).alias("ts"),
+        F.pmod(F.col("step"), F.lit(24)).cast("int").alias("hour_of_day"),
+        F.lit(None).cast("int").alias("device_type_encoded"),
+        F.lit(None).cast("double").alias("latitude"),
+        F.lit(None).cast("double").alias("longitude"),
+    )

@@ -52,3 +52,28 @@ def test_no_future_rows_used(spark):
     early = t.filter(F.unix_micros("ts") <= cut)
     full = history_features(t, velocity=VEL).join(early.select("txn_id"), "txn_id", "left_semi")
     _compare(full, history_features(early, velocity=VEL))
+
+
+def test_raw_table_features_and_travel_window(spark, scratch):
+    from riskloom.operators.features import scalar_features
+    from riskloom.operators.validate import apply_defaults, dedup_rows
+    from riskloom.sources.adapter import from_raw
+    from riskloom.sources.tables import read_raw_transactions
+
+    p = scratch + "/raw.csv"
+    with open(p, "w") as f:
+        f.write("step,type,amount,nameOrig,oldbalanceOrg,newbalanceOrig,nameDest,oldbalanceDest,newbalanceDest,"
+                "isFraud,isFlaggedFraud\n")
+        for i, (step, acct, amt) in enumerate([(1, "C1", 100), (2, "C1", 300), (2, "C1", 300), (30, "C1", 50),
+                                                (25, "C2", 70000)]):
+            f.write(f"{step},PAYMENT,{amt},{acct},1000,900,C9,0,0,0,0\n")
+    raw = dedup_rows(read_raw_transactions(spark, p))
+    t = from_raw(raw)
+    h = history_features(t, velocity={"v24": "24 hours"}, travel_within="2 hours")
+    f = scalar_features(apply_defaults(h), "batch")
+    rows = sorted(f.collect(), key=lambda r: (r["account"], r["step"]))
+    assert [r["transactions_per_user"] for r in rows] == [1, 2, 3, 1]
+    assert [r["hour_of_day"] for r in rows] == [1, 2, 6, 1]
+    assert [r["v24"] for r in rows] == [1, 2, 1, 1]
+    assert [r["avg_transaction"] for r in rows] == [50.0, 100.0, 200.0, 35000.0]
+    assert all(r["impossible_travel_flag"] == 0 and r["device_change_flag"] == 0 for r in rows)
