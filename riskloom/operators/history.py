@@ -5,7 +5,8 @@ A plain ``Window.partitionBy(account)`` would put each account in one task, so a
 hot account (say a third of all rows) would serialise the whole job.  Instead
 rows are cut into ``(account, time bucket)`` groups:
 
-1. inside a bucket, windows give the bucket-local running values;
+1. inside a bucket, windows give the bucket-local running values (heavy-hitter
+   accounts get narrower buckets, so their rows spread over many tasks);
 2. a tiny per-(account, bucket) aggregate (partial aggregation, skew-safe) gives
    each bucket's totals, and a window over *buckets* turns them into prefixes;
 3. bucket-local values + prefix = the account-wide running value.
@@ -36,8 +37,9 @@ def _interval_us(spec: str | int) -> int:
     return int(float(n) * _UNITS[unit.rstrip("s")] * _US)
 
 
-def bucket_id(t_us: Column, bucket_us: int) -> Column:
-    return ((t_us - F.pmod(t_us, F.lit(bucket_us))) / F.lit(bucket_us)).cast("long")
+def bucket_id(t_us: Column, width_us) -> Column:
+    w = width_us if isinstance(width_us, Column) else F.lit(width_us)
+    return ((t_us - F.pmod(t_us, w)) / w).cast("long")
 
 
 def history_features(
@@ -50,6 +52,8 @@ def history_features(
     travel_km: float = 500.0,
     travel_within: str | None = None,
     rows_window: int = 5,
+    hot_rows: int = 2_000_000,
+    bucket_rows: int = 500_000,
 ) -> DataFrame:
     """Add W1-W7 to ``txn`` (columns account, txn_id, ts, amount,
     device_type_encoded, latitude, longitude).
@@ -73,12 +77,22 @@ def history_features(
     for i, name in enumerate(names):
         shift = _interval_us(velocity[name]) + 1  # ts < t - L  <=>  ts <= t - L - 1us
         legs.append(F.struct(F.lit(0).alias("kind"), F.lit(i).alias("win"), (F.col("t_us") - F.lit(shift)).alias("t")))
-    u = narrow.select("account", "txn_id", "amount", "pos", F.explode(F.array(*legs)).alias("_leg"))
-    u = u.select("account", "txn_id", F.col("_leg.t").alias("t_us"), F.col("_leg.kind").alias("kind"),
+    # Heavy hitters: accounts with more than ``hot_rows`` rows get their own, narrower
+    # bucket width (about ``bucket_rows`` rows per bucket over their time span).  At
+    # most total_rows / hot_rows accounts qualify, so this table has a proven bound
+    # and is broadcast; every other account keeps the default width.
+    hot = (narrow.groupBy("account").agg(F.count(F.lit(1)).alias("_n"), F.min("t_us").alias("_lo"),
+                                         F.max("t_us").alias("_hi"))
+           .filter(F.col("_n") > hot_rows)
+           .select("account", F.least(F.lit(bucket_us), F.greatest(F.lit(_US), F.floor(
+               (F.col("_hi") - F.col("_lo") + 1) * F.lit(bucket_rows) / F.col("_n")))).cast("long").alias("_w")))
+    narrow = narrow.join(F.broadcast(hot), "account", "left")
+    u = narrow.select("account", "txn_id", "amount", "pos", "_w", F.explode(F.array(*legs)).alias("_leg"))
+    u = u.select("account", "txn_id", "_w", F.col("_leg.t").alias("t_us"), F.col("_leg.kind").alias("kind"),
                  F.col("_leg.win").alias("win"),
                  F.when(F.col("_leg.kind") == 1, F.col("amount")).alias("amount"),
                  F.when(F.col("_leg.kind") == 1, F.col("pos")).alias("pos"))
-    u = u.withColumn("b", bucket_id(F.col("t_us"), bucket_us))
+    u = u.withColumn("b", bucket_id(F.col("t_us"), F.coalesce(F.col("_w"), F.lit(bucket_us))))
 
     is_data = F.col("kind") == 1
     rows_w = Window.partitionBy("account", "b").orderBy("t_us", "kind", "txn_id")

@@ -77,3 +77,17 @@ def test_raw_table_features_and_travel_window(spark, scratch):
     assert [r["v24"] for r in rows] == [1, 2, 1, 1]
     assert [r["avg_transaction"] for r in rows] == [50.0, 100.0, 200.0, 35000.0]
     assert all(r["impossible_travel_flag"] == 0 and r["device_change_flag"] == 0 for r in rows)
+
+
+def test_heavy_hitter_buckets(spark):
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(600):
+        acct = 1 if i % 5 else 2 + i % 3          # account 1 holds 80% of the rows
+        ts = base + dt.timedelta(seconds=37 * (i // 2))  # pairs share a timestamp
+        rows.append((i, acct, ts, float(10 + i % 17), i % 3, 8.0 + (i % 40) * 0.29, 68.0 + (i % 9) * 0.29))
+    df = spark.createDataFrame(rows, "txn_id long, account long, ts timestamp, amount double, "
+                                     "device_type_encoded int, latitude double, longitude double")
+    got = history_features(df, velocity=VEL, bucket="1 day", hot_rows=100, bucket_rows=25)
+    _compare(got, history_features_by_window(df, velocity=VEL))
