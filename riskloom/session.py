@@ -82,3 +82,30 @@ def apply_if_unset(spark: SparkSession, conf: dict[str, str]) -> None:
         cur = spark.conf.get(k, None)
         if cur is None or cur == defaults.get(k):
             spark.conf.set(k, v)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``riskloom`` importable in executor Python workers (pandas UDFs,
+    grouped-map and stateful functions refer to it): zip the package once per
+    application and add it like ``--py-files``.  Idempotent."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import riskloom
+
+    pkg = os.path.dirname(os.path.abspath(riskloom.__file__))
+    fd, path = tempfile.mkstemp(prefix="riskloom-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
