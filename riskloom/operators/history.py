@@ -7,8 +7,9 @@ rows are cut into ``(account, time bucket)`` groups:
 
 1. inside a bucket, windows give the bucket-local running values (heavy-hitter
    accounts get narrower buckets, so their rows spread over many tasks);
-2. a tiny per-(account, bucket) aggregate (partial aggregation, skew-safe) gives
-   each bucket's totals, and a window over *buckets* turns them into prefixes;
+2. a per-(account, bucket) aggregate of the same rows (partial aggregation
+   map-side, so only one row per bucket is shuffled) gives each bucket's totals
+   and last row, and a window over *buckets* turns them into prefixes;
 3. bucket-local values + prefix = the account-wide running value.
 
 Time-range velocity (``RANGE INTERVAL L PRECEDING``) is ``C(t) - C(t - L - 1us)``
@@ -99,7 +100,6 @@ def history_features(
     upto = rows_w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = rows_w.rowsBetween(Window.unboundedPreceding, -1)
     peers = Window.partitionBy("account", "b").orderBy("t_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("account", "b")
     prev = F.last(F.when(is_data, F.struct(F.col("pos.dev").alias("dev"), F.col("pos.lat").alias("lat"),
                                            F.col("pos.lng").alias("lng"), F.col("t_us").alias("t"))),
                   ignorenulls=True).over(before)
@@ -107,20 +107,22 @@ def history_features(
         "rn_in": F.sum("kind").over(upto),
         "amt_in": F.sum(F.when(is_data, F.col("amount"))).over(before),
         "prev_in": prev,
-    }).withColumns({"le_in": F.sum("kind").over(peers), "n_in": F.sum("kind").over(whole)})
-
-    # bucket totals come from the window output, already partitioned by (account, b):
-    # primitive-typed aggregates, hash aggregation, no extra shuffle or scan
-    is_last = is_data & (F.col("rn_in") == F.col("n_in"))
-    per_bucket = local.groupBy("account", "b").agg(
+    }).withColumn("le_in", F.sum("kind").over(peers))
+
+    # Bucket totals straight from the exploded rows (partial aggregation map-side, so
+    # only one small row per bucket is shuffled; no second shuffle of the rows).  The
+    # bucket's last data row is the max of (t_us, txn_id): an exact tie-break.
+    last = F.max(F.when(is_data, F.struct(F.col("t_us").alias("t"), F.col("txn_id").alias("id"),
+                                          F.col("pos.dev").alias("dev"), F.col("pos.lat").alias("lat"),
+                                          F.col("pos.lng").alias("lng"))))
+    per_bucket = u.groupBy("account", "b").agg(
         F.sum("kind").alias("cnt"),
         F.sum(F.when(is_data, F.col("amount"))).alias("amt"),
-        F.max(F.when(is_last, F.col("pos.dev"))).alias("last_dev"),
-        F.max(F.when(is_last, F.col("pos.lat"))).alias("last_lat"),
-        F.max(F.when(is_last, F.col("pos.lng"))).alias("last_lng"),
-        F.max(F.when(is_data, F.col("t_us"))).alias("last_t"),
+        last.alias("_last"),
         F.min(F.when(is_data, F.col("t_us"))).alias("first_us"),
-    )
+    ).select("account", "b", "cnt", "amt", "first_us", F.col("_last.dev").alias("last_dev"),
+             F.col("_last.lat").alias("last_lat"), F.col("_last.lng").alias("last_lng"),
+             F.col("_last.t").alias("last_t"))
     acct_w = Window.partitionBy("account").orderBy("b")
     acct_before = acct_w.rowsBetween(Window.unboundedPreceding, -1)
     prefix = per_bucket.select(
