@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalars as S
-from riskloom.operators.rules import apply_rules
 from riskloom.schemas import FRAUD, SAFE, SUSPICIOUS
 
 # --- Fixed values: weights, thresholds and texts of the scoring contract -------
@@ -83,14 +82,23 @@ def reasons(anomaly, ml, rule_reasons) -> Column:
 
 
 def score(df: DataFrame, ml: str = "ml_probability", decision: str = "anomaly_decision") -> DataFrame:
-    """Rules + HY1-HY5.  ``ml`` is a probability column, ``decision`` an anomaly
-    decision value (negative = anomalous)."""
-    out = apply_rules(df).withColumn("anomaly_score", anomaly_score(decision))
-    out = out.withColumn("fraud_probability", combine(ml, "anomaly_score", "rule_score"))
-    return out.withColumns({
-        "risk_score": risk_score("fraud_probability"),
-        "fraud_label": label("fraud_probability"),
-        "reasons": reasons("anomaly_score", ml, "rule_reasons"),
+    """Rules + HY1-HY5 in one projection.  ``ml`` is a probability column,
+    ``decision`` an anomaly decision value (negative = anomalous)."""
+    from riskloom.operators.rules import default_rules, rule_reasons_col, rule_score_col
+
+    rules = default_rules()
+    rule_s = rule_score_col(rules)
+    rule_r = rule_reasons_col(rules)
+    anom = anomaly_score(decision)
+    p = combine(ml, anom, rule_s)
+    return df.withColumns({
+        "rule_score": rule_s,
+        "rule_reasons": rule_r,
+        "anomaly_score": anom,
+        "fraud_probability": p,
+        "risk_score": risk_score(p),
+        "fraud_label": label(p),
+        "reasons": reasons(anom, ml, rule_r),
     })
 
 
