@@ -47,7 +47,7 @@ def history_features(
     txn: DataFrame,
     *,
     velocity: dict[str, str] | None = None,
-    bucket: str = "1 hour",
+    bucket: str = "1 day",
     first_avg_factor: float = 0.5,
     avg_floor: float | None = None,
     travel_km: float = 500.0,
