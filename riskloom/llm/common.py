@@ -71,7 +71,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     out = []
     for n in names:
         while n.lower() in taken:
-            n = "_" + n
+            n += "_"
         taken.add(n.lower())
         out.append(n)
     return out

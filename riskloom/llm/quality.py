@@ -45,7 +45,7 @@ def text_stats(docs: DataFrame, text: str = "text", out: str = "stats") -> DataF
     to occurs twice or more in the text; windows are told apart by the chained
     64-bit XXH64 of their words.
     """
-    t, w, h, r, n = fresh(docs, "_t", "_w", "_h", "_r", "_lines")
+    t, w, h, r, n = fresh(docs, "t_", "w_", "h_", "r_", "lines_")
     keep = [F.col(f"`{c}`") for c in docs.columns]
     step = docs.select(*keep, text_or_empty(text).alias(t))
     step = step.select(*keep, t, words_of(F.col(t)).alias(w), F.filter(

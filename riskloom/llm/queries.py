@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import quality
+from riskloom.llm import pii, quality
 from riskloom.llm.common import QUERIES, read, register
 
 ORACLES: dict[str, str] = {}
@@ -16,3 +16,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.quality(docs, read(spark, sf_dir, "labels"))
     return out.select("doc_id", *[F.col(f"stats.{c}").alias(c) for c in quality.BASE], "base_failed", "kept")
+
+
+@register("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, i=i: x.k == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"),
+                        pii.joined("concat(base, added)").alias("spans"), F.size("added").cast("long").alias("n_added"))
