@@ -75,3 +75,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer file (the same on every machine)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import pii, quality
-from riskloom.llm.common import QUERIES, read, register
+from riskloom.llm import packing, pii, quality
+from riskloom.llm.common import QUERIES, read, register, tokenizer
 
 ORACLES: dict[str, str] = {}
 
@@ -24,3 +24,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("base", lambda x, i=i: x.k == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"),
                         pii.joined("concat(base, added)").alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+@register("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
