@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import packing, pii, quality
+from riskloom.llm import bpe, packing, pii, quality
 from riskloom.llm.common import QUERIES, read, register, tokenizer
 
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+@register("op6_bpe_transducer")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
