@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, packing, pii, quality
+from riskloom.llm import bpe, packing, pii, quality, repair
 from riskloom.llm.common import QUERIES, read, register, tokenizer
 
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_bpe_transducer")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@register("op10_token_ids")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.write_and_read(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
