@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, packing, pii, quality, repair
+from riskloom.llm import bpe, packing, pii, quality, repair, simhash
 from riskloom.llm.common import QUERIES, read, register, tokenizer
 
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_token_ids")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.write_and_read(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
+
+
+@register("op1_simhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, distance=4)
