@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, packing, pii, quality, repair, simhash
+from riskloom.llm import bpe, language, packing, pii, quality, repair, simhash, vectors
 from riskloom.llm.common import QUERIES, read, register, tokenizer
 
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_simhash")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
+@register("op5_embedding_near_dups")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@register("op7_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
