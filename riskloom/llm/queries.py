@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, html, language, packing, pii, quality, repair, simhash, vectors
+from riskloom.llm import bpe, html, language, packing, pii, quality, repair, simhash, suffixes, vectors
 from riskloom.llm.common import QUERIES, read, register, tokenizer
 
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_html_text")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
+
+
+@register("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(read(spark, sf_dir, "documents"))
