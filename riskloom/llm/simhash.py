@@ -229,15 +229,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts:
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` without the rows of a component beyond the one of its smallest doc_id.
+    """``docs`` with one row of each component: the one of its smallest doc_id.
 
-    Rows that repeat that doc_id are reduced to one; rows without a doc_id stay
-    only if no row of their component has one, and then one of them.
+    Rows that repeat its id and text are reduced to one.  Rows without a doc_id
+    go if their component has an id; components without any id keep all their
+    different texts.
     """
     found = near_duplicates(docs, **params)
-    # the kept ids: one for each component
-    kept = found.select("component_id").distinct()
     (mark,) = fresh(docs, "component_id")
-    kept = kept.select(F.col("component_id").alias(mark))
+    kept = found.select(F.col("component_id").alias(mark)).distinct()
     out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(mark)), "left_semi")
-    return out.dropDuplicates(["doc_id"]).select(docs.columns)
+    return out.dropDuplicates(["doc_id", "text"]).select(docs.columns)
