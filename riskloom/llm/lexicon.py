@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import materialise
 from riskloom.llm.tokens import Encoder, text_chunks
 
 MAGIC = 0x4C58
@@ -139,10 +140,9 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
 
     def count(batches):
         enc = Encoder(path)
-        for _, texts in text_chunks(batches, limit=8_000_000):
+        for _, texts in text_chunks(batches):
             distinct, piece, codes, _ = enc.pieces(texts)
             n = np.bincount(codes, minlength=len(distinct))
-            # a piece seen once in a batch says nothing yet: counted, but as cheaply as the rest
             yield pa.RecordBatch.from_arrays([pa.array([piece(i) for i in range(len(distinct))], pa.string()), pa.array(n, pa.int64())], ["piece", "n"])
 
     return docs.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -151,7 +151,8 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
 def frequent(docs: DataFrame, path: str, size: int, longest: int = 64) -> list[str]:
     """The ``size`` most frequent pieces of all texts (a bounded list on the driver)."""
     top = piece_counts(docs, path).where((F.col("n") > 1) & (F.length("piece") <= longest)).orderBy(F.desc("n"), "piece").limit(size)
-    return [r["piece"] for r in top.select("piece").collect()]
+    # written first: else every task would send its own candidates to the driver
+    return [r["piece"] for r in materialise(top.select("piece")).collect()]
 
 
 def publish(spark: SparkSession, pieces: Iterable[str], path: str) -> str:
