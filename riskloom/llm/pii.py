@@ -153,13 +153,13 @@ def joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, conf: Bootstrap = Bootstrap()) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by its kind in brackets."""
-    spans = find(docs, conf).select(
-        F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.array_sort(F.concat("base", "added")).alias("spans_"))
-    spans = spans.where("size(spans_) > 0").groupBy("id_", "hash_").agg(F.first("spans_").alias("spans_"))
+    i, h, sp = fresh(docs, "id", "hash", "spans")
+    spans = find(docs, conf).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.array_sort(F.concat("base", "added")).alias(sp))
+    spans = spans.where(F.size(sp) > 0).groupBy(i, h).agg(F.first(sp).alias(sp))
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     made = F.expr(
-        "aggregate(spans_, struct(0 AS at, '' AS out), (a, x) -> struct(greatest(a.at, x.e) AS at, CASE WHEN x.s >= a.at THEN "
+        f"aggregate(`{sp}`, struct(0 AS at, '' AS out), (a, x) -> struct(greatest(a.at, x.e) AS at, CASE WHEN x.s >= a.at THEN "
         f"concat(a.out, substring(text, a.at + 1, x.s - a.at), array({names})[x.k]) ELSE a.out END AS out), "
         "a -> concat(a.out, substring(text, a.at + 1, length(text))))")
-    both = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("id_")) & (F.xxhash64(text_or_empty()) == F.col("hash_")), "left")
-    return both.withColumn("text", F.when(F.col("spans_").isNotNull(), made).otherwise(F.col("text"))).select(docs.columns)
+    both = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(text_or_empty()) == F.col(h)), "left")
+    return both.withColumn("text", F.when(F.col(sp).isNotNull(), made).otherwise(F.col("text"))).select(docs.columns)
