@@ -50,6 +50,7 @@ def number_text(x) -> Column:
     """Plain text of a number as a browser prints it for search: integral values
     without a decimal point; 0 and null as empty text."""
     v = _c(x)
+    # the shortest decimal form, written out without an exponent
+    plain = F.regexp_replace(v.cast("string").try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
     return (F.when(v.isNull() | (v == 0), F.lit(""))
-            .when(v == F.floor(v), F.floor(v).cast("string"))
-            .otherwise(v.cast("string")))
+            .otherwise(F.coalesce(plain, v.cast("string"))))

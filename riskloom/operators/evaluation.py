@@ -45,46 +45,62 @@ def metrics_from_confusion(cm: DataFrame, digits: int = 4) -> DataFrame:
     })
 
 
-def roc_auc(scores: DataFrame, by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
-    """EV3: exact ROC-AUC per group (ties count one half), from (label, score).
+def rankable(scores: DataFrame) -> DataFrame:
+    """Rows with a label and a score that has a place in the order (not null, not NaN)."""
+    return scores.where(F.col("label").isNotNull() & F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double")))
+
+
+def _below(scores: DataFrame, by: list[str], ranges: int | None) -> DataFrame:
+    """Per group and distinct score: pos and neg at it, ``pos_below`` and ``neg_below``.
 
-    AUC = sum over distinct s of pos(s) * (neg(<s) + neg(s)/2) / (P*N).
     Distinct scores are grouped first (skew-safe), then split into score ranges
-    by approximate quantiles; each range computes its local negative prefix and
-    adds the negatives of all lower ranges from a small totals table."""
-    by = by or []
+    by approximate quantiles; each range computes its local prefix and adds the
+    totals of all lower ranges from a small table."""
     from riskloom.session import cut_lineage
 
-    d = cut_lineage(scores.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"),
+    d = cut_lineage(rankable(scores).groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"),
                                                      F.count_if(F.col("label") != 1).alias("neg")))
     if ranges is None:  # about ROWS_PER_RANGE distinct scores per range task
         ranges = min(ranges_for(d.count(), minimum=64), 1 << 16)
     probs = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set(b for b in d.approxQuantile("score", probs, 0.5 / ranges) if b is not None)) if ranges > 1 else []
     d = with_range(d, "score", bounds)
-    tot = d.groupBy(*by, "_r").agg(F.sum("neg").alias("_rn"))
+    tot = d.groupBy(*by, "_r").agg(F.sum("neg").alias("_rn"), F.sum("pos").alias("_rp"))
     wr = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*by, "_r", F.coalesce(F.sum("_rn").over(wr), F.lit(0)).alias("_neg_lower"))
+    zero = F.lit(0)
+    tot = tot.select(*by, "_r", F.coalesce(F.sum("_rn").over(wr), zero).alias("_n0"), F.coalesce(F.sum("_rp").over(wr), zero).alias("_p0"))
     wl = Window.partitionBy(*by, "_r").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    d = (d.withColumn("_neg_below_local", F.coalesce(F.sum("neg").over(wl), F.lit(0)))
-         .join(F.broadcast(tot), [*by, "_r"]))
-    contrib = F.col("pos") * (F.col("_neg_lower") + F.col("_neg_below_local") + F.col("neg") / 2.0)
+    d = d.withColumns({"_n1": F.coalesce(F.sum("neg").over(wl), zero), "_p1": F.coalesce(F.sum("pos").over(wl), zero)})
+    return d.join(tot, [*by, "_r"]).select(*by, "score", "pos", "neg", (F.col("_n0") + F.col("_n1")).alias("neg_below"),
+                                           (F.col("_p0") + F.col("_p1")).alias("pos_below"))
+
+
+def roc_auc(scores: DataFrame, by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """EV3: exact ROC-AUC per group (ties count one half), from (label, score).
+    Rows without a label or with a null or NaN score take no part.
+
+    AUC = sum over distinct s of pos(s) * (neg(<s) + neg(s)/2) / (P*N)."""
+    by = by or []
+    d = _below(scores, by, ranges)
+    contrib = F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)
     agg = d.groupBy(*by).agg(F.sum(contrib).alias("_u"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     return agg.select(*by, F.try_divide(F.col("_u"), F.col("_p") * F.col("_n")).alias("roc_auc"))
 
 
-def roc_points(scores: DataFrame, by: list[str] | None = None, digits: int = 4) -> DataFrame:
-    """EV4: (threshold, fpr, tpr) per distinct score binned to ``digits``;
-    the cumulative window runs over at most 10**digits + 1 bins per group."""
+def roc_points(scores: DataFrame, by: list[str] | None = None, digits: int | None = None, ranges: int | None = None) -> DataFrame:
+    """EV4: (threshold, fpr, tpr) for every distinct score, and the origin (0, 0)
+    at an infinite threshold.  ``digits`` bins the scores first, if asked for."""
     by = by or []
-    b = scores.withColumn("threshold", F.round("score", digits))
-    d = b.groupBy(*by, "threshold").agg(F.count_if(F.col("label") == 1).alias("pos"),
-                                        F.count_if(F.col("label") != 1).alias("neg"))
-    w = Window.partitionBy(*by).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy(*by)
-    return d.select(*by, "threshold",
-                    F.try_divide(F.sum("neg").over(w), F.sum("neg").over(wall)).alias("fpr"),
-                    F.try_divide(F.sum("pos").over(w), F.sum("pos").over(wall)).alias("tpr"))
+    if digits is not None:
+        scores = scores.withColumn("score", F.round("score", digits))
+    d = _below(scores, by, ranges)
+    total = d.groupBy(*by).agg(F.sum("neg").alias("_n"), F.sum("pos").alias("_p"))
+    one = [*by, "_one"]
+    pts = d.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), one)
+    pts = pts.select(*by, F.col("score").cast("double").alias("threshold"),
+                     F.try_divide(F.col("_n") - F.col("neg_below"), F.col("_n")).alias("fpr"),
+                     F.try_divide(F.col("_p") - F.col("pos_below"), F.col("_p")).alias("tpr"))
+    return pts.union(total.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
 def class_balance(df: DataFrame, label: str = "isFraud") -> DataFrame:

@@ -17,7 +17,11 @@ where ``C(x)`` = number of the account's rows with ``ts <= x``.  ``C`` at the
 shifted instant is read by a *probe* row placed in the bucket of that instant,
 so no bucket needs to see any other bucket's rows and no rows are replicated
 per window length.  Only a narrow projection is shuffled by bucket; the result
-is joined back to the wide input once, on ``txn_id``.
+is joined back to the wide input once, on (``txn_id``, account, time).
+
+Rows without an account or a time have no history: they stay, with null
+history columns.  Rows that agree in id, account and time count as one
+transaction (drop repeated rows first).
 """
 
 from __future__ import annotations
@@ -68,6 +72,9 @@ def history_features(
     bucket_us = _interval_us(bucket)
     names = list(velocity)
 
+    placed = F.col("account").isNotNull() & F.col("ts").isNotNull()
+    nowhere = txn.where(~placed)
+    txn = txn.where(placed)
     narrow = txn.select(
         "account", "txn_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
         "amount", F.struct(F.col("device_type_encoded").alias("dev"),
@@ -106,6 +113,7 @@ def history_features(
     local = u.withColumns({
         "rn_in": F.sum("kind").over(upto),
         "amt_in": F.sum(F.when(is_data, F.col("amount"))).over(before),
+        "paid_in": F.count(F.when(is_data, F.col("amount"))).over(before),
         "prev_in": prev,
     }).withColumn("le_in", F.sum("kind").over(peers))
 
@@ -118,45 +126,52 @@ def history_features(
     per_bucket = u.groupBy("account", "b").agg(
         F.sum("kind").alias("cnt"),
         F.sum(F.when(is_data, F.col("amount"))).alias("amt"),
-        last.alias("_last"),
+        F.count(F.when(is_data, F.col("amount"))).alias("paid"),
+        last.alias("last"),
         F.min(F.when(is_data, F.col("t_us"))).alias("first_us"),
-    ).select("account", "b", "cnt", "amt", "first_us", F.col("_last.dev").alias("last_dev"),
-             F.col("_last.lat").alias("last_lat"), F.col("_last.lng").alias("last_lng"),
-             F.col("_last.t").alias("last_t"))
+    )
     acct_w = Window.partitionBy("account").orderBy("b")
     acct_before = acct_w.rowsBetween(Window.unboundedPreceding, -1)
     prefix = per_bucket.select(
         "account", "b",
         F.coalesce(F.sum("cnt").over(acct_before), F.lit(0)).alias("cnt_before"),
         F.sum("amt").over(acct_before).alias("amt_before"),
-        *[F.last(c, ignorenulls=True).over(acct_before).alias(f"{c}_before")
-          for c in ("last_dev", "last_lat", "last_lng", "last_t")],
+        F.coalesce(F.sum("paid").over(acct_before), F.lit(0)).alias("paid_before"),
+        # the whole last row: its fields must not come from different rows
+        F.last("last", ignorenulls=True).over(acct_before).alias("last_before"),
         F.min("first_us").over(Window.partitionBy("account")).alias("first_us_acct"),
     )
 
     joined = local.join(prefix, ["account", "b"], "inner")
     c_at = F.col("cnt_before") + F.col("le_in")
     has_in = F.col("prev_in").isNotNull()
-    per_txn = joined.groupBy("txn_id").agg(
+    # times of data rows; a probe row carries its transaction's time shifted, so it is keyed by the shift undone
+    shifts = [0, *(_interval_us(velocity[n]) + 1 for n in names)]
+    joined = joined.withColumn("_t", F.col("t_us") + F.element_at(F.array(*[F.lit(x).cast("long") for x in shifts]), F.col("win") + 2))
+    per_txn = joined.groupBy("account", "txn_id", "_t").agg(
         F.max(F.when(is_data, F.col("cnt_before") + F.col("rn_in"))).alias("transactions_per_user"),
         F.max(F.when(is_data, c_at)).alias("_c_now"),
         F.max(F.when(is_data, F.coalesce(F.col("amt_before"), F.lit(0.0))
                      + F.coalesce(F.col("amt_in"), F.lit(0.0)))).alias("_sum_before"),
-        *[F.max(F.when(is_data, F.when(has_in, F.col(f"prev_in.{f}")).otherwise(F.col(f"last_{f}_before"))))
+        F.max(F.when(is_data, F.col("paid_before") + F.col("paid_in"))).alias("_paid_before"),
+        F.max(F.when(is_data, (has_in | F.col("last_before").isNotNull()).cast("int"))).alias("_has_prev"),
+        *[F.max(F.when(is_data, F.when(has_in, F.col(f"prev_in.{f}")).otherwise(F.col(f"last_before.{f}"))))
           .alias(f"_prev_{f}") for f in ("dev", "lat", "lng", "t")],
         F.max(F.when(is_data, F.col("first_us_acct"))).alias("_first_us"),
         *[F.max(F.when(F.col("win") == i, c_at)).alias(f"_c_probe{i}") for i in range(len(names))],
     )
 
-    out = txn.join(per_txn, "txn_id", "inner")
-    n_before = F.col("transactions_per_user") - 1
-    avg = F.when(n_before > 0, F.col("_sum_before") / n_before).otherwise(F.col("amount") * F.lit(first_avg_factor))
+    mine = per_txn.withColumnsRenamed({"account": "_account", "txn_id": "_txn_id"})
+    out = txn.join(mine, (F.col("account") == F.col("_account")) & F.col("txn_id").eqNullSafe(F.col("_txn_id"))
+                   & (F.unix_micros(F.col("ts").cast("timestamp")) == F.col("_t")), "left")
+    avg = F.when(F.col("_paid_before") > 0, F.col("_sum_before") / F.col("_paid_before")).otherwise(F.col("amount") * F.lit(first_avg_factor))
     if avg_floor is not None:
         avg = F.greatest(avg, F.lit(float(avg_floor)))
-    has_prev = F.col("_prev_dev").isNotNull()
+    has_prev = F.col("_has_prev") == 1
     prev_lat = F.coalesce(F.col("_prev_lat"), F.col("latitude"))
     prev_lng = F.coalesce(F.col("_prev_lng"), F.col("longitude"))
-    dist = F.when(has_prev, haversine_km("latitude", "longitude", prev_lat, prev_lng)).otherwise(F.lit(0.0))
+    known = has_prev & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    dist = F.coalesce(F.when(known, haversine_km("latitude", "longitude", prev_lat, prev_lng)), F.lit(0.0))
     first_ts = F.timestamp_micros(F.col("_first_us"))
     out = out.withColumns({
         **{name: (F.col("_c_now") - F.col(f"_c_probe{i}")).cast("int") for i, name in enumerate(names)},
@@ -175,8 +190,9 @@ def history_features(
         elapsed = F.unix_micros(F.col("ts").cast("timestamp")) - F.col("_prev_t")
         out = out.withColumn("impossible_travel_flag", (F.col("impossible_travel_flag").cast("boolean") & has_prev
                                                          & (elapsed <= F.lit(_interval_us(travel_within)))).cast("int"))
-    return out.drop("_c_now", "_sum_before", "_prev_dev", "_prev_lat", "_prev_lng", "_prev_t", "_first_us",
-                    *[f"_c_probe{i}" for i in range(len(names))])
+    out = out.drop("_c_now", "_sum_before", "_paid_before", "_has_prev", "_prev_dev", "_prev_lat", "_prev_lng", "_prev_t",
+                   "_first_us", "_account", "_txn_id", "_t", *[f"_c_probe{i}" for i in range(len(names))])
+    return out.unionByName(nowhere, allowMissingColumns=True)
 
 
 def history_features_by_window(txn: DataFrame, *, velocity: dict[str, str] | None = None,
@@ -207,5 +223,7 @@ def history_features_by_window(txn: DataFrame, *, velocity: dict[str, str] | Non
     return out.withColumns({
         "velocity_rows5": F.least(F.col("transactions_per_user"), F.lit(5)),
         "device_change_flag": F.when(has_prev & (F.col("_prev.device_type_encoded") != F.col("device_type_encoded")), 1).otherwise(0),
-        "geo_distance": F.when(has_prev, haversine_km("latitude", "longitude", "_prev.latitude", "_prev.longitude")).otherwise(0.0),
+        "geo_distance": F.when(has_prev & F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("_prev.latitude").isNotNull()
+                               & F.col("_prev.longitude").isNotNull(),
+                               haversine_km("latitude", "longitude", "_prev.latitude", "_prev.longitude")).otherwise(0.0),
     }).drop("_prev", "_t")

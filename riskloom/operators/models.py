@@ -116,7 +116,7 @@ class RffSvm:
     logistic regression on the margin.  The projection (D x d) is a bounded
     literal; everything else is Spark ML."""
 
-    def __init__(self, dims: int = 256, gamma: float | None = None, max_iter: int = 100, seed: int = 42):
+    def __init__(self, dims: int = 256, gamma: float | None = None, max_iter: int = 2000, seed: int = 42):
         self.dims, self.gamma, self.max_iter, self.seed = dims, gamma, max_iter, seed
 
     def _project(self, df: DataFrame) -> DataFrame:
@@ -215,22 +215,27 @@ def save_models(path: str, *, lr=None, rf=None, iforest=None, scaler: dict | Non
 
 
 def load_models(spark, path: str) -> dict:
-    """SRC6: load whatever ``save_models`` wrote."""
-    import os
-
+    """SRC6: load whatever ``save_models`` wrote, from any file system Spark knows;
+    a folder without a model is an error."""
     from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
 
     from riskloom.operators.anomaly import IsolationForestModel
 
+    def there(name: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
     out: dict = {}
-    if os.path.exists(f"{path}/logistic_regression"):
+    if there("logistic_regression"):
         out["lr"] = LogisticRegressionModel.load(f"{path}/logistic_regression")
-    if os.path.exists(f"{path}/random_forest"):
+    if there("random_forest"):
         out["rf"] = RandomForestClassificationModel.load(f"{path}/random_forest")
-    if os.path.exists(f"{path}/isolation_forest"):
+    if there("isolation_forest"):
         p = spark.read.parquet(f"{path}/isolation_forest/params").first()
         nodes = spark.read.parquet(f"{path}/isolation_forest/nodes").toPandas()
         out["iforest"] = IsolationForestModel(nodes, list(p["features"]), p["psi"], p["threshold"])
-    if os.path.exists(f"{path}/scaler"):
+    if there("scaler"):
         out["scaler"] = {r["feature"]: (r["mean"], r["std"]) for r in spark.read.parquet(f"{path}/scaler").collect()}
+    if not out:
+        raise FileNotFoundError(f"no saved model under {path}")
     return out

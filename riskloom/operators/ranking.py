@@ -84,30 +84,27 @@ def exact_quantile(df: DataFrame, col: str, q: float, ranges: int = 64, rel_err:
     targets = sorted({lo_rank, min(lo_rank + 1, n - 1)})
 
     found: dict[int, float] = {}
-    scope, offset = counts, 0
-    for _ in range(8):
+    todo = [(counts, 0, targets)]
+    while todo:
+        scope, offset, wanted = todo.pop()
         probs = [i / ranges for i in range(1, ranges)]
         bounds = sorted(set(x for x in scope.approxQuantile("v", probs, rel_err) if x is not None))
         tagged = with_range(scope, "v", bounds)
         tot = sorted((r["_r"], r["n"], r["d"]) for r in
                      tagged.groupBy("_r").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect())
-        start, need = offset, []
+        start = offset
         for rid, cnt, distinct in tot:
-            hit = [t for t in targets if t not in found and start <= t < start + cnt]
-            if hit:
-                need.append((rid, start, cnt, distinct, hit))
+            hit = [t for t in wanted if start <= t < start + cnt]
+            part = tagged.filter(F.col("_r") == rid)
+            # a range that is still large is split again, unless it can't be
+            if hit and distinct > max_local and len(tot) > 1:
+                todo.append((part.drop("_r"), start, hit))
+            elif hit:
+                w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+                part = part.withColumn("_cum", F.sum("c").over(w) + F.lit(start))
+                for t in hit:
+                    found[t] = part.filter(F.col("_cum") > t).agg(F.min("v")).first()[0]
             start += cnt
-        small = [x for x in need if x[3] <= max_local or len(bounds) == 0]
-        for rid, s0, _, _, hit in small:
-            w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-            part = tagged.filter(F.col("_r") == rid).withColumn("_cum", F.sum("c").over(w) + F.lit(s0))
-            for t in hit:
-                found[t] = part.filter(F.col("_cum") > t).agg(F.min("v")).first()[0]
-        big = [x for x in need if x not in small]
-        if not big:
-            break
-        rid, s0, _, _, _ = big[0]
-        scope, offset = tagged.filter(F.col("_r") == rid).drop("_r"), s0
     lo = found[targets[0]]
     hi = found[targets[-1]]
     return lo + frac * (hi - lo)

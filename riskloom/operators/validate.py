@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import nonfinite_to_zero
+from riskloom.schemas import ONLINE_TRANSACTION
 
 # --- Fixed values: defaults for a transaction with missing fields ---------------
 # Each entry: (column, default value or builder, Spark type).  Order matters: a
@@ -54,10 +55,20 @@ def apply_defaults(df: DataFrame, keep_present: bool = True) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in exprs], *[e.alias(n) for n, e in exprs.items()])
 
 
+# a number as a decimal literal with an optional exponent; no NaN, Infinity or type suffix
+NUMBER = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def number(text) -> Column:
+    """The finite number that ``text`` spells, else null."""
+    t = F.col(text) if isinstance(text, str) else text
+    v = F.when(t.rlike(NUMBER), F.trim(t).try_cast("double"))
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
+
+
 def split_valid(df: DataFrame, amount_text: str = "amount_text") -> tuple[DataFrame, DataFrame]:
-    """FLT1: (valid, quarantine) by whether the required amount parses."""
-    parsed = F.expr(f"try_cast(`{amount_text}` AS DOUBLE)")
-    tagged = df.withColumn("amount", parsed)
+    """FLT1: (valid, quarantine) by whether the required amount is a finite number."""
+    tagged = df.withColumn("amount", number(amount_text))
     valid = tagged.filter(F.col("amount").isNotNull())
     bad = tagged.filter(F.col("amount").isNull()).withColumn(
         "quarantine_reason",
@@ -67,8 +78,27 @@ def split_valid(df: DataFrame, amount_text: str = "amount_text") -> tuple[DataFr
 
 def with_validity(df: DataFrame, amount_text: str = "amount_text") -> DataFrame:
     """FLT1 as one table: parsed amount plus an is_valid flag (for split sinks)."""
-    parsed = F.expr(f"try_cast(`{amount_text}` AS DOUBLE)")
-    return df.withColumn("amount", parsed).withColumn("is_valid", F.col("amount").isNotNull().cast("int"))
+    return df.withColumn("amount", number(amount_text)).withColumn("is_valid", F.col("amount").isNotNull().cast("int"))
+
+
+def coerce_online(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """SRC4 + SC14: JSON payloads -> typed online transactions.
+
+    Fields are read as text, so a number may come as a number or as a string;
+    whole-number fields are truncated; what isn't a finite number counts as
+    missing.  ``amount_text`` keeps the required field for FLT1."""
+    as_text = ", ".join(f"`{f.name}` string" for f in ONLINE_TRANSACTION)
+    rest = [c for c in payloads.columns if c != payload]
+    read = payloads.select(*rest, F.from_json(payload, as_text).alias("_t"))
+    cols = []
+    for f in ONLINE_TRANSACTION:
+        v = F.col(f"_t.{f.name}")
+        if f.dataType.simpleString() != "string":
+            v = number(v)
+        if f.dataType.simpleString() == "int":
+            v = (F.when(v < 0, F.ceil(v)).otherwise(F.floor(v))).try_cast("int")
+        cols.append(v.alias(f.name))
+    return read.select(*rest, F.col("_t.amount").alias("amount_text"), *cols)
 
 
 def clean_nonfinite(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -64,15 +64,15 @@ def roc_auc(spark, sf_dir):
 
 
 @register("roc_points", base(f"""{_CM}
-, b AS (SELECT round(score, 4) AS threshold, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+, b AS (SELECT score AS threshold, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
         FROM ls WHERE model = 'hybrid' GROUP BY 1)
 SELECT threshold,
   round(sum(neg) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(neg) OVER (), 6) AS fpr,
   round(sum(pos) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(pos) OVER (), 6) AS tpr
-FROM b"""))
+FROM b UNION ALL SELECT CAST('Infinity' AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)"""))
 def roc_points(spark, sf_dir):
     ls = _long(spark, sf_dir).filter(F.col("model") == "hybrid")
-    p = EV.roc_points(ls)
+    p = EV.roc_points(ls.drop("model"))
     return p.select("threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
 
 

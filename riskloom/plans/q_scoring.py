@@ -115,29 +115,41 @@ def stats_hourly(spark, sf_dir):
 
 # ---------------------------------------------------------------- online payloads (JSON)
 
-_ONLINE_FIELDS = ["amount", "type", "oldbalanceOrg", "login_attempts", "QR_flag", "OTP_flag", "hour_of_day",
-                  "device_type_encoded"]
-
-
 def online_payloads(spark, sf_dir):
-    """One JSON payload per event, as the online path receives them: fields the
-    event does not carry are absent (a null field is omitted by ``to_json``)."""
+    """One JSON payload per event, as the online path receives them: absent
+    fields, numbers as strings, fractions in whole-number fields, and payloads
+    whose required amount is absent or not a number."""
     t = inputs.transactions(spark, sf_dir)
-    ob = F.when(F.col("k") % 4 == 0, F.lit(None)).otherwise(F.col("oldbalanceOrg")).alias("oldbalanceOrg")
-    cols = [ob if c == "oldbalanceOrg" else F.col(c) for c in _ONLINE_FIELDS]
-    return t.select("txn_id", F.to_json(F.struct(*cols)).alias("payload"))
+    k = F.col("k")
+
+    def field(name, value=None, quoted=False):
+        v = (F.col(name) if value is None else value).cast("string")
+        return F.concat(F.lit(f'"{name}":"'), v, F.lit('"')) if quoted else F.concat(F.lit(f'"{name}":'), v)
+
+    parts = [
+        F.when(k % 25 == 4, F.lit(None)).when(k % 25 == 5, F.lit('"amount":"NaN"'))
+        .when(k % 5 == 1, field("amount", quoted=True)).otherwise(field("amount")),
+        field("type", quoted=True),
+        F.when(k % 4 != 0, field("oldbalanceOrg")),
+        F.when(k % 5 == 2, field("login_attempts", quoted=True))
+        .when(k % 5 == 3, field("login_attempts", F.col("login_attempts") + F.lit(0.7))).otherwise(field("login_attempts")),
+        F.when(k % 5 == 3, F.lit('"account_age":29.7')).when(k % 5 == 4, F.lit('"account_age":null')),
+        *[field(c) for c in ("QR_flag", "OTP_flag", "hour_of_day", "device_type_encoded")],
+    ]
+    return t.select("txn_id", F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}")).alias("payload"))
 
 
 @register("online_score", with_ctes(TXN, body=f"""
-, p AS (SELECT txn_id, amount, type, login_attempts, QR_flag,
-          CASE WHEN k % 4 = 0 THEN amount * 2 ELSE oldbalanceOrg END AS ob FROM txn)
+, p AS (SELECT txn_id, amount, type, login_attempts, QR_flag, CASE WHEN k % 5 = 3 THEN 29 ELSE 365 END AS account_age,
+          CASE WHEN k % 4 = 0 THEN amount * 2 ELSE oldbalanceOrg END AS ob FROM txn WHERE k % 25 NOT IN (4, 5))
 , f AS (SELECT *, least(amount / greatest(ob, {D(1)}), {D(100)}) AS balance_ratio,
           CAST(CASE type WHEN 'CASH_IN' THEN 0 WHEN 'CASH_OUT' THEN 1 WHEN 'DEBIT' THEN 2 WHEN 'PAYMENT' THEN 3
                          ELSE 4 END AS INTEGER) AS type_encoded,
           round(least(amount / {D(300000)}, {D(1)}), 4) AS ml, round({D(0.4)} - least({D(10)} / {D(3000)}, {D(1)}) * {D(0.6)}, 4) AS dec
         FROM p)
-, r AS (SELECT *, least((((({D(0)} + CASE WHEN amount > 100000 THEN {D(0.25)} ELSE {D(0)} END)
+, r AS (SELECT *, least(((((({D(0)} + CASE WHEN amount > 100000 THEN {D(0.25)} ELSE {D(0)} END)
           + CASE WHEN amount <= 100000 AND amount > 50000 THEN {D(0.15)} ELSE {D(0)} END)
+          + CASE WHEN account_age < 30 AND amount > 25000 THEN {D(0.2)} ELSE {D(0)} END)
           + CASE WHEN login_attempts >= 4 THEN {D(0.2)} ELSE {D(0)} END)
           + CASE WHEN balance_ratio > 0.9 THEN {D(0.2)} ELSE {D(0)} END), {D(1)}) AS rule_score,
           least(greatest({D(0.5)} - dec, {D(0)}), {D(1)}) AS anomaly FROM f)
@@ -148,15 +160,15 @@ SELECT txn_id, type_encoded, round(balance_ratio, 6) AS balance_ratio, round(rul
   CASE WHEN fraud_probability >= 0.6 THEN 'FRAUD' WHEN fraud_probability >= 0.3 THEN 'SUSPICIOUS' ELSE 'SAFE' END
     AS fraud_label FROM s"""))
 def online_score(spark, sf_dir):
-    """SRC4 + D5 + FLT2 + online profile: JSON payloads -> declared schema ->
-    defaults -> online features -> rules -> hybrid score."""
+    """SRC4 + D5 + FLT1 + FLT2 + online profile: JSON payloads -> typed fields ->
+    rejection of those without a numeric amount -> defaults -> online features ->
+    rules -> hybrid score."""
     from riskloom.operators.features import scalar_features
-    from riskloom.operators.validate import apply_defaults
-    from riskloom.schemas import ONLINE_TRANSACTION
+    from riskloom.operators.validate import apply_defaults, coerce_online, split_valid
     from riskloom.sources import adapter
 
-    parsed = online_payloads(spark, sf_dir).select("txn_id", F.from_json("payload", ONLINE_TRANSACTION).alias("t"))
-    f = scalar_features(apply_defaults(parsed.select("txn_id", "t.*")), "online")
+    valid, _ = split_valid(coerce_online(online_payloads(spark, sf_dir)))
+    f = scalar_features(apply_defaults(valid.drop("amount_text")), "online")
     f = f.withColumns({"ml_probability": adapter.fixture_ml(F.col("amount")),
                        "anomaly_decision": adapter.fixture_decision(F.col("geo_distance"))})
     s = SC.score(f)
@@ -164,6 +176,17 @@ def online_score(spark, sf_dir):
                     F.round("rule_score", 4).alias("rule_score"), "fraud_probability", "risk_score", "fraud_label")
 
 
+@register("online_rejected", with_ctes(TXN, body="""
+SELECT txn_id, CASE WHEN k % 25 = 4 THEN 'missing amount' ELSE 'unparsable amount' END AS quarantine_reason
+FROM txn WHERE k % 25 IN (4, 5)"""))
+def online_rejected(spark, sf_dir):
+    """FLT1 on the online path: payloads without a numeric amount, with the reason."""
+    from riskloom.operators.validate import coerce_online, split_valid
+
+    _, bad = split_valid(coerce_online(online_payloads(spark, sf_dir)))
+    return bad.select("txn_id", "quarantine_reason")
+
+
 # ---------------------------------------------------------------- the same scoring as a stream
 
 @register("stream_scored", base("""SELECT txn_id, ml_probability, round(anomaly_score, 4) AS anomaly_score,

@@ -90,13 +90,11 @@ def txn_defaults(spark, sf_dir):
 
 @register("txn_enriched", with_ctes(TXN, body="""
 SELECT t.txn_id, t.account, c.c_nationkey, c.c_mktsegment, t.oldbalanceOrg, t.newbalanceOrig
-FROM txn t JOIN customer c ON t.account = c.c_custkey"""))
+FROM txn t LEFT JOIN customer c ON t.account = c.c_custkey"""))
 def txn_enriched(spark, sf_dir):
     ev = inputs.adapter.event_columns(table(spark, sf_dir, "events"))
-    cust = table(spark, sf_dir, "customer")
-    j = inputs.adapter.with_balances(ev, cust)
-    dims = cust.select(F.col("c_custkey").alias("account"), "c_nationkey", "c_mktsegment")
-    return j.join(dims, "account").select("txn_id", "account", "c_nationkey", "c_mktsegment", "oldbalanceOrg",
+    j = inputs.adapter.with_balances(ev, table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
+    return j.select("txn_id", "account", "c_nationkey", "c_mktsegment", "oldbalanceOrg",
                                           "newbalanceOrig")
 
 

@@ -18,8 +18,8 @@ adapted AS (
   SELECT e.event_id AS txn_id, e.user_id AS account, e.ts AS ts, e.event_type,
          CAST(json_extract(e.props, '$.k') AS INTEGER) AS k,
          round(e.value * {D(1000)}, 2) AS amount,
-         CASE WHEN c.c_acctbal > 0 THEN round(c.c_acctbal * {D(20)}, 2) ELSE {D(0)} END AS oldbalanceOrg
-  FROM events e JOIN customer c ON e.user_id = c.c_custkey
+         CASE WHEN c.c_custkey IS NULL THEN round(e.value * {D(1000)}, 2) * 2 WHEN c.c_acctbal > 0 THEN round(c.c_acctbal * {D(20)}, 2) ELSE {D(0)} END AS oldbalanceOrg
+  FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey
 ),
 txn AS (
   SELECT txn_id, account, ts, event_type, k, amount, oldbalanceOrg,

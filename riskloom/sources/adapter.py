@@ -60,23 +60,26 @@ def event_columns(events: DataFrame) -> DataFrame:
     )
 
 
-def account_balances(customer: DataFrame) -> DataFrame:
+def account_balances(customer: DataFrame, *extra: str) -> DataFrame:
     return customer.select(
         F.col("c_custkey").alias("account"),
         F.when(F.col("c_acctbal") > 0, F.round(F.col("c_acctbal") * F.lit(BALANCE_SCALE), 2))
         .otherwise(F.lit(0.0)).alias("oldbalanceOrg"),
+        *extra,
     )
 
 
-def with_balances(txn: DataFrame, customer: DataFrame) -> DataFrame:
-    """J3: enrich transactions with account attributes.
+def with_balances(txn: DataFrame, customer: DataFrame, *extra: str) -> DataFrame:
+    """J3: enrich transactions with account attributes.  A transaction of an
+    account without a row there stays, with the default balance of twice the amount.
 
     The dimension side is *not* force-broadcast: Catalyst broadcasts it only when
     its estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (a checked
     bound), otherwise it plans a sort-merge join whose hot-account partitions AQE
     splits (``spark.sql.adaptive.skewJoin.enabled``)."""
     return (
-        txn.join(account_balances(customer), "account", "inner")
+        txn.join(account_balances(customer, *extra), "account", "left")
+        .withColumn("oldbalanceOrg", F.coalesce("oldbalanceOrg", F.col("amount") * 2))
         .withColumn("newbalanceOrig", F.greatest(F.col("oldbalanceOrg") - F.col("amount"), F.lit(0.0)))
     )
 

@@ -91,3 +91,34 @@ def test_heavy_hitter_buckets(spark):
                                      "device_type_encoded int, latitude double, longitude double")
     got = history_features(df, velocity=VEL, bucket="1 day", hot_rows=100, bucket_rows=25)
     _compare(got, history_features_by_window(df, velocity=VEL))
+
+
+def test_nulls_do_not_depend_on_the_bucket(spark):
+    """Null devices, positions and amounts, one id twice, rows without account or time."""
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(120):
+        rows.append((i, i % 4, base + dt.timedelta(minutes=17 * i), None if i % 5 == 0 else float(i), None if i % 3 == 0 else i % 2,
+                     None if i % 7 == 0 else 8.0 + i % 9, None if i % 7 == 0 else 70.0 + i % 5))
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = history_features_by_window(df, velocity=VEL)
+    for bucket in ("1 hour", "7 minutes", "2 days"):
+        _compare_null(history_features(df, velocity=VEL, bucket=bucket), want)
+    odd = [(900, None, base, 1.0, 0, 8.0, 70.0), (901, 1, None, 1.0, 0, 8.0, 70.0), (0, 77, base, 5.0, 0, 8.0, 70.0),
+           (0, 77, base + dt.timedelta(hours=1), 5.0, 0, 8.0, 70.0)]
+    got = history_features(df.union(spark.createDataFrame(odd, SCHEMA)), velocity=VEL)
+    assert got.count() == len(rows) + len(odd)
+    assert sorted(r["transactions_per_user"] for r in got.where("account = 77").collect()) == [1, 2]
+    assert [r["transactions_per_user"] for r in got.where("account IS NULL OR ts IS NULL").collect()] == [None, None]
+
+
+SCHEMA = "txn_id long, account long, ts timestamp, amount double, device_type_encoded int, latitude double, longitude double"
+
+
+def _compare_null(a, b):
+    ka, kb = ({r["txn_id"]: r for r in x.collect()} for x in (a, b))
+    assert ka.keys() == kb.keys()
+    for t in ka:
+        assert [ka[t][c] for c in COLS] == [kb[t][c] for c in COLS], t
+        for c in ("avg_transaction", "geo_distance"):
+            assert ka[t][c] == (None if kb[t][c] is None else pytest.approx(kb[t][c], rel=1e-9, abs=1e-9)), (t, c)
