@@ -33,7 +33,7 @@ SHARD_IDS = 1 << 20  # a shard closes after the document that brings it to so ma
 ROUNDS = 5
 PAIRS = 2048         # pairs replaced in a round at most
 MIN_COUNT = 12       # a rule takes three numbers, so a pair must come back often enough
-_BITS = 22
+_BITS = 18
 
 SHARD = ("part int, block int, n_ids long, n_terminals int, rules binary, lengths binary, symbols binary, "
          "doc_ids array<long>, doc_starts array<long>")
@@ -52,7 +52,7 @@ def compress(ids: np.ndarray, n_terminals: int, rounds: int = ROUNDS, pairs: int
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        h = _hash(seq[:-1], seq[1:])
+        h = _hash(seq[:-1], seq[1:]).astype(np.intp)
         counts = np.bincount(h, minlength=1 << _BITS)
         k = min(pairs, int((counts >= min_count).sum()))
         if not k:
