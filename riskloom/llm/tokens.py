@@ -17,7 +17,7 @@ import pandas as pd
 
 OTHER, LETTER, NUMBER, SPACE, MARKUP = 0, 1, 2, 3, 4
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 BATCH_CHARS = 2_000_000
 
 
