@@ -115,9 +115,9 @@ def bootstrap(docs: DataFrame, found: DataFrame, conf: Bootstrap = Bootstrap())
     names = [r["ctx"] for r in top]
     w = F.filter(F.split(F.lower(text_or_empty()), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     pairs = docs.select(once(F.concat(F.array(F.lit("")), w)).alias("w")).select(once(F.expr(
-        "filter(transform(sequence(0, size(w) - 2), i -> concat_ws(' ', w[i], w[i + 1])), p -> p IN ({}))".format(
+        "CASE WHEN size(w) >= 2 THEN filter(transform(sequence(0, size(w) - 2), i -> concat_ws(' ', w[i], w[i + 1])), p -> p IN ({})) END".format(
             ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names))
-    ) if names else F.array()).alias("p"))
+    )).alias("p"))
     total = cut_lineage(pairs.select(F.explode("p").alias("ctx")).groupBy("ctx").agg(F.count("*").alias("total")))
     scored = edges.join(total, "ctx")
     for _ in range(conf.rounds):
