@@ -47,12 +47,13 @@ def history_search(spark, sf_dir):
     return _rows(L.latest(L.search(inputs.scored_log(spark, sf_dir), SEARCH_TEXT, SEARCH_STATUS)))
 
 
-SEARCH_AMOUNT = "99."
+SEARCH_AMOUNT = "99"
 _DIGITS = "regexp_replace(CAST(CAST(amount AS DECIMAL(38,12)) AS VARCHAR), '\\.?0+$', '')"
 
 
 @register("history_search_amount", base(f"""SELECT {_ROW} FROM (SELECT * FROM log
-  WHERE amount <> 0 AND contains({_DIGITS}, '{SEARCH_AMOUNT}') {_NEWEST})"""))
+  WHERE contains(sender_id, '{SEARCH_AMOUNT}') OR contains(receiver_id, '{SEARCH_AMOUNT}')
+     OR (amount <> 0 AND contains({_DIGITS}, '{SEARCH_AMOUNT}')) {_NEWEST})"""))
 def history_search_amount(spark, sf_dir):
     """FLT6 on digits: the plain text of the amount holds the searched part."""
     return _rows(L.latest(L.search(inputs.scored_log(spark, sf_dir), SEARCH_AMOUNT)))

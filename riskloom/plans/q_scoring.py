@@ -9,7 +9,7 @@ from riskloom.operators import scoring as SC
 from riskloom.operators.ledger import window_stats
 from riskloom.plans import inputs
 from riskloom.plans.catalog import register
-from riskloom.plans.sql import D, RULES, TXN, base, with_ctes
+from riskloom.plans.sql import D, RULES, TXN, _rule_score, base, hist_cte, with_ctes
 
 
 def _q(s: str) -> str:
@@ -113,6 +113,77 @@ def stats_hourly(spark, sf_dir):
     return window_stats(inputs.scored_log(spark, sf_dir), "1 hour")
 
 
+# ---------------------------------------------------------------- scoring with model objects
+
+# A small fixed model, stated as numbers so that SQL can repeat it: scaler, logistic
+# coefficients, and an isolation forest of two trees (node: feature, threshold, left, right, size).
+MODEL_SCALER = {"log_amount": (9.0, 2.0), "login_attempts": (3.5, 1.7), "geo_distance": (1100.0, 600.0)}
+MODEL_COEF, MODEL_INTERCEPT = [1.25, 0.75, 0.5], -1.5
+MODEL_TREES = [(0, 0, 0, 0.5, 1, 2, 8), (0, 1, -1, 0.0, -1, -1, 5), (0, 2, 1, 0.25, 3, 4, 3), (0, 3, -1, 0.0, -1, -1, 2), (0, 4, -1, 0.0, -1, -1, 1),
+               (1, 0, 2, 0.75, 1, 2, 8), (1, 1, 1, -0.5, 3, 4, 6), (1, 2, -1, 0.0, -1, -1, 2), (1, 3, -1, 0.0, -1, -1, 4), (1, 4, -1, 0.0, -1, -1, 2)]
+MODEL_PSI, MODEL_THRESHOLD = 8, 0.55
+MODEL_IMPORTANCE = [("login_attempts", 0.4), ("log_amount", 0.35), ("geo_distance", 0.25)]
+
+
+def fixed_models(spark):
+    """The fixed model above as the objects that training makes."""
+    import pandas as pd
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.linalg import DenseMatrix, Vectors
+
+    from riskloom.operators.anomaly import IsolationForestModel
+    from riskloom.operators.hybrid import HybridModels
+
+    java = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel
+    from pyspark.ml.common import _py2java
+
+    sc = spark.sparkContext
+    made = java("fixed", _py2java(sc, DenseMatrix(1, len(MODEL_COEF), MODEL_COEF, True)), _py2java(sc, Vectors.dense([MODEL_INTERCEPT])), 2, False)
+    nodes = pd.DataFrame(MODEL_TREES, columns=["tree", "node", "feat", "thr", "left", "right", "size"])
+    forest = IsolationForestModel(nodes, list(MODEL_SCALER), MODEL_PSI, MODEL_THRESHOLD)
+    return HybridModels(MODEL_SCALER, LogisticRegressionModel(made), forest, MODEL_IMPORTANCE)
+
+
+def _model_sql() -> str:
+    z = {f: f"(({f} - {D(m)}) / {D(s)})" for f, (m, s) in MODEL_SCALER.items()}
+    names = list(MODEL_SCALER)
+    logit = " + ".join(f"{z[f]} * {D(c)}" for f, c in zip(names, MODEL_COEF)) + f" + {D(MODEL_INTERCEPT)}"
+    euler = 0.5772156649015329
+
+    def c(n: int) -> str:
+        if n <= 2:
+            return D(1 if n == 2 else 0)
+        return f"({D(2)} * (ln({D(n - 1)}) + {D(euler)}) - {D(2)} * {D(n - 1)} / {D(n)})"
+
+    def walk(tree: int, node: int, depth: int) -> str:
+        _, _, feat, thr, left, right, size = next(r for r in MODEL_TREES if r[:2] == (tree, node))
+        if feat < 0:
+            return f"({D(depth)} + {c(size)})"
+        return f"CASE WHEN {z[names[feat]]} < {D(thr)} THEN {walk(tree, left, depth + 1)} ELSE {walk(tree, right, depth + 1)} END"
+
+    path = f"(({walk(0, 0, 0)}) + ({walk(1, 0, 0)})) / {D(2)}"
+    return f"""
+, m AS (SELECT * REPLACE ({D(1)} / ({D(1)} + exp(-({logit}))) AS ml_probability,
+                          {D(MODEL_THRESHOLD)} - pow({D(2)}, -({path}) / {c(MODEL_PSI)}) AS anomaly_decision) FROM feat)
+, mr AS (SELECT *, {_rule_score()} AS rule_score, least(greatest({D(0.5)} - anomaly_decision, {D(0)}), {D(1)}) AS anomaly_score FROM m)
+, ms AS (SELECT *, round(least(ml_probability * {D(0.5)} + anomaly_score * {D(0.2)} + rule_score * {D(0.3)}, {D(1)}), 4) AS p FROM mr)
+SELECT txn_id, round(ml_probability, 4) AS ml_probability, round(anomaly_score, 4) AS anomaly_score, p AS fraud_probability,
+  round(p * 100, 1) AS risk_score, CASE WHEN p >= 0.6 THEN 'FRAUD' WHEN p >= 0.3 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS fraud_label,
+  '{MODEL_IMPORTANCE[0][0]}' AS top_feature, {D(MODEL_IMPORTANCE[0][1])} AS top_importance FROM ms"""
+
+
+@register("hybrid_score_models", with_ctes(TXN, hist_cte(24), body=_model_sql()))
+def hybrid_score_models(spark, sf_dir):
+    """Main path: features -> scaler -> classifier and isolation forest -> rules ->
+    combined score -> prediction record with its importances."""
+    from riskloom.operators.hybrid import predictions
+
+    r = predictions(inputs.features(spark, sf_dir), fixed_models(spark)).select("txn_id", "prediction.*")
+    top = MODEL_IMPORTANCE[0][0]
+    return r.select("txn_id", "ml_probability", "anomaly_score", "fraud_probability", "risk_score", "fraud_label",
+                    F.lit(top).alias("top_feature"), F.col("feature_importance")[top].alias("top_importance"))
+
+
 # ---------------------------------------------------------------- online payloads (JSON)
 
 def online_payloads(spark, sf_dir):
