@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,19 +37,48 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` reliably to ``spark.checkpoint.dir`` and read it from there.
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles whose frames are no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    Files of shuffles that only fed ``df`` are no longer needed; dropping the
-    unreferenced frames lets Spark's cleaner delete them.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` reliably to ``spark.checkpoint.dir`` and read it from there."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     out = cut_lineage(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df
+    release(spark)
     return out
 
 
+class Scratch:
+    """Intermediate tables as compressed Parquet in ``spark.checkpoint.dir``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read again."""
+        path = f"{self.root}/{self.made}"
+        self.made += 1
+        df.write.option("compression", "zstd").parquet(path)
+        del df
+        release(self.spark)
+        out = self.spark.read.parquet(path)
+        out.scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read again."""
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
