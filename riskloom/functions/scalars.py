@@ -67,10 +67,6 @@ def impossible_travel(km, at: float = 500) -> Column:
     return (_c(km) > at).cast("int")
 
 
-def hour_of_day_from_step(step) -> Column:
-    return F.pmod(_c(step), F.lit(24)).cast("int")
-
-
 def is_night(hour, start: int = 23, end: int = 5) -> Column:
     h = _c(hour)
     return ((h >= start) | (h <= end)).cast("int")
@@ -80,10 +76,6 @@ def deviation(amount, avg) -> Column:
     return F.abs(_c(amount) - _c(avg))
 
 
-def to_num(c, dtype: str = "double") -> Column:
-    return F.expr(f"try_cast({c} AS {dtype})") if isinstance(c, str) else c.try_cast(dtype)
-
-
 def nonfinite_to_zero(c) -> Column:
     """+-inf -> NaN -> 0 and null -> 0."""
     c = _c(c)

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalars as S
-from riskloom.operators.history import history_features
-from riskloom.operators.validate import apply_defaults
 
 
 def scalar_features(df: DataFrame, profile: str = "batch") -> DataFrame:
@@ -24,10 +22,3 @@ def scalar_features(df: DataFrame, profile: str = "batch") -> DataFrame:
         "is_night_flag": S.is_night("hour_of_day") if profile == "batch" else F.col("is_night_flag"),
         "deviation_from_avg": S.deviation("amount", "avg_transaction"),
     })
-
-
-def engineer(txn: DataFrame, *, velocity: dict[str, str] | None = None, profile: str = "batch",
-             bucket: str = "1 hour") -> DataFrame:
-    """Adapted transactions -> full feature table (D2)."""
-    hist = history_features(txn, velocity=velocity, bucket=bucket)
-    return scalar_features(apply_defaults(hist, keep_present=True), profile)

@@ -32,6 +32,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """txn_id and fixture label alone: a narrow scan of events, without history."""
+    ev = adapter.event_columns(table(spark, sf_dir, "events"))
+    return ev.select("txn_id", adapter.fixture_label(F.col("amount"), F.col("login_attempts")).alias("isFraud"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(features(spark, sf_dir))
 

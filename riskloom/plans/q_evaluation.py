@@ -92,14 +92,14 @@ def model_comparison(spark, sf_dir):
 @register("class_balance", base("""SELECT isFraud AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
 FROM feat GROUP BY isFraud"""))
 def class_balance(spark, sf_dir):
-    cb = EV.class_balance(inputs.features(spark, sf_dir))
+    cb = EV.class_balance(inputs.labels(spark, sf_dir))
     return cb.select("label", "n", F.round("share", 6).alias("share"))
 
 
 @register("class_weights", base("""SELECT isFraud AS label, count(*) AS n_c,
   round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM feat GROUP BY isFraud"""))
 def class_weights(spark, sf_dir):
-    cw = EV.class_weights(inputs.features(spark, sf_dir))
+    cw = EV.class_weights(inputs.labels(spark, sf_dir))
     return cw.select("label", "n_c", F.round("weight", 6).alias("weight"))
 
 
@@ -110,13 +110,13 @@ _RANK = f"row_number() OVER (PARTITION BY isFraud ORDER BY {_H}, txn_id) - 1"
 @register("stratified_split", base(f"""SELECT txn_id, isFraud,
   CAST({_RANK} < round(count(*) OVER (PARTITION BY isFraud) * 0.2, 0) AS INTEGER) AS is_test FROM feat"""))
 def stratified_split(spark, sf_dir):
-    f = inputs.features(spark, sf_dir).select("txn_id", "isFraud")
+    f = inputs.labels(spark, sf_dir)
     return SA.stratified_split(f, seed=SEED).select("txn_id", "isFraud", "is_test")
 
 
 @register("stratified_folds", base(f"SELECT txn_id, isFraud, CAST(({_RANK}) % 5 AS INTEGER) AS fold FROM feat"))
 def stratified_folds(spark, sf_dir):
-    f = inputs.features(spark, sf_dir).select("txn_id", "isFraud")
+    f = inputs.labels(spark, sf_dir)
     return SA.stratified_folds(f, seed=SEED).select("txn_id", "isFraud", "fold")
 
 
