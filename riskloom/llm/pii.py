@@ -98,7 +98,6 @@ class Bootstrap:
     rounds: int = 3
     min_instances: int = 5       # distinct accepted instances behind a confident pattern
     min_confidence: float = 0.5  # share of a pattern's occurrences that they are
-    max_patterns: int = 2_000    # patterns scored: those with the most seeds
 
 
 def bootstrap(docs: DataFrame, found: DataFrame, conf: Bootstrap = Bootstrap()) -> DataFrame:
@@ -106,19 +105,13 @@ def bootstrap(docs: DataFrame, found: DataFrame, conf: Bootstrap = Bootstrap())
     seeds = found.select(F.explode("found.base").alias("x")).select("x.ctx", "x.m", "x.k", F.lit(True).alias("seed"))
     words = found.select(F.explode("found.words").alias("x")).select("x.ctx", "x.m", F.lit(None).cast("int").alias("k"), F.lit(False).alias("seed"))
     edges = cut_lineage(seeds.union(words).where("ctx != ' '").groupBy("ctx", "m", "k", "seed").agg(F.count("*").alias("n")))
-    # patterns worth counting in the whole corpus; at most max_patterns strings reach the driver
-    top = (edges.where("seed").groupBy("ctx", "k").agg(F.countDistinct("m").alias("d")).where(F.col("d") >= conf.min_instances)
-           .orderBy(F.desc("d"), "ctx", "k").limit(conf.max_patterns).select("ctx").distinct().collect())
     accepted = edges.where("seed").select("m", "k").distinct()
-    if not top:
-        return accepted.limit(0)
-    names = [r["ctx"] for r in top]
+    # a pattern with fewer distinct instances can't become confident
+    candidates = edges.where("seed").groupBy("ctx", "k").agg(F.countDistinct("m").alias("d")).where(F.col("d") >= conf.min_instances).select("ctx").distinct()
     w = F.filter(F.split(F.lower(text_or_empty()), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     pairs = docs.select(once(F.concat(F.array(F.lit("")), w)).alias("w")).select(once(F.expr(
-        "CASE WHEN size(w) >= 2 THEN filter(transform(sequence(0, size(w) - 2), i -> concat_ws(' ', w[i], w[i + 1])), p -> p IN ({})) END".format(
-            ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names))
-    )).alias("p"))
-    total = cut_lineage(pairs.select(F.explode("p").alias("ctx")).groupBy("ctx").agg(F.count("*").alias("total")))
+        "CASE WHEN size(w) >= 2 THEN transform(sequence(0, size(w) - 2), i -> concat_ws(' ', w[i], w[i + 1])) END")).alias("p"))
+    total = cut_lineage(pairs.select(F.explode("p").alias("ctx")).groupBy("ctx").agg(F.count("*").alias("total")).join(candidates, "ctx"))
     scored = edges.join(total, "ctx")
     for _ in range(conf.rounds):
         known = accepted.withColumnRenamed("k", "ak")

@@ -90,6 +90,14 @@ def test_context_discovers_and_redacts(docs_of):
     assert pii.redact(docs_of([])).count() == 0
 
 
+def test_rare_context_is_scored_among_many(docs_of):
+    # 2,100 contexts with six seeds each stand before the confident one in every order of (seeds, context)
+    rows = [(i, " ".join(f"a{i} b{i} u{i}x{j}@x.org" for j in range(6))) for i in range(2_100)]
+    rows += [(10_000 + i, f"hello there zz email: user{i}@x.org bye") for i in range(5)] + [(20_000, "zz email: zed77711_x bye")]
+    out = {r["doc_id"]: r["n"] for r in pii.find(docs_of(rows)).where("doc_id >= 10000").select("doc_id", F.size("added").alias("n")).collect()}
+    assert out == {20_000: 1} | {10_000 + i: 0 for i in range(5)}
+
+
 def test_digest_of_spans(docs_of):
     r = pii.find(docs_of([(1, "q a@b.co 9.9.9.9")])).select(F.sha2(pii.joined("base"), 256).alias("h"), pii.joined("base").alias("s")).first()
     assert r["s"] == "email:2:8,ip:9:16"
