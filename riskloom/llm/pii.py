@@ -2,12 +2,12 @@
 
 ``extract`` finds the base spans of every whole text together with the
 identifier-shaped words that no base pattern explains, each with its lexical
-pattern (the two words before it).  ``bootstrap`` works on the pattern-instance
+pattern (the two whole words before the word in which it starts).  ``bootstrap`` works on the pattern-instance
 graph: the base spans are the seed entities; a pattern's confidence is the
 share of all its occurrences in the corpus that are followed by an accepted
 instance; an instance that follows a pattern of high confidence is accepted
-with the pattern's kind, which in turn raises other patterns.  After a few
-rounds every occurrence of an accepted instance is a discovered span.
+with the pattern's kind, which in turn raises other patterns.  When nothing
+new is accepted every occurrence of an accepted instance is a discovered span.
 
 Defined results: a null or empty text has no spans; repeated rows get the same
 spans each; with no seeds or no confident pattern nothing is added; offsets are
@@ -42,7 +42,8 @@ GUARDS = {
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 # a word with a digit or an at sign
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
-BEFORE = 120  # code points before an instance in which its two words of context are looked for
+CELLS = 1 << 24  # of pair hashes, a bit each
+CELL = f"(xxhash64(ctx) & {CELLS - 1}L)"
 
 
 def _valid(kind: str, m: str) -> str:
@@ -59,68 +60,92 @@ def _valid(kind: str, m: str) -> str:
     return f"CASE WHEN length({digits}) BETWEEN 14 AND 19 THEN {luhn} ELSE false END"
 
 
-def _located(t: str, pattern: str, guard: str, valid: str, made: str) -> Column:
-    """Array of ``made`` for each valid match: the pieces between the matches and
-    the matches themselves, walked in order, give the offsets."""
+def _located(t: str, pattern: str, guard: str, valid: str) -> Column:
+    """Array of (s, e, m, ctx, f) for each valid match: the pieces between the matches
+    and the matches themselves, walked in order, give the offsets.  ``c`` are the last
+    two whole words and what stands of the next one; ``ctx`` the two, in lower case, and
+    ``f`` tells the first valid match that starts in its word (``w`` is the last such word's start)."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
     g = guard.replace("\\", "\\\\").replace("'", "\\'")
-    made_type = "array<struct<s:int,e:int,m:string>>"
+    made_type = "array<struct<s:int,e:int,m:string,ctx:string,f:boolean>>"
+    words = "slice(concat(array('', ''), split(concat(array_join({c}, ' '), {x}), '[\\\\x20\\\\x09-\\\\x0D]+')), -3, 3)"
+    at, word = "a.at + length(x.p)", "a.at + length(x.p) - length(c[2])"
+    made = f"struct({at} AS s, {at} + length(x.m) AS e, x.m AS m, lower(concat(c[0], ' ', c[1])) AS ctx, {word} != a.w AS f)"
     return F.expr(
         f"CASE WHEN {t} RLIKE '{g}' THEN "
         f"aggregate(zip_with(split({t}, '{p}', -1), regexp_extract_all({t}, '{p}', 0), (p, m) -> struct(p AS p, m AS m)), "
-        f"struct(0 AS at, cast(array() AS {made_type}) AS out), (a, x) -> struct("
-        f"a.at + length(x.p) + coalesce(length(x.m), 0) AS at, "
-        f"CASE WHEN x.m IS NOT NULL AND {valid} THEN array_append(a.out, {made}) ELSE a.out END AS out), a -> a.out) "
+        f"struct(0 AS at, -1 AS w, array('', '', '') AS c, cast(array() AS {made_type}) AS out), (a, x) -> CASE WHEN x.m IS NULL THEN a ELSE "
+        f"transform(array({words.format(c='a.c', x='x.p')}), c -> transform(array({valid}), v -> struct("
+        f"{at} + length(x.m) AS at, CASE WHEN v THEN {word} ELSE a.w END AS w, {words.format(c='c', x='x.m')} AS c, "
+        f"CASE WHEN v THEN array_append(a.out, {made}) ELSE a.out END AS out))[0])[0] END, a -> a.out) "
         f"ELSE cast(array() AS {made_type}) END")
 
 
 def extract(docs: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
-    """``docs`` with one more struct: ``base`` spans (s, k, e, m, ctx) and ``words``
+    """``docs`` with one more struct: ``base`` spans (s, k, e, m, ctx, f) and ``words``
     (s, e, m, ctx), the identifier-shaped words outside of them; ``k`` numbers KINDS."""
     keep = [F.col(f"`{c}`") for c in docs.columns]
     t, *ks = fresh(docs, "t_", *[f"{k}_" for k in KINDS])
-    made = "struct(a.at + length(x.p) AS s, a.at + length(x.p) + length(x.m) AS e, x.m AS m)"
     step = docs.select(*keep, once(text_or_empty(text)).alias(t))
     step = step.select(*keep, t, *[
-        _located(t, PATTERNS[k], GUARDS[k], _valid(k, "x.m"), made).alias(c) for k, c in zip(KINDS, ks)],
-        _located(t, TOKEN, "[0-9@]", "length(x.m) BETWEEN 5 AND 200 AND x.m RLIKE '[0-9].*[0-9].*[0-9]|[^@]@[^@]'", made).alias("words_"))
-    ctx = (f"array_join(slice(concat(array('', ''), filter(split(lower(substring({t}, greatest(x.s - {BEFORE}, 0) + 1, least(x.s, {BEFORE}))), "
-           f"'[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')), -2, 2), ' ')")
+        _located(t, PATTERNS[k], GUARDS[k], _valid(k, "x.m")).alias(c) for k, c in zip(KINDS, ks)],
+        _located(t, TOKEN, "[0-9@]", "length(x.m) BETWEEN 5 AND 200 AND x.m RLIKE '[0-9].*[0-9].*[0-9]|[^@]@[^@]'").alias("words_"))
     base = "concat(" + ", ".join(
-        f"transform({c}, x -> struct(x.s AS s, {i} AS k, x.e AS e, x.m AS m, {ctx} AS ctx))" for i, c in enumerate(ks)) + ")"
+        f"transform({c}, x -> struct(x.s AS s, {i} AS k, x.e AS e, x.m AS m, x.ctx AS ctx, x.f AS f))" for i, c in enumerate(ks)) + ")"
     step = step.select(*keep, t, "words_", F.expr(f"sort_array({base})").alias("base_"))
-    words = f"transform(filter(words_, x -> NOT exists(base_, b -> b.s < x.e AND x.s < b.e)), x -> struct(x.s AS s, x.e AS e, x.m AS m, {ctx} AS ctx))"
+    words = ("transform(filter(words_, x -> NOT exists(base_, b -> b.s < x.e AND x.s < b.e)), "
+             "x -> struct(x.s AS s, x.e AS e, x.m AS m, x.ctx AS ctx))")
     return step.select(*keep, once(F.struct(F.col("base_").alias("base"), F.expr(words).alias("words"))).alias(out))
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    rounds: int = 3
     min_instances: int = 5       # distinct accepted instances behind a confident pattern
     min_confidence: float = 0.5  # share of a pattern's occurrences that they are
 
 
 def bootstrap(docs: DataFrame, found: DataFrame, conf: Bootstrap = Bootstrap()) -> DataFrame:
     """Accepted instances ``(m, k)`` from ``found`` (columns base, words) and the texts of ``docs``."""
-    seeds = found.select(F.explode("found.base").alias("x")).select("x.ctx", "x.m", "x.k", F.lit(True).alias("seed"))
-    words = found.select(F.explode("found.words").alias("x")).select("x.ctx", "x.m", F.lit(None).cast("int").alias("k"), F.lit(False).alias("seed"))
-    edges = cut_lineage(seeds.union(words).where("ctx != ' '").groupBy("ctx", "m", "k", "seed").agg(F.count("*").alias("n")))
-    accepted = edges.where("seed").select("m", "k").distinct()
-    # a pattern with fewer distinct instances can't become confident
-    candidates = edges.where("seed").groupBy("ctx", "k").agg(F.countDistinct("m").alias("d")).where(F.col("d") >= conf.min_instances).select("ctx").distinct()
+    seeds = found.select(F.explode("found.base").alias("x")).select("x.ctx", "x.m", "x.k", F.lit(True).alias("seed"), "x.f")
+    words = found.select(F.explode("found.words").alias("x")).select(
+        "x.ctx", "x.m", F.lit(None).cast("int").alias("k"), F.lit(False).alias("seed"), F.lit(True).alias("f"))
+    # n: places of the pattern; several seeds of a kind in one word stand at one place
+    edges = cut_lineage(seeds.union(words).where("ctx != ' '").groupBy("ctx", "m", "k", "seed").agg(F.count_if("f").alias("n")))
+    accepted = cut_lineage(seeds.groupBy("m").agg(F.min("k").alias("k")))
+    # a pattern with fewer distinct instances, accepted or not, can't become confident
+    candidates = cut_lineage(edges.groupBy("ctx").agg(F.countDistinct("m").alias("d")).where(F.col("d") >= conf.min_instances).select("ctx"))
     w = F.filter(F.split(F.lower(text_or_empty()), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     pairs = docs.select(once(F.concat(F.array(F.lit("")), w)).alias("w")).select(once(F.expr(
         "CASE WHEN size(w) >= 2 THEN transform(sequence(0, size(w) - 2), i -> concat_ws(' ', w[i], w[i + 1])) END")).alias("p"))
-    total = cut_lineage(pairs.select(F.explode("p").alias("ctx")).groupBy("ctx").agg(F.count("*").alias("total")).join(candidates, "ctx"))
+    pairs = pairs.crossJoin(F.broadcast(_bits(candidates))).select(F.explode("p").alias("ctx"), "bits").where(
+        F.expr(f"shiftright(bits[int(shiftright({CELL}, 6))], int({CELL} & 63)) & 1 = 1"))
+    total = cut_lineage(pairs.groupBy("ctx").agg(F.count("*").alias("total")).join(candidates, "ctx"))
     scored = edges.join(total, "ctx")
-    for _ in range(conf.rounds):
+    at, before = _state(accepted), None
+    while at != before:
         known = accepted.withColumnRenamed("k", "ak")
         confident = (scored.join(known, "m").groupBy("ctx", F.col("ak").alias("k"))
                      .agg(F.countDistinct("m").alias("d"), F.sum("n").alias("hits"), F.first("total").alias("total"))
                      .where((F.col("d") >= conf.min_instances) & (F.col("hits") >= conf.min_confidence * F.col("total"))))
         new = scored.where(~F.col("seed")).drop("k").join(confident.select("ctx", "k"), "ctx").groupBy("m").agg(F.min("k").alias("k"))
         accepted = cut_lineage(accepted.union(new.select("m", "k")).groupBy("m").agg(F.min("k").alias("k")))
-    return accepted.join(edges.where("seed").select("m").distinct(), "m", "left_anti")
+        at, before = _state(accepted), at
+    return accepted.join(seeds.select("m").distinct(), "m", "left_anti")
+
+
+def _bits(candidates: DataFrame) -> DataFrame:
+    """One row: a bit for each cell of hashes, set where a candidate falls.  It only spares
+    the shuffle of pairs that are no candidate; the join with ``candidates`` decides."""
+    used = candidates.selectExpr(f"shiftright({CELL}, 6) AS i", f"shiftleft(1L, int({CELL} & 63)) AS b")
+    every = candidates.sparkSession.range(CELLS // 64).selectExpr("id AS i", "0L AS b")
+    return used.union(every).groupBy("i").agg(F.bit_or("b").alias("b")).agg(
+        F.expr("transform(sort_array(collect_list(struct(i, b))), x -> x.b)").alias("bits"))
+
+
+def _state(accepted: DataFrame) -> tuple[int, int]:
+    """Instances are only added and kinds only lowered, so equal figures mean that nothing changed."""
+    r = accepted.agg(F.count("*").alias("n"), F.sum("k").alias("k")).first()
+    return r["n"], r["k"] or 0
 
 
 def find(docs: DataFrame, conf: Bootstrap = Bootstrap()) -> DataFrame:

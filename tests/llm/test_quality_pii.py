@@ -98,6 +98,26 @@ def test_rare_context_is_scored_among_many(docs_of):
     assert out == {20_000: 1} | {10_000 + i: 0 for i in range(5)}
 
 
+def test_context_is_whole_words(docs_of):
+    rows = [(i, f"{'long' * 40} w{i} send mail <user{i}@x.org> or so") for i in range(6)] + [(50, "send mail <zed77711> or so")]
+    rows += [(100 + i, f"my number\ttel:+1 555 010 10{i:02} now") for i in range(6)] + [(150, "my number zed88811 now")]
+    rows += [(200 + i, f"{'x' * 150} {'y' * 150} 10.1.1.1{i}") for i in range(6)] + [(250, f"{'x' * 150} {'y' * 150} zed99911")]
+    # many seeds in one word are one place of the context: 5 places of 11
+    rows += [(300 + i, f"ask for a{i}@x.org,b{i}@x.org,c{i}@x.org") for i in range(5)] + [(350 + i, f"ask for zed6661{i}") for i in range(6)]
+    out = {r["doc_id"]: [tuple(x) for x in r["added"]] for r in pii.find(docs_of(rows)).collect() if r["doc_id"] % 100 >= 50}
+    assert out == {50: [(10, 0, 20)], 150: [(10, 3, 18)], 250: [(302, 1, 310)]} | {350 + i: [] for i in range(6)}
+
+
+def test_discovered_instances_raise_other_contexts(docs_of):
+    # seeds -> "mail to" -> n*x -> "write at" -> p*x -> "call by" -> q*x -> "reach via" -> z*x, a round each
+    rows = [(i, f"mail to user{i}@x.org") for i in range(5)]
+    chain = ["mail to", "write at", "call by", "reach via", "talk on"]
+    for k in range(4):
+        rows += [(100 * (k + 1) + 10 * j + i, f"{chain[k + j]} id{k}0{i}{i}x") for j in (0, 1) for i in range(5)]
+    out = {r["doc_id"]: r["n"] for r in pii.find(docs_of(rows)).select("doc_id", F.size("added").alias("n")).collect()}
+    assert all(n == (d >= 100) for d, n in out.items())
+
+
 def test_digest_of_spans(docs_of):
     r = pii.find(docs_of([(1, "q a@b.co 9.9.9.9")])).select(F.sha2(pii.joined("base"), 256).alias("h"), pii.joined("base").alias("s")).first()
     assert r["s"] == "email:2:8,ip:9:16"
