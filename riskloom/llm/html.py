@@ -7,7 +7,8 @@ order, fused (their product), and the paths above a threshold (a share of the
 page's standard deviation) are content.  The smallest element that holds most
 of the content text is the article; its blocks are the result, without those
 that stand in parts marked as something else (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments, scripts and styles).
+sidebars, notices, adverts, forms, reader comments, scripts and styles).  A
+class, an id or a form that holds the page's content marks nothing.
 
 Defined results: null or empty html, and pages without text, give the empty
 text; markup that never closes is closed where its parent or the page ends;
@@ -31,7 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
 UNSEEN = frozenset("script style title noscript template iframe noembed noframes head svg math object canvas audio video "
                    "select option datalist textarea button".split())
-ASIDE = frozenset("nav footer aside form menu dialog".split()) | UNSEEN
+ASIDE = frozenset("nav footer aside menu dialog".split()) | UNSEEN
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
 # an element that one of these starts also ends an open paragraph
@@ -44,6 +45,10 @@ SIDE_WORDS = frozenset(
     "masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social comment comments commentlist respond reply replies disqus discussion related recommended "
     "recommendations trending pagination pager tags skip search".split())
+# those that also name parts of an article
+SOFT_WORDS = frozenset("notice notices alert share sharing side banner banners related discussion respond reply tags search".split())
+# a class or id with one of these tells the state of a page, not what a part is
+STATE_WORDS = frozenset("has with without no open opened closed collapsed enabled disabled".split())
 ARTICLE_WORDS = frozenset("article content main body post entry story text".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
@@ -67,6 +72,9 @@ class Element:
     number: int
     own: float = 0.0  # content text inside
     holder: Element | None = None  # the nearest element that isn't inline
+    marks: frozenset[str] | None = None  # if its class or id may name a side part: the words; a form has its name
+    marker: Element | None = None  # the nearest such element, itself or around
+    ignored: bool = False  # the page's text stands inside: the marks don't hold
 
 
 @dataclass(slots=True)
@@ -77,6 +85,13 @@ class Node:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     side: bool = False
+    marker: Element | None = None
+
+    def aside(self) -> bool:
+        m = self.marker
+        while m is not None and m.ignored:
+            m = m.parent.marker
+        return self.side or m is not None
 
 
 def blocks(page: str) -> tuple[list[Node], list[Element]]:
@@ -93,10 +108,10 @@ def blocks(page: str) -> tuple[list[Node], list[Element]]:
             return
         top = stack[-1]
         holder, side = top.holder, top.side
-        if node is None or node.element is not holder or node.side != side:
+        if node is None or node.element is not holder or node.side != side or node.marker is not top.marker:
             if node is not None and node.element is holder and not raw.strip():
                 return
-            node = Node(holder, side=side)
+            node = Node(holder, side=side, marker=top.marker)
             out.append(node)
         if "&" in raw:
             raw = entities.unescape(raw)
@@ -167,14 +182,22 @@ def blocks(page: str) -> tuple[list[Node], list[Element]]:
             elif key == "role":
                 hidden |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form")
             else:
-                words.update(WORD.findall(value))
+                for token in value.split():
+                    found = WORD.findall(token)
+                    if STATE_WORDS.isdisjoint(found):
+                        words.update(found)
                 marked += "." + value.replace(" ", ".")
         parent = stack[-1]
-        side = (parent.side or hidden or name in ASIDE or (name == "header" and not parent.article)
-                or (bool(words & SIDE_WORDS) and name not in ("html", "body", "article", "main")))
+        side = parent.side or hidden or name in ASIDE or (name == "header" and not parent.article)
         e = Element(name, parent, f"{parent.path}/{name}{marked}", side, parent.article or name in ("article", "main"),
                     parent.link or name == "a", len(elements))
         e.holder = parent.holder if name in INLINE else e
+        side_words = words & SIDE_WORDS
+        if name == "form":
+            side_words.add(name)
+        if side_words and name not in ("html", "body", "main"):
+            e.marks = frozenset(side_words)
+        e.marker = e if e.marks and name != "article" else parent.marker
         elements.append(e)
         if m[3].rstrip().endswith("/") and name in ("svg", "path", "use", "rect", "circle"):
             continue
@@ -195,32 +218,83 @@ def smooth(x: np.ndarray, radius: int = 1) -> np.ndarray:
     return np.convolve(padded, w / w.sum(), mode="valid")
 
 
-def main_text(page: str | None, share: float = 0.3) -> str:
-    """The article's text of one page."""
-    if not page:
-        return ""
-    nodes, _ = blocks(page)
-    texts = [SPACES.sub(" ", "".join(b.parts)).strip() for b in nodes]
-    seen = [(b, t) for b, t in zip(nodes, texts) if t]
-    if not seen:
-        return ""
+def content_paths(seen: list[tuple[Node, str]], sides: list[bool], share: float) -> set[str]:
+    """The tag paths whose fused ratio passes the threshold."""
     # sums by tag path, in the order in which the paths appear
     paths: dict[str, list[float]] = {}
-    for b, t in seen:
+    for (b, t), side in zip(seen, sides):
         p = paths.setdefault(b.element.path, [0, 0, 0])
         p[0] += 1
-        p[1] += 0 if b.side else max(len(t) - b.linked, 0)
-        p[2] += 0 if b.side else len(PUNCTUATION.findall(t))
+        p[1] += 0 if side else max(len(t) - b.linked, 0)
+        p[2] += 0 if side else len(PUNCTUATION.findall(t))
     table = np.array(list(paths.values()), float)
     length = smooth(table[:, 1] / table[:, 0])
     points = smooth(table[:, 2] / table[:, 0] + 1)
     fused = length * points
     limit = share * fused.std()
-    content = {p for p, f, row in zip(paths, fused, table) if f >= limit and row[1] > 0}
+    return {p for p, f, row in zip(paths, fused, table) if f >= limit and row[1] > 0}
+
+
+def weigh_marks(seen: list[tuple[Node, str]], elements: list[Element], share: float) -> None:
+    """Ignore the marks of elements that hold the page's content: those with its main part,
+    heading or only article and more content than the unmarked rest, or with nearly all of it
+    where the rest has no such element; and of parts of an article under an ambiguous name
+    whose text is content."""
+    content = content_paths(seen, [b.side for b, _ in seen], share)
+    unmarked = content_paths(seen, [b.aside() for b, _ in seen], share)  # not measured by what is marked
+    inner: dict[int, float] = {}   # content without other marks, by its marked element
+    whole: dict[int, float] = {}   # all text
+    clean = 0.0
+    for b, t in seen:
+        if b.side:
+            continue
+        weight = max(len(t) - b.linked, 0) if b.element.path in (unmarked if b.marker is None else content) else 0
+        if b.marker is None:
+            clean += weight
+        else:
+            inner[b.marker.number] = inner.get(b.marker.number, 0) + weight
+            whole[b.marker.number] = whole.get(b.marker.number, 0) + len(t)
+    holds: dict[int, list[int]] = {}  # main parts and headings, articles
+    plain = False
+    for e in elements:
+        if not e.side and (e.name in ("main", "h1") or (e.name == "article" and not e.marks)):
+            m = e.marker
+            plain |= m is None
+            while m is not None:
+                holds.setdefault(m.number, [0, 0])[e.name == "article"] += 1
+                m = m.parent.marker
+    for number, weight in inner.items():
+        e = elements[number]
+        main, articles = holds.get(number, (0, 0))
+        if (weight > clean and (main or articles == 1)) or not clean or (not plain and clean < 0.1 * weight):
+            m = e  # with the marked elements around it
+            while m is not None:
+                m.ignored = True
+                m = m.parent.marker
+        elif e.article and e.marks <= SOFT_WORDS and weight >= 0.5 * whole[number]:
+            e.ignored = True
+
+
+def main_text(page: str | None, share: float = 0.3) -> str:
+    """The article's text of one page."""
+    if not page:
+        return ""
+    nodes, elements = blocks(page)
+    texts = [SPACES.sub(" ", "".join(b.parts)).strip() for b in nodes]
+    seen = [(b, t) for b, t in zip(nodes, texts) if t]
+    if not seen:
+        return ""
+    if any(b.marker is not None for b, _ in seen):
+        weigh_marks(seen, elements, share)
+    sides = [b.aside() for b, _ in seen]
+    content = content_paths(seen, sides, share)
+    if not content:  # marks alone never leave a page without text
+        sides = [b.side for b, _ in seen]
+        content = content_paths(seen, sides, share)
     # the deepest element that holds most of the content text
     total = 0.0
-    for b, t in seen:
-        if not b.side and b.element.path in content:
+    for (b, t), side in zip(seen, sides):
+        if not side and b.element.path in content:
             weight = max(len(t) - b.linked, 0)
             total += weight
             e = b.element
@@ -249,7 +323,7 @@ def main_text(page: str | None, share: float = 0.3) -> str:
             e = e.parent
         return False
 
-    return " ".join(t for b, t in seen if not b.side and inside(b.element))
+    return " ".join(t for (b, t), side in zip(seen, sides) if not side and inside(b.element))
 
 
 def extract(pages: DataFrame, share: float = 0.3) -> DataFrame:

@@ -24,6 +24,24 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+STORY = "<h1>News</h1><p>First paragraph, with more text. It goes on, and on.</p><p>Second one, at length, is here.</p>"
+SAYS = "News First paragraph, with more text. It goes on, and on. Second one, at length, is here."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<div class="layout has-sidebar"><article>{STORY}</article></div>', SAYS),
+    (f'<div class="wrapper no-comments"><main>{STORY}</main></div>', SAYS),
+    (f'<div id="content" class="with-ads nav-open">{STORY}</div>', SAYS),
+    (f'<form id="aspnetForm"><div>{STORY}</div></form>', SAYS),
+    (f'<p>Skip it, now.</p><div class="sidebar-layout"><main>{STORY}<div class="ad">Buy now, cheap, good.</div></main></div>', SAYS),
+    (f'<article>{STORY}<section id="discussion"><p>What it means, in full, is said.</p></section><p class="notice">Mind this, too, please.</p></article>',
+     SAYS + " What it means, in full, is said. Mind this, too, please."),
+    (f'<article>{STORY}<div class="share"><a href=x>Share this, now</a></div></article><div class="comments"><p>{"Long, long words. " * 300}</p></div>', SAYS),
+])
+def test_marks_never_hide_the_content(page, text):
+    assert html.main_text(page) == text
+
+
 def test_pages_keep_all_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, PAGE), (3, "v", "<p>" * 3000 + "deep, text.")]
     out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
