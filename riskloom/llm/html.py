@@ -7,7 +7,9 @@ order, fused (their product), and the paths above a threshold (a share of the
 page's standard deviation) are content.  The smallest element that holds most
 of the content text is the article; its blocks are the result, without those
 that stand in parts marked as something else (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments, scripts and styles).  A
+sidebars, notices, adverts, forms, reader comments, scripts and styles).  Content
+blocks outside of the article belong to the result too, with their headings,
+unless a main part that holds most of the content leaves them out.  A
 class, an id or a form that holds the page's content marks nothing.
 
 Defined results: null or empty html, and pages without text, give the empty
@@ -316,14 +318,27 @@ def main_text(page: str | None, share: float = 0.3) -> str:
     if article.name in ("p", "pre", "blockquote") and article.parent is not None:
         article = article.parent
 
-    def inside(e: Element | None) -> bool:
+    # a main part that holds most of the content bounds it
+    bound = max((e for e in holders.values() if e.name == "main" and e.own >= 0.5 * total), key=lambda e: e.own, default=None)
+
+    def inside(e: Element | None, part: Element) -> bool:
         while e is not None:
-            if e is article:
+            if e is part:
                 return True
             e = e.parent
         return False
 
-    return " ".join(t for (b, t), side in zip(seen, sides) if not side and inside(b.element))
+    # content beside the article isn't lost: its nodes, and the headings that stand right before them
+    out, follows = [], False
+    for (b, t), side in reversed(list(zip(seen, sides))):
+        if side:
+            continue
+        own = b.element.path in content and 2 * b.linked < len(t) and (bound is None or inside(b.element, bound))
+        heading = follows and b.element.name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        follows = own or heading
+        if follows or inside(b.element, article):
+            out.append(t)
+    return " ".join(reversed(out))
 
 
 def extract(pages: DataFrame, share: float = 0.3) -> DataFrame:

@@ -42,6 +42,18 @@ def test_marks_never_hide_the_content(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "It goes on, and on, at some length, as a story does. "
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<main><article><h2>One</h2><p>{LONG * 6}</p></article><article><h2>Two</h2><p>{LONG * 5}</p></article></main>", f"One {LONG * 6}Two {LONG * 5}"),
+    (f"<div><section><p>{LONG}</p></section><div><p>{LONG * 5}</p><p>{LONG * 5}</p></div></div>", LONG * 11),
+    (f"<div><a href=x>Home, first</a></div><article><p>{LONG * 5}</p></article><div><a href=x>Next, please</a></div>", LONG * 5),
+])
+def test_content_beside_the_article_stays(page, text):
+    assert html.main_text(page) == text.strip()
+
+
 def test_pages_keep_all_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, PAGE), (3, "v", "<p>" * 3000 + "deep, text.")]
     out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
