@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, html, language, packing, pii, quality, repair, simhash, suffixes, vectors
+from riskloom.llm import bpe, html, language, merkle, mixing, packing, pii, quality, repair, simhash, suffixes, vectors, whitening
 from riskloom.llm.common import QUERIES, read, register, tokenizer
 
 ORACLES: dict[str, str] = {}
 
+MERKLE_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
 
 @register("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,3 +66,28 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_suffix_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(read(spark, sf_dir, "documents"))
+
+
+@register("op11_mixing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), keep=4)
+
+
+@register("op13_merkle")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    # only where a text changes, so that all other rows carry nothing
+    upper = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
+    hit = (F.crc32(F.col("doc_id").cast("string")) % 3 == 0) & F.col("text").rlike("[A-Z]")
+    altered = merkle.leaf_digest(*[F.translate("text", upper, upper.lower()) if c == "text" else F.col(c) for c in MERKLE_COLUMNS])
+    found = merkle.manifest(docs, F.col("lang"), F.col("doc_id"), merkle.leaf_digest(*map(F.col, MERKLE_COLUMNS)),
+                            carry={"altered": F.when(hit, altered)})
+    folded = found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"),
+                          merkle.fold(F.coalesce("altered", "leaf"), F.col("proof")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
