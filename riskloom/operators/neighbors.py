@@ -1,180 +1,328 @@
 """Exact k-nearest neighbours without a cross join, and local outlier factor.
 
-Exact kNN (J1/J2) prunes candidates with the triangle inequality:
-
-* ``P`` pivots (the reference rows with the smallest seeded hash; P is a
-  bounded parameter) are collected once as one array literal.
-* Every row gets its distance vector to the pivots.  A reference row is filed
-  under its nearest pivot (cell) and a ring of width ``w`` around it.
-* A query ``q`` has an upper bound ``r_q`` on its k-th neighbour distance: the
-  k-th smallest distance to a pivot (pivots are reference rows).
-* Any neighbour ``p`` with ``d(q, p) <= r_q`` satisfies
-  ``|d(q, v) - d(p, v)| <= r_q`` for every pivot ``v``.  So ``q`` is expanded
-  only to the cells that can hold such rows, joined on the cell with a
-  ring-range condition, and the pivot-distance test drops most pairs before
-  vectors are attached and the full distance is computed.  Every true
-  neighbour survives, so the result is exact.
+Exact kNN (J1/J2) over any pair of inputs, in groups of bounded size:
+
+* Equal vectors are one class.  Of a class only the ``k + 1`` smallest ids can be
+  among a query's nearest, so only those enter the search (a limit that Spark
+  applies before the shuffle), and equal queries are searched once.
+* The reference rows are filed under the nearest of ``P`` pivots (``P`` grows
+  with the rows, up to a bound), a cell is cut into rings by the distance to its
+  pivot, and a ring into parts of about ``block`` rows.  The table of rings has a
+  row for each cell and ring, at most ``MAX_PIVOTS * MAX_RINGS``.
+* A query first meets one part of its own cell; the distance of its k-th
+  neighbour there bounds the true one.  With that bound the triangle inequality
+  and the bisector of the two pivots rule out rings; the query is sent to the
+  parts of the others.  Every true neighbour is in one of them.
+* Parts meet their queries in blocks of at most about ``block`` queries, with one
+  matrix product a block; the k nearest by (distance, id) of each query and part
+  are merged by a second top-k.
 
 Ties at the k-th distance are broken by neighbour id.  In high dimensions the
-bound prunes less (distances concentrate); the result stays exact and the
+bound rules out less (distances concentrate); the result stays exact.  The
 approximate ``lsh_candidates`` path is available for that regime.
+
+Rows whose vector is null, holds null or non-finite entries, or has another
+length than the reference's longest, have no neighbours and are nobody's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranking import hash_key
+from riskloom.operators.ranking import exact_quantile, hash_key
 from riskloom.session import cut_lineage
 
 # sklearn-compatible guard added to the mean reachability distance (fixed value)
 LRD_EPS = 1e-10
 _SLACK = 1e-9
+MAX_PIVOTS, MAX_RINGS = 512, 64
+BLOCK = 4096
+_CHUNK = 256  # queries of one matrix product
 
 
 def as_double_vector(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
 
 
-def euclid(a: Column, b: Column) -> Column:
-    sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
+def _vectors(df: DataFrame, id_col: str, vec_col: str, names: tuple[str, str]) -> DataFrame:
+    """Ids and finite vectors."""
+    i, v = names
+    out = df.select(F.col(id_col).cast("long").alias(i), as_double_vector(vec_col).alias(v))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return out.where(F.col(v).isNotNull() & F.coalesce(fine, F.lit(False)) & (F.size(v) > 0))
 
 
-def _pivot_dists(vec: Column, pivots: Column) -> Column:
-    return F.transform(pivots, lambda p: euclid(vec, p))
+def _matrix(column, dim: int) -> np.ndarray:
+    if isinstance(column, (pa.Array, pa.ChunkedArray)):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, dim))
 
 
-def knn(query: DataFrame, ref: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "features",
-        exclude_self: bool = True, n_pivots: int | None = None, rings: int = 8, seed: int = 42,
-        block: int = 20000) -> DataFrame:
-    """Exact kNN: (``id_col``, neighbour_id, dist, nn_rank 1..k) for each query row."""
-    n_pivots = n_pivots or max(2 * k, 16)
-    refv = ref.select(F.col(id_col).alias("_pid"), as_double_vector(vec_col).alias("_pv"))
-    piv = (refv.withColumn("_h", hash_key(seed, "_pid")).orderBy("_h", "_pid").limit(n_pivots)
-           .select("_pid", "_pv").collect())
-    piv_ids = [int(r["_pid"]) for r in piv]
-    pivots = F.lit([[float(x) for x in r["_pv"]] for r in piv])
-    pivot_ids = F.lit(piv_ids)
-    usable = len(piv_ids) - (1 if exclude_self else 0)
-
-    # materialised so pivot distances are computed once per row, never re-derived per candidate pair
-    refd = cut_lineage(refv.withColumn("_pd", _pivot_dists(F.col("_pv"), pivots)))
-    refd = refd.withColumns({"_dc": F.array_min("_pd")})
-    refd = refd.withColumn("_cell", (F.array_position("_pd", F.col("_dc")) - 1).cast("int"))
-    radius = {r["_cell"]: r["_rad"] for r in refd.groupBy("_cell").agg(F.max("_dc").alias("_rad")).collect()}
-    width = max(max(radius.values(), default=0.0) / rings, 1e-12)
-    refd = refd.withColumn("_ring", F.floor(F.col("_dc") / F.lit(width)).cast("long"))
-    rad = F.lit([float(radius.get(c, -1.0)) for c in range(len(piv_ids))])
-
-    q = query.select(F.col(id_col).alias("_qid"), as_double_vector(vec_col).alias("_qv"))
-    q = q.withColumn("_qd", _pivot_dists(F.col("_qv"), pivots))
-    if usable >= k:
-        masked = (F.zip_with("_qd", pivot_ids, lambda d, pid: F.when(pid == F.col("_qid"), F.lit(float("inf")))
-                             .otherwise(d)) if exclude_self else F.col("_qd"))
-        bound = F.element_at(F.array_sort(masked), k) * F.lit(1 + _SLACK) + F.lit(_SLACK)
-    else:  # fewer reference rows than k + 1: every row is a candidate
-        bound = F.lit(float("inf"))
-    q = cut_lineage(q.withColumn("_r", bound))
-
-    def range_for(c):
-        dq = F.element_at(F.col("_qd"), c + 1)
-        rc = F.element_at(rad, c + 1)
-        lo = F.greatest(F.lit(0), F.floor((dq - F.col("_r")) / F.lit(width))).cast("long")
-        hi = F.least(F.floor(rc / F.lit(width)), F.floor((dq + F.col("_r")) / F.lit(width))).cast("long")
-        ok = (rc >= 0) & (dq - rc <= F.col("_r")) & (lo <= hi)
-        return F.when(ok, F.struct(c.cast("int").alias("cell"), lo.alias("lo"), hi.alias("hi")))
-
-    # one row per (query, reachable cell) with the ring range it can reach there
-    cells = F.sequence(F.lit(0), F.lit(len(piv_ids) - 1))
-    exp = q.select("_qid", "_qv", "_qd", "_r",
-                   F.explode(F.filter(F.transform(cells, range_for), lambda x: x.isNotNull())).alias("_k"))
-    exp = exp.select("_qid", "_qv", "_qd", "_r", F.col("_k.cell").alias("_cell"), F.col("_k.lo").alias("_lo"),
-                     F.col("_k.hi").alias("_hi"))
-    # queries of one cell are cut into blocks of at most ``block`` rows; the cell's
-    # reference rows are sent to each block of that cell, so no group is unbounded
-    n_q = q.count()
-    blocks = max(1, -(-n_q // block))
-    exp = exp.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(blocks)).cast("int"))
-    refx = refd.select("_cell", "_ring", "_pid", "_pv", "_pd").withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    kernel = _block_kernel(k, exclude_self)
-    cand = (exp.groupBy("_cell", "_qb").cogroup(refx.groupBy("_cell", "_qb"))
-            .applyInPandas(kernel, "_qid long, _pid long, dist double"))
-    w = Window.partitionBy("_qid").orderBy("dist", "_pid")
-    top = cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
-    return top.select(F.col("_qid").alias(id_col), F.col("_pid").alias("neighbour_id"), "dist",
-                      F.col("nn_rank").cast("int"))
-
-
-def _block_kernel(k: int, exclude_self: bool):
-    """Per (cell, query block): ring and pivot lower-bound tests, exact
-    distances with numpy, and at most k candidates per query."""
-
-    def run(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or rs.empty:
-            return pd.DataFrame({"_qid": [], "_pid": [], "dist": []})
-        rv = np.stack(rs["_pv"].to_numpy())
-        rd = np.stack(rs["_pd"].to_numpy())
-        rring = rs["_ring"].to_numpy()
-        rid = rs["_pid"].to_numpy()
-        out_q, out_p, out_d = [], [], []
-        for qid, qv, qd, r, lo, hi in zip(qs["_qid"], qs["_qv"], qs["_qd"], qs["_r"], qs["_lo"], qs["_hi"]):
-            m = (rring >= lo) & (rring <= hi)
-            if exclude_self:
-                m &= rid != qid
-            idx = np.flatnonzero(m)
-            if idx.size == 0:
-                continue
-            idx = idx[np.max(np.abs(rd[idx] - np.asarray(qd)), axis=1) <= r]
-            if idx.size == 0:
-                continue
-            diff = rv[idx] - np.asarray(qv)
+class _Rings:
+    """Pivots, and the parts that each cell's rings are cut into.  Bounded, so it travels with the tasks."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.bounds: list[np.ndarray] = [np.zeros(0)] * len(pivots)
+        self.cell = self.lo = self.hi = self.first = self.parts = np.zeros(0)
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in self.pivots], axis=1) if len(x) else np.zeros((0, len(self.pivots)))
+
+    def ring(self, cell: np.ndarray, d: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(cell), np.int64)
+        for c in np.unique(cell):
+            own = cell == c
+            out[own] = np.searchsorted(self.bounds[c], d[own], side="right")
+        return out
+
+    def set_parts(self, rows: list[tuple[int, int, int, float, float]], block: int) -> None:
+        """rows: (cell, ring, rows, least and greatest distance to the pivot)."""
+        rows = sorted(rows)
+        self.cell = np.array([r[0] for r in rows], np.int64)
+        self.key = np.array([r[0] * (MAX_RINGS + 1) + r[1] for r in rows], np.int64)
+        self.lo, self.hi = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+        self.parts = np.array([-(-r[2] // block) for r in rows], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.parts)])[:-1].astype(np.int64)
+
+    def part(self, ids: np.ndarray, cell: np.ndarray, ring: np.ndarray, nearest: bool = False) -> np.ndarray:
+        """The part of each row; with ``nearest`` a ring without rows gives its neighbour's."""
+        at = np.searchsorted(self.key, cell * (MAX_RINGS + 1) + ring)
+        if nearest:
+            at = np.minimum(at, len(self.key) - 1)
+            at = np.where(self.cell[at] == cell, at, np.maximum(at - 1, 0))
+        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.first[at] + (mixed % self.parts[at].astype(np.uint64)).astype(np.int64)
+
+    def reach(self, d: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """(queries, rings): whether a ring can hold a row within ``bound``."""
+        to = d[:, self.cell]
+        least = np.maximum(0.0, np.maximum(to - self.hi[None, :], self.lo[None, :] - to))
+        bisector = (to - d.min(axis=1)[:, None]) / 2  # its rows are nearer to their own pivot
+        # (distances carry rounding errors)
+        return np.maximum(least, bisector) <= bound[:, None] + _SLACK * (1 + to)
+
+
+def _top(qv: np.ndarray, rv: np.ndarray, rid: np.ndarray, want: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query index, ids, distances) of the ``want`` nearest by (distance, id): a matrix product
+    finds those that can be among them, exact differences decide."""
+    rn = (rv * rv).sum(axis=1)
+    for at in range(0, len(qv), _CHUNK):
+        q = qv[at:at + _CHUNK]
+        qn = (q * q).sum(axis=1)
+        if len(rv) > want:
+            g = rn[None, :] - 2 * (q @ rv.T)
+            cut = np.partition(g, want - 1, axis=1)[:, want - 1]
+            mask = g <= (cut + 1e-10 * (qn + rn.max()))[:, None]
+        for i in range(len(q)):
+            idx = np.flatnonzero(mask[i]) if len(rv) > want else np.arange(len(rv))
+            diff = rv[idx] - q[i]
             d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-            keep = d <= r
-            idx, d = idx[keep], d[keep]
-            if idx.size > k:
-                # k smallest by (dist, id); ties at the cut are all kept for the final ranking
-                cut = np.partition(d, k - 1)[k - 1]
-                sel = d <= cut
-                idx, d = idx[sel], d[sel]
-            out_q.append(np.full(idx.size, qid))
-            out_p.append(rid[idx])
-            out_d.append(d)
-        if not out_q:
+            best = np.lexsort((rid[idx], d))[:want]
+            yield at + i, rid[idx[best]], d[best]
+
+
+def _meet(queries: DataFrame, refs: DataFrame, kernel, schema: str, block: int) -> DataFrame:
+    """``kernel`` on every part's references with each block of its queries.
+    A part with no more queries than a block meets them once; else its rows are sent to every block."""
+    queries = cut_lineage(queries)
+    n = queries.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    qs = queries.join(n, "part").withColumn("b", F.pmod(F.xxhash64("_qid"), F.col("blocks")).cast("int"))
+    rs = refs.join(n, "part").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return (qs.select("part", "b", *[c for c in queries.columns if c != "part"]).groupBy("part", "b")
+            .cogroup(rs.select("part", "b", "_pid", "_pv").groupBy("part", "b")).applyInPandas(kernel, schema))
+
+
+def _search(q: DataFrame, r: DataFrame, n: int, dim: int, want: int, k: int, n_pivots: int | None, seed: int, block: int) -> DataFrame:
+    """(_qid, _pid, dist): for each query the ``want`` nearest by (distance, id) of every part that can hold one."""
+    pairs = "_qid long, _pid long, dist double"
+
+    def nearest(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
+        if qs.empty or rs.empty:
             return pd.DataFrame({"_qid": [], "_pid": [], "dist": []})
-        return pd.DataFrame({"_qid": np.concatenate(out_q), "_pid": np.concatenate(out_p),
-                             "dist": np.concatenate(out_d)})
+        ids = qs["_qid"].to_numpy()
+        found = list(_top(_matrix(qs["_qv"], dim), _matrix(rs["_pv"], dim), rs["_pid"].to_numpy(), want))
+        return pd.DataFrame({"_qid": np.repeat(ids, [len(f[1]) for f in found]),
+                             "_pid": np.concatenate([f[1] for f in found]), "dist": np.concatenate([f[2] for f in found])})
+
+    # one pivot a block of rows
+    p = min(n, MAX_PIVOTS, n_pivots or -(-n // block))
+    if p <= 1 and n <= block:
+        return _meet(q.withColumn("part", F.lit(0).cast("long")), r.withColumn("part", F.lit(0).cast("long")), nearest, pairs, block)
+
+    chosen = r.withColumn("_h", hash_key(seed, "_pid")).orderBy("_h", "_pid").limit(p).select("_pv").collect()
+    rings = _Rings(np.array(sorted({tuple(c["_pv"]) for c in chosen})))
+
+    def cells(batches):
+        for b in batches:
+            d = rings.distances(_matrix(b.column(1), dim))
+            cell = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int64()), pa.array(d[np.arange(len(d)), cell])],
+                                             ["_pid", "_pv", "cell", "d"])
+
+    r = cut_lineage(r.mapInArrow(cells, "_pid long, _pv array<double>, cell long, d double"))
+    cuts = F.percentile_approx("d", [i / MAX_RINGS for i in range(1, MAX_RINGS)], 1000)
+    for c in r.groupBy("cell").agg(F.count("*").alias("n"), cuts.alias("cuts")).collect():
+        step = MAX_RINGS // min(MAX_RINGS, -(-c["n"] // block))
+        rings.bounds[c["cell"]] = np.unique(c["cuts"][step - 1::step])
+
+    def ringed(batches):
+        for b in batches:
+            cell, d = b.column(2).to_numpy(), b.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rings.ring(cell, d), pa.int64())], ["_pid", "_pv", "cell", "d", "ring"])
+
+    r = r.mapInArrow(ringed, "_pid long, _pv array<double>, cell long, d double, ring long")
+    sizes = r.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    rings.set_parts([tuple(x) for x in sizes.collect()], block)
+
+    def parted(batches):
+        for b in batches:
+            part = rings.part(b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(4).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part, pa.int64())], ["_pid", "_pv", "part"])
+
+    refs = r.mapInArrow(parted, "_pid long, _pv array<double>, part long")
+
+    # first the part at home, for a bound
+    def home(batches):
+        for b in batches:
+            d = rings.distances(_matrix(b.column(1), dim))
+            cell = d.argmin(axis=1)
+            part = rings.part(b.column(0).to_numpy(), cell, rings.ring(cell, d[np.arange(len(d)), cell]), nearest=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part, pa.int64())], ["_qid", "_qv", "part"])
+
+    def bound(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
+        if qs.empty or rs.empty or len(rs) < want:
+            return pd.DataFrame({"_qid": [], "r": []})
+        ids = qs["_qid"].to_numpy()
+        found = list(_top(_matrix(qs["_qv"], dim), _matrix(rs["_pv"], dim), rs["_pid"].to_numpy(), want))
+        return pd.DataFrame({"_qid": ids[[f[0] for f in found]], "r": [f[2][-1] for f in found]})
+
+    bounds = _meet(q.mapInArrow(home, "_qid long, _qv array<double>, part long"), refs, bound, "_qid long, r double", block)
+
+    def spread(batches):
+        for b in batches:
+            d = rings.distances(_matrix(b.column(1), dim))
+            at, ring = np.nonzero(rings.reach(d, b.column(2).to_numpy(zero_copy_only=False) * (1 + _SLACK)))
+            again = np.repeat(np.arange(len(at)), rings.parts[ring])
+            nth = np.arange(len(again)) - np.repeat(np.cumsum(rings.parts[ring]) - rings.parts[ring], rings.parts[ring])
+            take = pa.array(at[again])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(rings.first[ring[again]] + nth, pa.int64())],
+                                             ["_qid", "_qv", "part"])
+
+    bounded = q.join(bounds, "_qid", "left").select("_qid", "_qv", F.coalesce("r", F.lit(float("inf"))).alias("r"))
+    return _meet(bounded.mapInArrow(spread, "_qid long, _qv array<double>, part long"), refs, nearest, pairs, block)
+
+
+def knn(query: DataFrame, ref: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "features",
+        exclude_self: bool = True, n_pivots: int | None = None, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """Exact kNN: (``id_col``, neighbour_id, dist, nn_rank 1..k) for each query row.
+    With ``exclude_self`` a row is no neighbour of the query with its id."""
+    want = k + 1 if exclude_self else k
+    own = Window.partitionBy("_pv").orderBy("_pid")
+    r = _vectors(ref, id_col, vec_col, ("_pid", "_pv"))
+    r = cut_lineage(r.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= want).drop("_n"))
+    n, dim = r.agg(F.count("*"), F.max(F.size("_pv"))).first()
+    rows = _vectors(query, id_col, vec_col, ("_qid", "_qv"))
+    if not n:
+        return rows.where("false").select(F.col("_qid").alias(id_col), F.col("_qid").alias("neighbour_id"), F.lit(0.0).alias("dist"), F.lit(0).alias("nn_rank"))
+    r, rows = r.where(F.size("_pv") == dim), rows.where(F.size("_qv") == dim)
+    classes = cut_lineage(rows.groupBy("_qv").agg(F.min("_qid").alias("_qid"), F.count("*").alias("_m")).select("_qid", "_qv", "_m"))
+    found = _search(classes.select("_qid", "_qv"), r, n, dim, want, k, n_pivots, seed, block)
+    best = Window.partitionBy("_qid").orderBy("dist", "_pid")
+    found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= want)
+    top = found.groupBy("_qid").agg(F.sort_array(F.collect_list(F.struct("dist", "_pid"))).alias("_top"))  # at most `want` each
+    if (classes.agg(F.max("_m")).first()[0] or 0) > 1:
+        # copies of a query share its class's answer
+        top = rows.join(classes.select(F.col("_qid").alias("_class"), "_qv"), "_qv").join(top.withColumnRenamed("_qid", "_class"), "_class")
+    if exclude_self:
+        top = top.withColumn("_top", F.filter("_top", lambda t: t["_pid"] != F.col("_qid")))
+    out = top.select(F.col("_qid").alias(id_col), F.posexplode(F.slice("_top", 1, k)).alias("_at", "_t"))
+    return out.select(id_col, F.col("_t._pid").alias("neighbour_id"), F.col("_t.dist").alias("dist"), (F.col("_at") + 1).cast("int").alias("nn_rank"))
+
+
+# ---------------------------------------------------------------- local outlier factor
+
+def _density(nn: DataFrame, kdist: DataFrame, id_col: str) -> DataFrame:
+    """(id, lrd): one over the mean reachability distance to the neighbours."""
+    reach = nn.join(kdist.select(F.col(id_col).alias("neighbour_id"), "kdist"), "neighbour_id")
+    return reach.groupBy(id_col).agg((1.0 / (F.avg(F.greatest("kdist", "dist")) + F.lit(LRD_EPS))).alias("lrd"))
+
+
+def _factor(nn: DataFrame, lrd_ref: DataFrame, lrd_own: DataFrame, id_col: str) -> DataFrame:
+    """(id, lof, lrd): the neighbours' mean density against the row's own."""
+    near = nn.join(lrd_ref.select(F.col(id_col).alias("neighbour_id"), F.col("lrd").alias("_near")), "neighbour_id")
+    mean = near.groupBy(id_col).agg(F.avg("_near").alias("_mean"))
+    return mean.join(lrd_own, id_col).select(id_col, (F.col("_mean") / F.col("lrd")).alias("lof"), "lrd")
+
+
+class LofIndex:
+    """ML10: a fitted local outlier factor (Breunig et al. 2000) that scores unseen rows.
+
+    ``points`` holds every reference row with its vector, k-distance, density
+    and own factor; ``threshold`` is the factor's quantile 1 - contamination over
+    them.  An unseen row is compared with its ``k`` nearest points only; neither
+    fitting nor scoring brings the points together anywhere."""
+
+    def __init__(self, points: DataFrame, k: int, threshold: float | None, id_col: str):
+        self.points, self.k, self.threshold, self.id_col = points, k, threshold, id_col
+
+    @classmethod
+    def fit(cls, points: DataFrame, k: int = 20, *, contamination: float = 0.013, id_col: str = "vec_id",
+            vec_col: str = "features") -> LofIndex:
+        vectors = _vectors(points, id_col, vec_col, (id_col, "features"))
+        nn = cut_lineage(knn(vectors, vectors, k, id_col=id_col))
+        kdist = cut_lineage(nn.groupBy(id_col).agg(F.max("dist").alias("kdist")))
+        lrd = cut_lineage(_density(nn, kdist, id_col))
+        own = _factor(nn, lrd, lrd, id_col)
+        fitted = cut_lineage(vectors.join(kdist, id_col).join(own, id_col).select(id_col, "features", "kdist", "lrd", "lof"))
+        return cls(fitted, k, exact_quantile(fitted, "lof", 1 - contamination), id_col)
+
+    def training_scores(self) -> DataFrame:
+        """(id, lof, is_outlier) of the reference rows, each without itself."""
+        return self._judged(self.points.select(self.id_col, "lof"))
+
+    def score(self, query: DataFrame, vec_col: str = "features") -> DataFrame:
+        """(id, lof, is_outlier) of unseen rows: distances to the index's points, densities of the points."""
+        i = self.id_col
+        q = _vectors(query, i, vec_col, (i, "features"))
+        nn = cut_lineage(knn(q, self.points, self.k, id_col=i, exclude_self=False))
+        return self._judged(_factor(nn, self.points, _density(nn, self.points, i), i).select(i, "lof"))
+
+    def _judged(self, scores: DataFrame) -> DataFrame:
+        return scores.withColumn("is_outlier", (F.col("lof") > F.lit(self.threshold)).cast("int"))
+
+    def save(self, path: str) -> None:
+        """Points, then parameters; an index without parameters was not finished."""
+        spark = self.points.sparkSession
+        self.points.write.mode("overwrite").parquet(f"{path}/points")
+        spark.createDataFrame([(self.k, self.threshold, self.id_col)], "k int, threshold double, id_col string").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{path}/params")
 
-    return run
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LofIndex:
+        p = spark.read.parquet(f"{path}/params").first()
+        return cls(spark.read.parquet(f"{path}/points"), p["k"], p["threshold"], p["id_col"])
 
 
 def lof(points: DataFrame, k: int = 20, *, id_col: str = "vec_id", vec_col: str = "features",
         query: DataFrame | None = None) -> DataFrame:
-    """ML10: local outlier factor (Breunig et al. 2000) as joins and aggregates.
-
-    With ``query`` None every point is scored against the others (each point
-    excluded from its own neighbours); otherwise query rows are scored against
-    ``points`` (novelty mode)."""
-    nn_ref = cut_lineage(knn(points, points, k, id_col=id_col, vec_col=vec_col, exclude_self=True))
-    kdist = nn_ref.groupBy(id_col).agg(F.max("dist").alias("_kd"))
-    reach = (nn_ref.join(kdist.withColumnRenamed(id_col, "neighbour_id"), "neighbour_id")
-             .withColumn("_reach", F.greatest("_kd", "dist")))
-    lrd = reach.groupBy(id_col).agg((1.0 / (F.avg("_reach") + F.lit(LRD_EPS))).alias("lrd"))
+    """ML10 as one call: (id, lof, lrd).  With ``query`` None every point is scored against the
+    others; otherwise query rows are scored against ``points`` (novelty mode)."""
+    vectors = _vectors(points, id_col, vec_col, (id_col, "features"))
+    nn = cut_lineage(knn(vectors, vectors, k, id_col=id_col))
+    kdist = nn.groupBy(id_col).agg(F.max("dist").alias("kdist"))
+    lrd = cut_lineage(_density(nn, kdist, id_col))
     if query is None:
-        nn_q = nn_ref
-        lrd_q = lrd
-    else:
-        nn_q = knn(query, points, k, id_col=id_col, vec_col=vec_col, exclude_self=False)
-        rq = (nn_q.join(kdist.withColumnRenamed(id_col, "neighbour_id"), "neighbour_id")
-              .withColumn("_reach", F.greatest("_kd", "dist")))
-        lrd_q = rq.groupBy(id_col).agg((1.0 / (F.avg("_reach") + F.lit(LRD_EPS))).alias("lrd"))
-    nb_lrd = nn_q.join(lrd.withColumnRenamed(id_col, "neighbour_id").withColumnRenamed("lrd", "_nlrd"), "neighbour_id")
-    mean_nb = nb_lrd.groupBy(id_col).agg(F.avg("_nlrd").alias("_m"))
-    return mean_nb.join(lrd_q, id_col).select(id_col, (F.col("_m") / F.col("lrd")).alias("lof"), "lrd")
+        return _factor(nn, lrd, lrd, id_col)
+    q = _vectors(query, id_col, vec_col, (id_col, "features"))
+    found = cut_lineage(knn(q, vectors, k, id_col=id_col, exclude_self=False))
+    return _factor(found, lrd, _density(found, kdist, id_col), id_col)
 
 
 def lsh_candidates(query: DataFrame, ref: DataFrame, max_dist: float, *, id_col: str = "vec_id",

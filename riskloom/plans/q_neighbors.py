@@ -6,6 +6,8 @@ label the majority.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskloom.operators import neighbors as NB
@@ -14,7 +16,7 @@ from riskloom.operators.ranking import exact_quantile
 from riskloom.operators.scaling import scale_long, scaler_stats_long
 from riskloom.plans import inputs
 from riskloom.plans.catalog import register
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, ensure_checkpoint_dir
 
 MINORITY_LABEL = 0
 K_SMOTE, K_LOF = 5, 20
@@ -66,6 +68,54 @@ def lof_scores(spark, sf_dir):
     return s.select("vec_id", F.round("lof", 6).alias("lof"), (F.col("lof") > F.lit(thr)).cast("int").alias("is_outlier"))
 
 
+K_SEARCH = 10
+
+
+@register("knn_query", f"""WITH pairs AS (SELECT a.vec_id, b.vec_id AS neighbour_id, {_dist('a', 'b')} AS dist
+  FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0)
+SELECT vec_id, neighbour_id, round(dist, 6) AS dist, nn_rank FROM
+  (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour_id) AS INTEGER) AS nn_rank FROM pairs)
+WHERE nn_rank <= {K_SEARCH}""")
+def knn_query(spark, sf_dir):
+    """J2 with two inputs: the search queries (ids divisible by 50) against all rows, themselves included."""
+    e = inputs.embeddings(spark, sf_dir).select("vec_id", NB.as_double_vector("embedding").alias("features"))
+    nn = NB.knn(e.filter(F.col("vec_id") % 50 == 0), e, K_SEARCH, exclude_self=False)
+    return nn.select("vec_id", "neighbour_id", F.round("dist", 6).alias("dist"), "nn_rank")
+
+
+def _h(seed, expr):
+    return f"CAST('0x' || substr(md5('{seed}:' || {expr}), 1, 8) AS BIGINT)"
+
+
+# fitted on the training part of a split by class, asked about the test part
+_NOVELTY_SQL = f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {_h(SEED, 'CAST(vec_id AS VARCHAR)')}, vec_id) - 1
+    < round(count(*) OVER (PARTITION BY y) * 0.2, 0) AS test
+  FROM (SELECT vec_id, embedding, CAST(label = {MINORITY_LABEL} AS INTEGER) AS y FROM embeddings))
+, pairs AS (SELECT a.vec_id, a.test, b.vec_id AS neighbour_id, {_dist('a', 'b')} AS dist
+            FROM e a JOIN e b ON a.vec_id <> b.vec_id AND NOT b.test)
+, nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour_id) AS r FROM pairs)
+         WHERE r <= {K_LOF})
+, kd AS (SELECT vec_id, max(dist) AS kd FROM nn WHERE NOT test GROUP BY vec_id)
+, lrd AS (SELECT nn.vec_id, 1.0 / (avg(greatest(kd.kd, nn.dist)) + {NB.LRD_EPS}) AS lrd
+          FROM nn JOIN kd ON nn.neighbour_id = kd.vec_id GROUP BY nn.vec_id)
+, lof AS (SELECT nn.vec_id, nn.test, avg(l2.lrd) / any_value(l1.lrd) AS lof FROM nn JOIN lrd l2 ON nn.neighbour_id = l2.vec_id
+          JOIN lrd l1 ON nn.vec_id = l1.vec_id GROUP BY nn.vec_id, nn.test)
+, thr AS (SELECT quantile_cont(lof, {1 - CONTAMINATION}) AS t FROM lof WHERE NOT test)
+SELECT vec_id, round(lof, 6) AS lof, CAST(lof > t AS INTEGER) AS is_outlier FROM lof, thr WHERE test"""
+
+
+@register("lof_novelty", _NOVELTY_SQL)
+def lof_novelty(spark, sf_dir):
+    """ML10, novelty: an index of the training rows, saved and read again, scores the test rows."""
+    e = inputs.embeddings(spark, sf_dir).select("vec_id", NB.as_double_vector("embedding").alias("features"),
+                                                (F.col("label") == MINORITY_LABEL).cast("int").alias("y"))
+    split = cut_lineage(SA.stratified_split(e, label="y", key="vec_id", seed=SEED))
+    path = f"{ensure_checkpoint_dir(spark)}/lof-{uuid.uuid4().hex}"
+    NB.LofIndex.fit(split.filter("is_test = 0"), K_LOF, contamination=CONTAMINATION).save(path)
+    s = NB.LofIndex.load(spark, path).score(split.filter("is_test = 1"))
+    return s.select("vec_id", F.round("lof", 6).alias("lof"), "is_outlier")
+
+
 def _counts(spark, sf_dir):
     e = inputs.embeddings(spark, sf_dir)
     row = e.agg(F.count_if(F.col("label") == MINORITY_LABEL).alias("mn"),
@@ -81,10 +131,6 @@ def _smote(spark, sf_dir):
     return SA.smote(m, nn, needed, n_min, k=K_SMOTE, seed=SEED)
 
 
-def _h(seed, expr):
-    return f"CAST('0x' || substr(md5('{seed}:' || {expr}), 1, 8) AS BIGINT)"
-
-
 _SMOTE_SQL = _KNN_MIN + f"""
 , cnt AS (SELECT count(*) FILTER (WHERE label = {MINORITY_LABEL}) AS mn, count(*) FILTER (WHERE label <> {MINORITY_LABEL}) AS mj
           FROM embeddings)

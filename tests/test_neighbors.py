@@ -25,6 +25,73 @@ def test_knn_exact_against_numpy(spark):
         assert [got[(i, r + 1)] for r in range(7)] == order
 
 
+def _brute(q, r, k, exclude_self):
+    out = {}
+    for i, v in q:
+        d = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in r if not (exclude_self and i == j))
+        out[i] = [j for _, j in d[:k]]
+    return out
+
+
+def _ranks(df):
+    out = {}
+    for r in df.orderBy("vec_id", "nn_rank").collect():
+        out.setdefault(r["vec_id"], []).append(r["neighbour_id"])
+    return out
+
+
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_knn_in_cells_rings_and_blocks(spark, exclude_self):
+    """Small blocks: several pivots, rings, parts and query blocks; a third of the rows are one vector."""
+    rng = np.random.default_rng(9)
+    x = [(i, [float(a) for a in v]) for i, v in enumerate(rng.integers(0, 6, (240, 3)))]
+    x += [(1000 + i, [2.0, 2.0, 2.0]) for i in range(120)]
+    q = x[::3] + [(5000, [2.0, 2.0, 2.0]), (5001, [40.0, 0.0, 0.0])]
+    schema = "vec_id long, features array<double>"
+    got = NB.knn(spark.createDataFrame(q, schema), spark.createDataFrame(x, schema), 4, exclude_self=exclude_self, block=16)
+    assert _ranks(got) == _brute(q, x, 4, exclude_self)
+
+
+def test_knn_of_copies_gives_k_rows_each(spark):
+    same = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("features"))
+    rows = NB.knn(same, same, 5).groupBy("vec_id").agg(F.count("*").alias("n"), F.max("dist").alias("d")).groupBy("n", "d").count().collect()
+    assert [tuple(r) for r in rows] == [(5, 0.0, 3000)]
+
+
+def test_knn_limits_copies_before_the_shuffle(spark):
+    """The rows of one vector are cut to k + 1 in the task that reads them."""
+    df, _ = _points(spark, n=50)
+    own = NB.Window.partitionBy("features").orderBy("vec_id")
+    plan = df.withColumn("n", F.row_number().over(own)).where("n <= 6")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_knn_of_odd_rows(spark):
+    schema = "vec_id long, features array<double>"
+    good = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 3.0])]
+    odd = [(4, None), (5, [None, 1.0]), (6, [float("nan"), 0.0]), (7, [1.0]), (8, []), (9, [float("inf"), 0.0])]
+    df = spark.createDataFrame(good + odd, schema)
+    assert _ranks(NB.knn(df, df, 5)) == {1: [2, 3], 2: [1, 3], 3: [1, 2]}
+    none = spark.createDataFrame([], schema)
+    assert NB.knn(df, none, 2).collect() == [] and NB.knn(none, df, 2).collect() == []
+
+
+def test_lof_index_saved_and_loaded(spark, scratch):
+    df, x = _points(spark)
+    train, test = df.filter("vec_id % 4 > 0"), df.filter("vec_id % 4 = 0")
+    far = spark.createDataFrame([(10_000, [50.0] * x.shape[1])], "vec_id long, features array<double>")
+    index = NB.LofIndex.fit(train, 10, contamination=0.05)
+    index.save(scratch)
+    again = NB.LofIndex.load(spark, scratch)
+    asked = test.union(far)
+    a, b = ({r["vec_id"]: (r["lof"], r["is_outlier"]) for r in i.score(asked).collect()} for i in (index, again))
+    assert {i: (pytest.approx(v), o) for i, (v, o) in a.items()} == b and a[10_000][1] == 1 and len(a) == 101
+    want = {r["vec_id"]: r["lof"] for r in NB.lof(train, 10, query=asked).collect()}
+    assert {i: pytest.approx(v[0]) for i, v in a.items()} == want
+    own = index.training_scores()
+    assert own.count() == train.count() and 0 < own.filter("is_outlier = 1").count() <= 0.06 * train.count()
+
+
 def test_lof_novelty_flags_planted_query(spark):
     df, x = _points(spark)
     q = spark.createDataFrame([(10_000, [50.0] * x.shape[1]), (10_001, [float(v) for v in x[0]])],
