@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.features import scalar_features
 from riskloom.operators.history import history_features
+from riskloom.operators.logstore import LogStore
 from riskloom.operators.validate import apply_defaults
 from riskloom.operators.scoring import score
+from riskloom.session import ensure_checkpoint_dir
 from riskloom.sources import adapter
-from riskloom.sources.tables import table
+from riskloom.sources.tables import cached, table
 
+# part of the stored log's key: to be raised when features, rules or scores change
+LOG_VERSION = "1"
 # velocity over 24 hours feeds the rule input so that the velocity rule can fire
 RULE_VELOCITY = {"transactions_last_1hr": "24 hours"}
 
@@ -57,5 +61,13 @@ def scored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_log(spark: SparkSession, sf_dir: str) -> LogStore:
+    """D7 as a stored log: scored and written once for each state of the input tables, read by
+    every log and statistics query (a folder beside the checkpoints holds it)."""
+    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("events", "customer")]
+    root = f"{ensure_checkpoint_dir(spark)}/stored-log"
+    return LogStore(spark, cached(spark, root, paths, LOG_VERSION, lambda out: LogStore(spark, out).append(scored_log(spark, sf_dir))))
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")

@@ -26,12 +26,12 @@ _NEWEST = "ORDER BY created_at DESC, id DESC LIMIT 100"
 
 @register("history_latest", base(f"SELECT {_ROW} FROM (SELECT * FROM log {_NEWEST})"))
 def history_latest(spark, sf_dir):
-    return _rows(L.latest(inputs.scored_log(spark, sf_dir)))
+    return _rows(inputs.stored_log(spark, sf_dir).latest(100))
 
 
 @register("history_filter", base(f"SELECT {_ROW} FROM (SELECT * FROM log WHERE fraud_status = '{FILTER_STATUS}' {_NEWEST})"))
 def history_filter(spark, sf_dir):
-    return _rows(L.latest(L.filter_status(inputs.scored_log(spark, sf_dir), FILTER_STATUS)))
+    return _rows(inputs.stored_log(spark, sf_dir).latest(100, FILTER_STATUS))
 
 
 _AMOUNT_TEXT = ("CASE WHEN amount IS NULL OR amount = 0 THEN '' WHEN amount = floor(amount) "
@@ -44,7 +44,7 @@ _q = SEARCH_TEXT.lower()
          OR contains({_AMOUNT_TEXT}, '{_q}'))
     AND fraud_status = '{SEARCH_STATUS}' {_NEWEST})"""))
 def history_search(spark, sf_dir):
-    return _rows(L.latest(L.search(inputs.scored_log(spark, sf_dir), SEARCH_TEXT, SEARCH_STATUS)))
+    return _rows(L.latest(L.search(inputs.stored_log(spark, sf_dir).rows(), SEARCH_TEXT, SEARCH_STATUS)))
 
 
 SEARCH_AMOUNT = "99"
@@ -56,7 +56,7 @@ _DIGITS = "regexp_replace(CAST(CAST(amount AS DECIMAL(38,12)) AS VARCHAR), '\\.?
      OR (amount <> 0 AND contains({_DIGITS}, '{SEARCH_AMOUNT}')) {_NEWEST})"""))
 def history_search_amount(spark, sf_dir):
     """FLT6 on digits: the plain text of the amount holds the searched part."""
-    return _rows(L.latest(L.search(inputs.scored_log(spark, sf_dir), SEARCH_AMOUNT)))
+    return _rows(L.latest(L.search(inputs.stored_log(spark, sf_dir).rows(), SEARCH_AMOUNT)))
 
 
 _INR = """'₹' || CASE WHEN amt < 0 THEN '-' ELSE '' END ||
@@ -82,14 +82,14 @@ SELECT CAST(row_number() OVER (ORDER BY created_at, id) AS INTEGER) AS ordinal,
   coalesce(strftime(created_at, '%d %b, %I:%M ') || lower(strftime(created_at, '%p')), '—') AS time_text
 FROM f"""))
 def history_view(spark, sf_dir):
-    return L.history_view(inputs.scored_log(spark, sf_dir)).withColumn("ordinal", F.col("ordinal").cast("int"))
+    return L.history_view(inputs.stored_log(spark, sf_dir).latest(100)).withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
 @register("history_counts", base(f"""SELECT count(*) AS total, count(*) FILTER (WHERE fraud_status = 'FRAUD') AS fraud,
   count(*) FILTER (WHERE fraud_status = 'SUSPICIOUS') AS suspicious, count(*) FILTER (WHERE fraud_status = 'SAFE') AS safe
 FROM (SELECT * FROM log {_NEWEST})"""))
 def history_counts(spark, sf_dir):
-    return L.status_counts(L.latest(inputs.scored_log(spark, sf_dir)))
+    return L.status_counts(inputs.stored_log(spark, sf_dir).latest(100))
 
 
 @register("dashboard_stats", base("""SELECT count(*) AS total_transactions,
@@ -101,4 +101,4 @@ def history_counts(spark, sf_dir):
   coalesce(round(avg(CAST(coalesce(risk_score, 0.0) AS DECIMAL(20,4))), 1), 0.0) AS avg_risk_score
 FROM log"""))
 def dashboard_stats(spark, sf_dir):
-    return L.dashboard_stats(inputs.scored_log(spark, sf_dir))
+    return inputs.stored_log(spark, sf_dir).dashboard_stats()

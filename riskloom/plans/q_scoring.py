@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import rules as RU
 from riskloom.operators import scoring as SC
-from riskloom.operators.ledger import window_stats
 from riskloom.plans import inputs
 from riskloom.plans.catalog import register
 from riskloom.plans.sql import D, RULES, TXN, _rule_score, base, hist_cte, with_ctes
@@ -110,7 +109,7 @@ def risk_band(spark, sf_dir):
     round(avg(CAST(coalesce(risk_score, 0) AS DECIMAL(20,4))), 4) AS avg_risk_score
 FROM log GROUP BY 1"""))
 def stats_hourly(spark, sf_dir):
-    return window_stats(inputs.scored_log(spark, sf_dir), "1 hour")
+    return inputs.stored_log(spark, sf_dir).hourly_stats()
 
 
 # ---------------------------------------------------------------- scoring with model objects

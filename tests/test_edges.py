@@ -3,7 +3,6 @@
 import datetime as dt
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +11,6 @@ from riskloom.operators.evaluation import roc_auc, roc_points
 from riskloom.operators.ledger import append_log
 from riskloom.operators.ranking import exact_quantile
 from riskloom.sources.adapter import with_balances
-from riskloom.streaming.state import make_update
 
 
 def test_auc_and_points_with_null_scores(spark):
@@ -56,30 +54,3 @@ def test_append_is_idempotent_across_dates(spark, scratch):
     assert append_log(again, f"{scratch}/log") == 0
     got = {r["id"]: r["amount"] for r in spark.read.parquet(f"{scratch}/log").collect()}
     assert got == {1: 5.0, 2: 7.0, 3: 1.0}
-
-
-class State:
-    def __init__(self):
-        self.exists, self.get = False, None
-
-    def update(self, value):
-        self.exists, self.get = True, value
-
-
-def test_rows_out_of_order_keep_the_newest_position():
-    minute = 60_000_000
-    run = make_update({"v": "1 hour"}, 30 * minute, ["txn_id"])
-    state = State()
-
-    def batch(*rows):
-        pdf = pd.DataFrame(rows, columns=["txn_id", "t_us", "amount", "device", "lat", "lng"])
-        return next(iter(run((1,), iter([pdf]), state)))
-
-    batch((1, 0, 1.0, 0, 10.0, 70.0), (2, 100 * minute, 1.0, 1, 20.0, 70.0))
-    old = batch((3, 80 * minute, 1.0, 2, 30.0, 70.0)).iloc[0]  # within the delay
-    assert old["is_late"] == 0
-    new = batch((4, 101 * minute, 1.0, 1, 20.0, 70.0)).iloc[0]
-    assert new["device_change_flag"] == 0 and new["geo_distance"] == pytest.approx(0.0)
-    assert new["v"] == 3
-    late = batch((5, 10 * minute, 1.0, 2, 30.0, 70.0)).iloc[0]
-    assert late["is_late"] == 1
