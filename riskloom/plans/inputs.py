@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,5 +71,40 @@ def stored_log(spark: SparkSession, sf_dir: str) -> LogStore:
     return LogStore(spark, cached(spark, root, paths, LOG_VERSION, lambda out: LogStore(spark, out).append(scored_log(spark, sf_dir))))
 
 
+# ---- events as they arrive
+
+REPLAY_BATCHES = 4
+
+
+def arrival(very_late: bool):
+    """When an event arrives: up to 49 minutes after its time; with ``very_late`` a part of them ten days later."""
+    minutes = (F.col("k") * 7) % 50 + (F.when(F.col("k") % 20 == 3, 10 * 24 * 60).otherwise(0) if very_late else F.lit(0))
+    return F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + minutes.cast("long") * 60_000_000)
+
+
+def arrival_sql(very_late: bool) -> str:
+    """``arrival`` over the oracle's ``txn``."""
+    late = " + CASE WHEN k % 20 = 3 THEN 14400 ELSE 0 END" if very_late else ""
+    return f"ts + to_minutes(CAST((k * 7) % 50{late} AS BIGINT))"
+
+
+def replay(spark: SparkSession, sf_dir: str, path: str, go_on, very_late: bool = False) -> None:
+    """Write the events under ``path`` in REPLAY_BATCHES spans of their arrival, and call ``go_on`` after each."""
+    events = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    came = events.withColumn("k", k).withColumn("_us", F.unix_micros(arrival(very_late)))
+    lo, hi = came.agg(F.min("_us"), F.max("_us")).first()
+    if lo is None:
+        lo = hi = 0
+    part = F.floor((F.coalesce("_us", F.lit(lo)) - F.lit(lo)) * REPLAY_BATCHES / F.lit(hi - lo + 1))
+    for i in range(REPLAY_BATCHES):
+        came.filter(part == i).select(*events.columns).write.mode("append").parquet(path)
+        go_on()
+
+
+def stream_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from riskloom.operators import rules as RU
 from riskloom.operators import scoring as SC
 from riskloom.plans import inputs
-from riskloom.plans.catalog import register
+from riskloom.plans.catalog import ORACLES, register
+from riskloom.operators.logstore import LogStore
+from riskloom.streaming.online import online_sink, payload_stream
+from riskloom.streaming.scoring import epoch_sink, event_stream, log_sink, score_stream
+from riskloom.streaming.state import newest_revision
 from riskloom.plans.sql import D, RULES, TXN, _rule_score, base, hist_cte, with_ctes
 
 
@@ -233,12 +237,18 @@ def online_score(spark, sf_dir):
     """SRC4 + D5 + FLT1 + FLT2 + online profile: JSON payloads -> typed fields ->
     rejection of those without a numeric amount -> defaults -> online features ->
     rules -> hybrid score."""
+    from riskloom.operators.validate import coerce_online, split_valid
+
+    valid, _ = split_valid(coerce_online(online_payloads(spark, sf_dir)))
+    return _online_scored(valid.drop("amount_text"))
+
+
+def _online_scored(valid):
     from riskloom.operators.features import scalar_features
-    from riskloom.operators.validate import apply_defaults, coerce_online, split_valid
+    from riskloom.operators.validate import apply_defaults
     from riskloom.sources import adapter
 
-    valid, _ = split_valid(coerce_online(online_payloads(spark, sf_dir)))
-    f = scalar_features(apply_defaults(valid.drop("amount_text")), "online")
+    f = scalar_features(apply_defaults(valid), "online")
     f = f.withColumns({"ml_probability": adapter.fixture_ml(F.col("amount")),
                        "anomaly_decision": adapter.fixture_decision(F.col("geo_distance"))})
     s = SC.score(f)
@@ -257,31 +267,72 @@ def online_rejected(spark, sf_dir):
     return bad.select("txn_id", "quarantine_reason")
 
 
+def _online_stream(spark, sf_dir) -> str:
+    """The payloads as JSON lines with their id, read as a stream; the folder of its two tables."""
+    root = inputs.stream_folder(spark)
+    lines = online_payloads(spark, sf_dir).select(F.concat(F.lit('{"txn_id":'), F.col("txn_id").cast("string"), F.lit(","), F.expr("substring(payload, 2)")))
+    lines.write.text(f"{root}/in")
+    q = (payload_stream(spark, f"{root}/in", max_files=2).writeStream
+         .foreachBatch(online_sink(_online_scored, f"{root}/scored", f"{root}/rejected"))
+         .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return root
+
+
+@register("online_stream_score", ORACLES["online_score"])
+def online_stream_score(spark, sf_dir):
+    """SRC4 as a stream: equal to ``online_score``."""
+    return spark.read.parquet(f"{_online_stream(spark, sf_dir)}/scored").drop("epoch")
+
+
+@register("online_stream_rejected", ORACLES["online_rejected"])
+def online_stream_rejected(spark, sf_dir):
+    """The stream's side table: equal to ``online_rejected``."""
+    return spark.read.parquet(f"{_online_stream(spark, sf_dir)}/rejected").select("txn_id", "quarantine_reason")
+
+
 # ---------------------------------------------------------------- the same scoring as a stream
 
+def _score_replay(spark, sf_dir, sink, very_late: bool):
+    """ST1 + ST2: the events as they arrive, out of order, in micro-batches of one query that
+    goes on from its checkpoint; per-account state with a delay of an hour."""
+    from riskloom.sources.tables import table
+
+    root = inputs.stream_folder(spark)
+    customer = table(spark, sf_dir, "customer")
+
+    def go_on():
+        feats = score_stream(event_stream(spark, f"{root}/in"), customer, velocity=inputs.RULE_VELOCITY, delay="1 hour")
+        feats.writeStream.foreachBatch(sink(root)).option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+
+    inputs.replay(spark, sf_dir, f"{root}/in", go_on, very_late)
+    return root
+
+
 @register("stream_scored", base("""SELECT txn_id, ml_probability, round(anomaly_score, 4) AS anomaly_score,
     round(rule_score, 4) AS rule_score, fraud_probability, risk_score, fraud_label FROM scored"""))
 def stream_scored(spark, sf_dir):
-    """ST1 + ST2: the events file as a stream, per-account state instead of
-    windows, scored in foreachBatch into a Parquet table under the shared
-    checkpoint folder; returns that table.  Must equal ``hybrid_score``."""
-    import uuid
+    """Rows up to an hour out of order; the last revision of each must equal ``hybrid_score``."""
+    root = _score_replay(spark, sf_dir, lambda r: epoch_sink(f"{r}/out", f"{r}/late", HYBRID_COLS), very_late=False)
+    out = newest_revision(spark.read.parquet(f"{root}/out").drop("epoch"))
+    return out.select("txn_id", "ml_probability", F.round("anomaly_score", 4).alias("anomaly_score"),
+                      F.round("rule_score", 4).alias("rule_score"), "fraud_probability", "risk_score", "fraud_label")
 
-    from riskloom.session import ensure_checkpoint_dir
-    from riskloom.sources.tables import table
-    from riskloom.streaming.scoring import EVENTS_SCHEMA, score_stream, scored_from_features
 
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-scored-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
-    feats = score_stream(events, table(spark, sf_dir, "customer"), velocity=inputs.RULE_VELOCITY, delay="3650 days")
+@register("stream_log", ORACLES["stats_hourly"])
+def stream_log(spark, sf_dir):
+    """ST3 + ST4: the stream feeds a stored log (appends and amendments); its hourly roll-up."""
+    root = _score_replay(spark, sf_dir, lambda r: log_sink(LogStore(spark, f"{r}/log"), f"{r}/late"), very_late=False)
+    return LogStore(spark, f"{root}/log").hourly_stats()
 
-    def sink(batch, epoch_id):
-        s = scored_from_features(batch.filter(F.col("is_late") == 0))
-        s.select(*HYBRID_COLS).write.mode("append").parquet(f"{root}/out")
 
-    q = (feats.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/ck")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
-    return out.select("txn_id", "ml_probability", F.round("anomaly_score", 4).alias("anomaly_score"),
-                      F.round("rule_score", 4).alias("rule_score"), "fraud_probability", "risk_score", "fraud_label")
+@register("stream_late", with_ctes(TXN, body=f""", a AS (SELECT txn_id, account, ts, {inputs.arrival_sql(True)} AS arrival FROM txn)
+, b AS (SELECT *, CAST(floor((epoch_us(arrival) - min(epoch_us(arrival)) OVER ()) * {inputs.REPLAY_BATCHES}
+      / (max(epoch_us(arrival)) OVER () - min(epoch_us(arrival)) OVER () + 1)) AS INTEGER) AS batch FROM a)
+, m AS (SELECT *, max(ts) OVER (PARTITION BY account ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM b)
+SELECT txn_id, account, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM m WHERE ts < newest - INTERVAL 1 HOUR"""))
+def stream_late(spark, sf_dir):
+    """ST5: some rows come days late; the late table of the stream."""
+    root = _score_replay(spark, sf_dir, lambda r: epoch_sink(f"{r}/out", f"{r}/late", ["txn_id", "fraud_label"]), very_late=True)
+    late = spark.read.parquet(f"{root}/late")
+    return late.select("txn_id", "account", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
