@@ -10,15 +10,19 @@ from __future__ import annotations
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import sampling as SA
-from riskloom.operators.neighbors import knn
+from riskloom.operators.neighbors import LofIndex, knn
 from riskloom.operators.scaling import apply_scaler, fit_scaler
 from riskloom.operators.validate import clean_nonfinite
 from riskloom.schemas import FEATURE_COLUMNS
@@ -113,20 +117,22 @@ def importance(model, digits: int = 4) -> list[tuple[str, float]]:
 class RffSvm:
     """ML8 re-aimed: an RBF-kernel SVM approximated by random Fourier features
     (Rahimi & Recht 2007) + LinearSVC, with Platt scaling by a one-feature
-    logistic regression on the margin.  The projection (D x d) is a bounded
-    literal; everything else is Spark ML."""
+    logistic regression on the margin.  The projection (D x d, bounded by its
+    parameters) travels with an Arrow function, one matrix product a batch; the
+    rest is Spark ML."""
 
     def __init__(self, dims: int = 256, gamma: float | None = None, max_iter: int = 2000, seed: int = 42):
         self.dims, self.gamma, self.max_iter, self.seed = dims, gamma, max_iter, seed
 
     def _project(self, df: DataFrame) -> DataFrame:
-        w, b = F.lit(self.w), F.lit(self.b)
-        x = F.array(*FEATURE_COLUMNS)
-        scale = math.sqrt(2.0 / self.dims)
-        z = F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda j: F.lit(scale) * F.cos(
-            F.aggregate(F.zip_with(F.element_at(w, j + 1), x, lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
-            + F.element_at(b, j + 1)))
-        return df.withColumn("features", array_to_vector(z))
+        w, b, scale = np.array(self.w).T, np.array(self.b), math.sqrt(2.0 / self.dims)
+
+        @F.pandas_udf("array<double>")
+        def waves(*cols: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+            return pd.Series(list(scale * np.cos(x @ w + b)))
+
+        return df.withColumn("features", array_to_vector(waves(*FEATURE_COLUMNS)))
 
     def fit(self, train: DataFrame):
         d = len(FEATURE_COLUMNS)
@@ -151,16 +157,33 @@ class RffSvm:
         p = self.platt.transform(m)
         return p.select(id_col, "label", vector_to_array("probability")[1].alias("probability"), "prediction")
 
-
-def cross_validate(frame: DataFrame, *, folds: int = 5, seed: int = 42, trees: int = 100, depth: int = 15,
-                   id_col: str = "txn_id") -> DataFrame:
-    """ML11: stratified k-fold F1 of the random forest with scaling and
-    oversampling fitted inside each fold.  The loop runs over the (bounded)
-    folds; every fold is a distributed fit."""
-    spark = frame.sparkSession
-    f = cut_lineage(SA.stratified_folds(frame, label="label", key=id_col, k=folds, seed=seed))
-    rows = []
-    for i in range(folds):
+    def save(self, path: str) -> None:
+        """SNK4: the two Spark ML models, and the projection as a table of waves."""
+        self.svc.write().overwrite().save(f"{path}/svc")
+        self.platt.write().overwrite().save(f"{path}/platt")
+        rows = [(i, w, b) for i, (w, b) in enumerate(zip(self.w, self.b))]
+        SparkSession.active().createDataFrame(rows, "wave int, w array<double>, b double").coalesce(1).write.mode("overwrite").parquet(f"{path}/waves")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> RffSvm:
+        from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel
+
+        waves = spark.read.parquet(f"{path}/waves").orderBy("wave").collect()  # ``dims`` rows
+        out = cls(dims=len(waves))
+        out.w, out.b = [list(r["w"]) for r in waves], [r["b"] for r in waves]
+        out.svc, out.platt = LinearSVCModel.load(f"{path}/svc"), LogisticRegressionModel.load(f"{path}/platt")
+        return out
+
+
+def cross_validate(train_rows: DataFrame, *, folds: int = 5, seed: int = 42, trees: int = 100, depth: int = 15,
+                   id_col: str = "txn_id", parallelism: int = 2) -> DataFrame:
+    """ML11: stratified k-fold F1 of the random forest inside the training rows (give
+    it no test rows), with scaling and oversampling fitted inside each fold.  Every
+    fold is a distributed fit on one prepared table; ``parallelism`` of them run at a time."""
+    spark = train_rows.sparkSession
+    f = cut_lineage(SA.stratified_folds(train_rows, label="label", key=id_col, k=folds, seed=seed))
+
+    def fold_f1(i: int) -> tuple[int, float]:
         tr = f.filter(F.col("fold") != i).drop("fold", "class_rank")
         va = f.filter(F.col("fold") == i).drop("fold", "class_rank")
         train, val, _ = fit_prepare(tr, va, seed=seed, id_col=id_col)
@@ -169,7 +192,10 @@ def cross_validate(frame: DataFrame, *, folds: int = 5, seed: int = 42, trees: i
                      F.count_if((F.col("label") != 1) & (F.col("prediction") == 1)).alias("fp"),
                      F.count_if((F.col("label") == 1) & (F.col("prediction") != 1)).alias("fn")).first()
         den = 2 * c["tp"] + c["fp"] + c["fn"]
-        rows.append((i, round(2 * c["tp"] / den, 4) if den else 0.0))
+        return i, round(2 * c["tp"] / den, 4) if den else 0.0
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(fold_f1), range(folds)))
     return spark.createDataFrame(rows, "fold int, f1_score double")
 
 
@@ -197,9 +223,14 @@ def write_metrics(doc: DataFrame, path: str) -> None:
     doc.coalesce(1).write.mode("overwrite").json(path)
 
 
-def save_models(path: str, *, lr=None, rf=None, iforest=None, scaler: dict | None = None, spark=None) -> None:
+def save_models(path: str, *, lr=None, rf=None, svm=None, iforest=None, lof=None, scaler: dict | None = None, spark=None) -> None:
     """SNK4: Spark ML writers for the classifiers; the isolation forest as a
-    Parquet node table plus its parameters; scaler statistics as Parquet."""
+    Parquet node table plus its parameters; the outlier factor's index and the
+    scaler statistics as Parquet."""
+    if svm is not None:
+        svm.save(f"{path}/svm")
+    if lof is not None:
+        lof.save(f"{path}/lof")
     if lr is not None:
         lr.write().overwrite().save(f"{path}/logistic_regression")
     if rf is not None:
@@ -234,6 +265,10 @@ def load_models(spark, path: str) -> dict:
         p = spark.read.parquet(f"{path}/isolation_forest/params").first()
         nodes = spark.read.parquet(f"{path}/isolation_forest/nodes").toPandas()
         out["iforest"] = IsolationForestModel(nodes, list(p["features"]), p["psi"], p["threshold"])
+    if there("svm"):
+        out["svm"] = RffSvm.load(spark, f"{path}/svm")
+    if there("lof"):
+        out["lof"] = LofIndex.load(spark, f"{path}/lof")
     if there("scaler"):
         out["scaler"] = {r["feature"]: (r["mean"], r["std"]) for r in spark.read.parquet(f"{path}/scaler").collect()}
     if not out:

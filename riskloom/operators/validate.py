@@ -111,6 +111,17 @@ def dedup_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def dedup_counted(df: DataFrame, keys: list[str], keep: str, copies: str = "copies") -> DataFrame:
+    """FLT4 with its report: of rows that agree in ``keys`` the one with the smallest ``keep``
+    stays, with the number of ``copies`` it stands for (one shuffle, partial agg)."""
+    return df.groupBy(*keys).agg(F.min(keep).alias(keep), F.count(F.lit(1)).alias(copies)).select(*[c for c in df.columns if c in keys or c == keep], copies)
+
+
+def removed_rows(unique: DataFrame, copies: str = "copies") -> DataFrame:
+    """(rows, removed) of a result of ``dedup_counted``."""
+    return unique.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col(copies) - 1), F.lit(0)).alias("removed"))
+
+
 def large_fraud_flag(is_fraud: str = "isFraud", amount: str = "amount", at: float = 200000) -> Column:
     """FLT7: known fraud with amount above the flag limit."""
     return ((F.col(is_fraud) == 1) & (F.col(amount) > at)).cast("int")

@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import display_name
 from riskloom.operators import models as M
+from riskloom.operators import sampling as SA
+from riskloom.operators import training as TR
 from riskloom.operators.anomaly import fit_iforest, score_iforest
+from riskloom.operators.hybrid import HybridModels, predictions
 from riskloom.operators.scoring import anomaly_score
 from riskloom.plans import inputs
 from riskloom.plans.catalog import register
 from riskloom.schemas import FEATURE_COLUMNS
+from riskloom.session import cut_lineage, ensure_checkpoint_dir
+from riskloom.sources.tables import cached, read_metrics
 
 SEED = 42
+# part of the run's key: to be raised when features, models or metrics change
+RUN_VERSION = "1"
 
 
 def _prepared(spark, sf_dir, oversample=True):
@@ -68,7 +75,11 @@ def feature_importance(spark, sf_dir):
 
 @register("top_features")
 def top_features(spark, sf_dir, n: int = 8):
-    top = _importance_df(spark, sf_dir).filter(F.col("rank") <= n)
+    return _shown(_importance_df(spark, sf_dir), n)
+
+
+def _shown(importance, n: int):
+    top = importance.filter(F.col("rank") <= n)
     mx = top.agg(F.max("importance")).first()[0] or 1.0
     return top.select("rank", "feature", display_name("feature").alias("display_name"), "importance",
                       F.round(F.lit(0.4) + F.col("importance") / F.lit(mx) * 0.6, 4).alias("weight"))
@@ -76,5 +87,52 @@ def top_features(spark, sf_dir, n: int = 8):
 
 @register("cv_models")
 def cv_models(spark, sf_dir):
-    """ML11: per-fold F1 of the forest, scaling and oversampling inside each fold."""
-    return M.cross_validate(M.training_frame(inputs.features(spark, sf_dir)), seed=SEED)
+    """ML11: per-fold F1 of the forest inside the training part, scaling and oversampling inside each fold."""
+    split = SA.stratified_split(cut_lineage(M.training_frame(inputs.features(spark, sf_dir))), label="label", key="txn_id", seed=SEED)
+    return M.cross_validate(split.filter("is_test = 0").drop("is_test", "class_rank"), seed=SEED)
+
+
+# ---------------------------------------------------------------- one run of training and evaluation
+
+def _run(spark, sf_dir) -> str:
+    """The folder of the run for the present input tables: trained once for each state of them."""
+    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("events", "customer")]
+    root = f"{ensure_checkpoint_dir(spark)}/training"
+    return cached(spark, root, paths, RUN_VERSION, lambda out: TR.train_and_evaluate(inputs.features(spark, sf_dir), out))
+
+
+@register("train_metrics")
+def train_metrics(spark, sf_dir):
+    """EV1-EV3 of the five models over the written predictions of the test part."""
+    return TR.metrics_of(TR.predictions(spark, _run(spark, sf_dir)))
+
+
+@register("train_curves")
+def train_curves(spark, sf_dir):
+    """EV4: the ROC points of the three classifiers."""
+    c = TR.curves_of(TR.predictions(spark, _run(spark, sf_dir)))
+    return c.select("model", F.round("threshold", 6).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+
+
+@register("train_document")
+def train_document(spark, sf_dir):
+    """SNK3 + SRC5: the metrics document of the run, written and read again, as (model, metric, value)."""
+    d = read_metrics(spark, f"{_run(spark, sf_dir)}/document").select(F.explode("models").alias("model", "m"))
+    names = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
+    return d.select("model", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"m.{n}"))])).alias("metric", "value")).filter("value IS NOT NULL")
+
+
+@register("top12_features")
+def top12_features(spark, sf_dir):
+    """ORD6 + SC18 + SC24: the twelve most important features of the fitted forest, as shown."""
+    return _shown(spark.read.parquet(f"{_run(spark, sf_dir)}/importance"), 12)
+
+
+@register("hybrid_trained")
+def hybrid_trained(spark, sf_dir):
+    """ML13, ML14, ORD5: every transaction scored by the loaded models of the run, with the eight most important features."""
+    path = _run(spark, sf_dir)
+    m = M.load_models(spark, f"{path}/models")
+    top = [(r["feature"], r["importance"]) for r in spark.read.parquet(f"{path}/importance").orderBy("rank").collect()]
+    models = HybridModels(m["scaler"], m["rf"], m["iforest"], top)
+    return predictions(inputs.features(spark, sf_dir), models, top=8)
