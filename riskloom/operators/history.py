@@ -73,9 +73,7 @@ def history_features(
     names = list(velocity)
 
     placed = F.col("account").isNotNull() & F.col("ts").isNotNull()
-    nowhere = txn.where(~placed)
-    txn = txn.where(placed)
-    narrow = txn.select(
+    narrow = txn.where(placed).select(
         "account", "txn_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
         "amount", F.struct(F.col("device_type_encoded").alias("dev"),
                            F.col("latitude").alias("lat"), F.col("longitude").alias("lng")).alias("pos"),
@@ -173,7 +171,12 @@ def history_features(
     known = has_prev & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     dist = F.coalesce(F.when(known, haversine_km("latitude", "longitude", prev_lat, prev_lng)), F.lit(0.0))
     first_ts = F.timestamp_micros(F.col("_first_us"))
-    out = out.withColumns({
+    flag = impossible_travel(dist, travel_km)
+    if travel_within is not None:
+        # optional time condition: only a jump made within ``travel_within`` counts
+        elapsed = F.unix_micros(F.col("ts").cast("timestamp")) - F.col("_prev_t")
+        flag = (flag.cast("boolean") & has_prev & (elapsed <= F.lit(_interval_us(travel_within)))).cast("int")
+    features = {
         **{name: (F.col("_c_now") - F.col(f"_c_probe{i}")).cast("int") for i, name in enumerate(names)},
         "transactions_per_user": F.col("transactions_per_user").cast("int"),
         "velocity_rows5": F.least(F.col("transactions_per_user"), F.lit(rows_window)).cast("int"),
@@ -184,15 +187,12 @@ def history_features(
         "geo_distance": dist,
         "avg_transaction": avg,
         "account_age": F.datediff(F.to_date(F.col("ts").cast("timestamp")), F.to_date(first_ts)).cast("int"),
-    }).withColumn("impossible_travel_flag", impossible_travel("geo_distance", travel_km))
-    if travel_within is not None:
-        # optional time condition: only a jump made within ``travel_within`` counts
-        elapsed = F.unix_micros(F.col("ts").cast("timestamp")) - F.col("_prev_t")
-        out = out.withColumn("impossible_travel_flag", (F.col("impossible_travel_flag").cast("boolean") & has_prev
-                                                         & (elapsed <= F.lit(_interval_us(travel_within)))).cast("int"))
-    out = out.drop("_c_now", "_sum_before", "_paid_before", "_has_prev", "_prev_dev", "_prev_lat", "_prev_lng", "_prev_t",
-                   "_first_us", "_account", "_txn_id", "_t", *[f"_c_probe{i}" for i in range(len(names))])
-    return out.unionByName(nowhere, allowMissingColumns=True)
+        "impossible_travel_flag": flag,
+    }
+    # a row without a place in an account's order has matched nothing
+    out = out.withColumns({c: F.when(placed, v) for c, v in features.items()})
+    return out.drop("_c_now", "_sum_before", "_paid_before", "_has_prev", "_prev_dev", "_prev_lat", "_prev_lng", "_prev_t",
+                    "_first_us", "_account", "_txn_id", "_t", *[f"_c_probe{i}" for i in range(len(names))])
 
 
 def history_features_by_window(txn: DataFrame, *, velocity: dict[str, str] | None = None,

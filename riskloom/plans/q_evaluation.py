@@ -10,6 +10,7 @@ from riskloom.operators.ranking import exact_quantile
 from riskloom.plans import inputs
 from riskloom.plans.catalog import register
 from riskloom.plans.sql import base
+from riskloom.session import cut_lineage
 
 # models evaluated on the fixture: score column per model; the anomaly model has no AUC
 MODELS = {"ml": "ml_probability", "rules": "rule_score", "hybrid": "fraud_probability", "anomaly": "anomaly_score"}
@@ -139,7 +140,8 @@ def cv_summary(spark, sf_dir):
 , t AS (SELECT quantile_cont(anomaly_score, {1 - CONTAMINATION}) AS thr FROM scored)
 SELECT round(thr, 6) AS threshold, (SELECT count(*) FROM scored WHERE anomaly_score > thr) AS flagged FROM t"""))
 def anomaly_threshold(spark, sf_dir):
-    s = inputs.scored(spark, sf_dir).select("anomaly_score")
+    # the one column is written once; the threshold takes several passes over it
+    s = cut_lineage(inputs.scored(spark, sf_dir).select("anomaly_score"))
     thr = exact_quantile(s, "anomaly_score", 1 - CONTAMINATION)
     return s.agg(F.round(F.lit(thr), 6).alias("threshold"),
                  F.count_if(F.col("anomaly_score") > F.lit(thr)).alias("flagged"))

@@ -7,14 +7,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import display_name
+from riskloom.operators import evaluation as EV
 from riskloom.operators import models as M
 from riskloom.operators import sampling as SA
 from riskloom.operators import training as TR
 from riskloom.operators.anomaly import fit_iforest, score_iforest
 from riskloom.operators.hybrid import HybridModels, predictions
+from riskloom.operators.scaling import apply_scaler, fit_scaler
 from riskloom.operators.scoring import anomaly_score
 from riskloom.plans import inputs
 from riskloom.plans.catalog import register
+from riskloom.plans.sql import base
 from riskloom.schemas import FEATURE_COLUMNS
 from riskloom.session import cut_lineage, ensure_checkpoint_dir
 from riskloom.sources.tables import cached, read_metrics
@@ -92,6 +95,45 @@ def cv_models(spark, sf_dir):
     return M.cross_validate(split.filter("is_test = 0").drop("is_test", "class_rank"), seed=SEED)
 
 
+# ---------------------------------------------------------------- the prepared table, checked by SQL
+
+_FRAME = f"SELECT txn_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURE_COLUMNS)}, isFraud AS label FROM feat"
+_SPLIT = f""", fr AS ({_FRAME})
+, sp AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5('{SEED}:' || CAST(txn_id AS VARCHAR)), 1, 8) AS BIGINT), txn_id) - 1
+    < round(count(*) OVER (PARTITION BY label) * 0.2, 0) AS test FROM fr)
+, st AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, avg({c}) AS mean, stddev_pop({c}) AS std FROM sp WHERE NOT test" for c in FEATURE_COLUMNS)})"""
+
+
+def _split(spark, sf_dir):
+    frame = cut_lineage(M.training_frame(inputs.features(spark, sf_dir)))
+    return cut_lineage(SA.stratified_split(frame, label="label", key="txn_id", seed=SEED))
+
+
+@register("training_frame", base(f"SELECT txn_id, label, {', '.join(f'round({c}, 6) AS {c}' for c in FEATURE_COLUMNS)} FROM ({_FRAME})"))
+def training_frame(spark, sf_dir):
+    """PRJ1: id, the ordered model features and the label."""
+    f = M.training_frame(inputs.features(spark, sf_dir))
+    return f.select("txn_id", "label", *[F.round(c, 6).alias(c) for c in FEATURE_COLUMNS])
+
+
+@register("train_scaler", base(f"{_SPLIT} SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std FROM st"))
+def train_scaler(spark, sf_dir):
+    """ML3: means and population deviations of the training part alone."""
+    st = EV.scaler_stats(_split(spark, sf_dir).filter("is_test = 0"), FEATURE_COLUMNS)
+    return st.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@register("test_scaled", base(f"""{_SPLIT}
+, lg AS ({' UNION ALL '.join(f"SELECT txn_id, '{c}' AS feature, {c} AS v FROM sp WHERE test" for c in FEATURE_COLUMNS)})
+SELECT txn_id, feature, round(CASE WHEN std = 0 THEN 0.0 ELSE (v - mean) / std END, 6) AS value FROM lg JOIN st USING (feature)"""))
+def test_scaled(spark, sf_dir):
+    """ML3: the test part scaled with the training part's statistics."""
+    split = _split(spark, sf_dir)
+    scaled = apply_scaler(split.filter("is_test = 1"), fit_scaler(split.filter("is_test = 0"), FEATURE_COLUMNS))
+    stack = ", ".join(f"'{c}', {c}" for c in FEATURE_COLUMNS)
+    return scaled.selectExpr("txn_id", f"stack({len(FEATURE_COLUMNS)}, {stack}) AS (feature, v)").select("txn_id", "feature", F.round("v", 6).alias("value"))
+
+
 # ---------------------------------------------------------------- one run of training and evaluation
 
 def _run(spark, sf_dir) -> str:
