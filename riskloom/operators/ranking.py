@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 
 HASH_RANGES = 256
 ROWS_PER_RANGE = 4_000_000   # target rows per range task
-MAX_RANGES = 1 << 18         # ranges x groups offsets stay a small broadcast table
 
 
 def ranges_for(rows: int, minimum: int = HASH_RANGES) -> int:
-    """Power-of-two range count so that a range holds about ROWS_PER_RANGE rows."""
+    """Power-of-two range count so that a range holds about ROWS_PER_RANGE rows, whatever their number."""
     need = max(minimum, -(-int(rows) // ROWS_PER_RANGE))
-    return min(MAX_RANGES, 1 << (need - 1).bit_length())
+    return 1 << (need - 1).bit_length()
 
 
 def hash_key(seed: int, key) -> Column:
@@ -40,14 +39,14 @@ def ranked(df: DataFrame, group_cols: list[str], range_col: str, order_cols: lis
            out: str = "rank0") -> DataFrame:
     """0-based rank within ``group_cols`` by (range_col, *order_cols).
 
-    ``range_col`` must be monotone in the order.  Range totals are small
-    (groups x ranges) and joined back by broadcast."""
+    ``range_col`` must be monotone in the order.  Range totals have a row for each
+    group and range; Spark broadcasts them only while they are small."""
     totals = df.groupBy(*group_cols, range_col).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group_cols).orderBy(range_col).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group_cols, range_col, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     local = Window.partitionBy(*group_cols, range_col).orderBy(*order_cols)
     with_local = df.withColumn("_local", F.row_number().over(local) - 1)
-    return (with_local.join(F.broadcast(offsets), [*group_cols, range_col])
+    return (with_local.join(offsets, [*group_cols, range_col])
             .withColumn(out, (F.col("_off") + F.col("_local")).cast("long")).drop("_off", "_local"))
 
 

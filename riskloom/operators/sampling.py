@@ -32,7 +32,7 @@ def stratified_split(df: DataFrame, label: str = "isFraud", key: str = "txn_id",
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     biggest = sizes.agg(F.max("_n")).first()[0] or 0
     r = class_ranks(df, label, key, seed, rows=biggest)
-    r = r.join(F.broadcast(sizes), label)
+    r = r.join(sizes, label)
     n_test = F.round(F.col("_n") * F.lit(test_fraction), 0)
     return r.withColumn("is_test", (F.col("class_rank") < n_test).cast("int")).drop("_n", "_h")
 
