@@ -23,17 +23,19 @@ BATCH_CHARS = 2_000_000
 
 @functools.cache
 def classes() -> np.ndarray:
-    """Class of every code point: letter, number, white space or other."""
-    import regex
+    """Class of every code point: letter, number, white space or other, as the
+    tokenizers library itself takes them (its Unicode tables are not Python's).
+    Planes 4 to 13 hold no characters and the last two are for private use."""
+    from tokenizers import Regex, pre_tokenizers
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    points = np.array([*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000)])
+    every = "".join(map(chr, points.tolist()))
     out = np.zeros(0x110000, np.uint8)
-    for kind, pat in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"),
-                      (SPACE, r"[\t-\r \x85\xa0  -     　]+")):
-        for m in regex.finditer(pat, every):
-            for a, b in ((m.start(), min(m.end(), 0xD800)), (max(m.start(), 0xD800) + 0x800, m.end() + 0x800)):
-                if a < b:
-                    out[a:b] = kind
+    for kind, pat in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        rest = np.zeros(len(points), bool)
+        for _, (a, b) in pre_tokenizers.Split(Regex(pat), "removed").pre_tokenize_str(every):
+            rest[a:b] = True
+        out[points[~rest]] = kind
     return out
 
 

@@ -145,3 +145,17 @@ def test_token_files(docs_of, scratch, spark):
         at += len(ids)
     assert len(out) == len(rows) + 1
     assert repair.write_and_read(docs_of([]), tokenizer("byte_bpe_50k.json")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_code_point_before_an_ending_and_inside_a_word(name):
+    """The library's own classes of characters: every code point of the planes in use."""
+    enc = Encoder(tokenizer(name))
+    points = [c for c in [*range(0x33480), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
+    for form in ("{}'s", "a{}b 1{}"):
+        for at in range(0, len(points), 20_000):
+            texts = [form.format(*[chr(c)] * 2) for c in points[at:at + 20_000]]
+            ids, off = enc.encode(texts)
+            want = [e.ids for e in enc.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            got = [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])]
+            assert got == want, [t for t, g, w in zip(texts, got, want) if g != w][:5]
