@@ -30,8 +30,7 @@ from riskloom.llm.tokens import encoder, text_chunks
 from riskloom.session import ensure_checkpoint_dir
 
 SHARD_IDS = 1 << 20  # a shard closes after the document that brings it to so many ids
-ROUNDS = 5
-PAIRS = 2048         # pairs replaced in a round at most
+PAIRS = 2048         # pairs replaced in one round; the rounds go on until none is left
 MIN_COUNT = 12       # a rule takes three numbers, so a pair must come back often enough
 _BITS = 18
 
@@ -39,55 +38,88 @@ SHARD = ("part int, block int, n_ids long, n_terminals int, rules binary, length
          "doc_ids array<long>, doc_starts array<long>")
 
 
-def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77) + (b >> np.uint32(7)))) >> np.uint32(32 - _BITS)
-
-
-def compress(ids: np.ndarray, n_terminals: int, rounds: int = ROUNDS, pairs: int = PAIRS,
-             min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules of shape (r, 2), expansion length of each rule, remaining symbols)."""
+def _hash(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
+    odd = np.uint32((0x9E3779B1 + 0x3C6EF372 * turn) & 0xFFFFFFFF)
+    return ((a * odd) ^ (b * np.uint32(0x85EBCA77) + (b >> np.uint32(7)))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - _BITS)
+
+
+def _by_cells(seq: np.ndarray, pairs: int, min_count: int, turn: int):
+    """Up to ``pairs`` frequent pairs, by a table of hash cells that fits the cache: (first, second,
+    places, number of the pair at each place).  A cell stands for the first pair that fell into it;
+    the cells differ from turn to turn, so a pair behind another one has its turn later."""
+    h = _hash(seq[:-1], seq[1:], turn).astype(np.intp)
+    counts = np.bincount(h, minlength=1 << _BITS)
+    k = min(pairs, int((counts >= min_count).sum()))
+    if not k:
+        return None
+    top = np.argpartition(counts, -k)[-k:]
+    rank = np.full(1 << _BITS, -1, np.int32)
+    rank[top] = np.arange(k)
+    at = np.flatnonzero(rank[h] >= 0)
+    r = rank[h[at]]
+    rep = np.empty(k, np.int64)
+    rep[r[::-1]] = at[::-1]
+    a, b = seq[rep], seq[rep + 1]
+    same = (seq[at] == a[r]) & (seq[at + 1] == b[r])
+    return a, b, at[same], r[same]
+
+
+def _by_count(seq: np.ndarray, pairs: int, min_count: int):
+    """The same with exact counts of all pairs."""
+    key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    order = np.argsort(key)  # places of one pair side by side
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    counts = np.diff(np.append(starts, len(key)))
+    often = np.flatnonzero(counts >= min_count)
+    often = often[np.argsort(-counts[often], kind="stable")[:pairs]]
+    if not len(often):
+        return None
+    lens = counts[often]
+    at = order[np.repeat(starts[often] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
+    r = np.repeat(np.arange(len(often)), lens)
+    left = np.argsort(at, kind="stable")
+    rep = order[starts[often]]
+    return seq[rep], seq[rep + 1], at[left], r[left]
+
+
+def compress(ids: np.ndarray, n_terminals: int, pairs: int = PAIRS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules of shape (r, 2), expansion length of each rule, remaining symbols).
+
+    Goes on until no pair can be replaced ``min_count`` times: by cells as long as that
+    finds enough, then by exact counts."""
     seq = np.ascontiguousarray(ids, np.uint32)
     rules: list[np.ndarray] = []
     sizes = np.ones(n_terminals, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        h = _hash(seq[:-1], seq[1:]).astype(np.intp)
-        counts = np.bincount(h, minlength=1 << _BITS)
-        k = min(pairs, int((counts >= min_count).sum()))
-        if not k:
-            break
-        top = np.argpartition(counts, -k)[-k:]
-        # each cell of the table stands for the first pair that fell into it
-        rank = np.full(1 << _BITS, -1, np.int32)
-        rank[top] = np.arange(k)
-        at = np.flatnonzero(rank[h] >= 0)
-        r = rank[h[at]]
-        rep = np.empty(k, np.int64)
-        rep[r[::-1]] = at[::-1]
-        a, b = seq[rep], seq[rep + 1]
-        same = (seq[at] == a[r]) & (seq[at + 1] == b[r])
-        at, r = at[same], r[same]
-        # of places that overlap each other, every second one from the left
-        run = np.concatenate([[True], np.diff(at) != 1]) if len(at) else np.zeros(0, bool)
-        start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        keep = (np.arange(len(at)) - start) % 2 == 0
-        at, r = at[keep], r[keep]
-        often = np.bincount(r, minlength=k)
-        good = often >= min_count
-        if not good.any():
+    turn, exact, most = 0, False, pairs
+    while len(seq) > 1:
+        found = _by_count(seq, most, min_count) if exact else _by_cells(seq, pairs, min_count, turn)
+        new, n = np.zeros((0, 2), np.uint32), 0
+        if found:
+            a, b, at, r = found
+            # of places that overlap each other, every second one from the left
+            run = np.concatenate([[True], np.diff(at) != 1]) if len(at) else np.zeros(0, bool)
+            start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            keep = (np.arange(len(at)) - start) % 2 == 0
+            at, r = at[keep], r[keep]
+            good = np.bincount(r, minlength=len(a)) >= min_count
+            symbol = np.cumsum(good) - 1 + n_terminals + sum(map(len, rules))
+            at, r = at[good[r]], r[good[r]]
+            new, n = np.stack([a[good], b[good]], axis=1), len(at)
+        if n:
+            stay = np.ones(len(seq), bool)
+            stay[at + 1] = False
+            seq = seq.copy() if seq is ids else seq
+            seq[at] = symbol[r]
+            seq = seq[stay]
+            rules.append(new)
+            sizes = np.concatenate([sizes, sizes[new[:, 0]] + sizes[new[:, 1]]])
+        elif exact and found and most > 1:
+            most = 1  # pairs that overlap one another have taken each other's places: one at a time
+        elif exact:
             break
-        base = n_terminals + sum(map(len, rules))
-        symbol = np.cumsum(good) - 1 + base
-        at, r = at[good[r]], r[good[r]]
-        seq = seq.copy() if seq is ids else seq
-        seq[at] = symbol[r]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq = seq[stay]
-        new = np.stack([a[good], b[good]], axis=1)
-        rules.append(new)
-        sizes = np.concatenate([sizes, sizes[new[:, 0]] + sizes[new[:, 1]]])
+        # cells find the last pairs slowly; exact counts take them all
+        exact = exact or n <= len(seq) >> 7
+        turn += 1
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return table, sizes[n_terminals:], seq
 

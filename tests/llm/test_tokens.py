@@ -159,3 +159,16 @@ def test_every_code_point_before_an_ending_and_inside_a_word(name):
             want = [e.ids for e in enc.tok.encode_batch_fast(texts, add_special_tokens=False)]
             got = [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])]
             assert got == want, [t for t, g, w in zip(texts, got, want) if g != w][:5]
+
+
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(7)
+    words = [rng.integers(0, 400, rng.integers(2, 9)) for _ in range(300)]
+    cases = [np.concatenate([words[i] for i in rng.zipf(1.3, 20_000) % 300]), np.zeros(1000, int), np.tile([1, 2], 700), rng.integers(0, 3, 5000)]
+    for ids in cases:
+        ids = ids.astype(np.uint32)
+        rules, lengths, left = repair.compress(ids.copy(), 400, pairs=64)
+        assert (repair.expand(left, rules, 400) == ids).all()
+        assert lengths.tolist() == [len(repair.expand(np.array([400 + r], np.uint32), rules, 400)) for r in range(len(rules))]
+        pairs = Counter((a, b) for a, b in zip(left[:-1].tolist(), left[1:].tolist()) if a != b)
+        assert not pairs or max(pairs.values()) < repair.MIN_COUNT
