@@ -57,15 +57,15 @@ def fingerprint(text: str, shingle: int) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * counts > n).tolist()))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and its fingerprint as a signed long, and columns of longs to ``carry`` along."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t or "", shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64), pa.int64()), *b.columns[2:]], ["doc_id", "fp", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carry)))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -217,26 +217,31 @@ def _balls(fps: DataFrame, distance: int) -> DataFrame:
     return star
 
 
+def _rooted(prints: DataFrame, distance: int, parts: int, bucket: int) -> DataFrame:
+    """(fp, low, root): every fingerprint with its smallest doc_id and its component's smallest fingerprint."""
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = materialise(components(links(classes.select("fp"), distance, parts, bucket)))
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 2, bucket: int = 4096) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of ``docs`` (doc_id, text)."""
     prints = materialise(fingerprints(docs, shingle))
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = materialise(components(links(classes.select("fp"), distance, parts, bucket)))
-    named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(prints, distance, parts, bucket)
     smallest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one row of each component: the one of its smallest doc_id.
-
-    Rows that repeat its id and text are reduced to one.  Rows without a doc_id
-    go if their component has an id; components without any id keep all their
-    different texts.
-    """
-    found = near_duplicates(docs, **params)
-    (mark,) = fresh(docs, "component_id")
-    kept = found.select(F.col("component_id").alias(mark)).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(mark)), "left_semi")
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 2, bucket: int = 4096) -> DataFrame:
+    """``docs`` with exactly one row of each component: that of its smallest doc_id, of rows
+    that share it the one whose text has the smallest hash; a component without any id keeps
+    the row of the smallest hash.  Rows that repeat an id and a text count once."""
+    prints = materialise(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), shingle, ("text_key",)))
+    rooted = prints.join(_rooted(prints, distance, parts, bucket).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    own, key, text_key = fresh(docs, "own", "key", "text_key")
+    chosen = rooted.groupBy("root").agg(first).select(F.col("first.doc_id").alias(own), F.col("first.text_key").alias(key)).distinct()
+    out = docs.withColumn(text_key, F.xxhash64("text"))
+    out = out.join(chosen, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(text_key) == F.col(key)), "left_semi")
     return out.dropDuplicates(["doc_id", "text"]).select(docs.columns)

@@ -9,7 +9,9 @@ that meet two at a time, so no task holds more than two blocks; a comparison
 returns link counts and a spanning forest, never its pairs.
 
 At cosine 0.98 two signs differ with probability 0.0638; with 12 bits and 18
-tables a pair at the threshold is missed with probability 2e-5.
+tables a pair at the threshold is missed with probability 2e-5.  The bits grow
+with the logarithm of the number of vectors, so that a bucket of unlike vectors
+stays small, and the tables with the bits, so that this probability stays.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite
 components, or have no label link with nothing; vectors of different length
@@ -20,6 +22,7 @@ gives no rows.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +79,15 @@ def _compare(rows, threshold: float, table: int, apart: bool):
     return n_links, edges
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, bits: int = 12, tables: int = 18,
+def sizes_for(n: int, threshold: float, miss: float = 2e-5, bucket: int = 64, least: int = 12, most: int = 30) -> tuple[int, int]:
+    """(bits, tables) for ``n`` vectors: about ``bucket`` unlike ones a bucket, and a pair at
+    ``threshold`` in no common bucket of any table with probability ``miss`` at most."""
+    bits = min(most, max(least, math.ceil(math.log2(max(n, 1) / bucket))))
+    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, math.ceil(math.log(miss) / math.log(1 - agree)) if agree < 1 else 1
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, bits: int | None = None, tables: int | None = None,
                     block: int = 1024, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label)."""
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
@@ -86,6 +97,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, bits: int = 12,
     classes = (v.where("ok").groupBy("label", "e").agg(F.min("vec_id").alias("low"), F.count("*").alias("mult"))
                .withColumn("cid", F.monotonically_increasing_id()))
     classes = materialise(classes)
+    if bits is None or tables is None:
+        bits, tables = sizes_for(classes.count(), threshold)
 
     def sign(batches):
         for b in batches:

@@ -93,6 +93,16 @@ def test_near_duplicates(docs_of):
     assert simhash.near_duplicates(docs_of([])).count() == 0
 
 
+def test_keep_one_of_each_component_with_and_without_ids(spark, docs_of):
+    long = " ".join(f"w{i}" for i in range(300))
+    other = " ".join(f"v{i}" for i in range(300))
+    third = " ".join(f"u{i}" for i in range(300))
+    rows = [(1, long), (None, long + " "), (None, long), (None, other), (None, other + " "), (None, other), (5, third), (5, third + " "), (7, third + "  "),
+            (5, third), (2, None), (3, ""), (None, None)]
+    kept = [(r["doc_id"], (r["text"] or "").strip()) for r in simhash.keep_one(docs_of(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, long), (None, other), (5, third), (2, "")], key=str)
+
+
 def cut(rows, width=50):
     low = {}
     for d, t in rows:
@@ -161,3 +171,24 @@ def test_embedding_links_match_brute_force(spark):
             assert r["component_id"] == want.get(r["vec_id"], r["vec_id"])
             assert r["kept"] == (r["vec_id"] == r["component_id"])
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_bits_and_tables_grow_with_the_vectors():
+    assert vectors.sizes_for(0, 0.98) == vectors.sizes_for(250_000, 0.98) == (12, 18)
+    for n in (10**6, 10**8, 10**10):
+        bits, tables = vectors.sizes_for(n, 0.98)
+        agree = (1 - np.arccos(0.98) / np.pi) ** bits
+        assert n / 2**bits <= 64 and (1 - agree) ** tables <= 2e-5
+
+
+def test_recall_with_more_bits(spark):
+    """All links of brute force with the bits and tables of a hundred million vectors."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(40, 16))
+    x = np.concatenate([b + rng.normal(size=(12, 16)) * s for b, s in zip(base, np.linspace(0.02, 0.3, 40))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    bits, tables = vectors.sizes_for(10**8, 0.98)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df, bits=bits, tables=tables).collect()}
+    assert got == {i: int(n) for i, n in enumerate(near.sum(axis=1))}
