@@ -30,7 +30,7 @@ from riskloom.llm.tokens import encoder, text_chunks
 from riskloom.session import ensure_checkpoint_dir
 
 SHARD_IDS = 1 << 20  # a shard closes after the document that brings it to so many ids
-PAIRS = 2048         # pairs replaced in one round; the rounds go on until none is left
+PAIRS = 8192         # pairs replaced in one round; the rounds go on until none is left
 MIN_COUNT = 12       # a rule takes three numbers, so a pair must come back often enough
 _BITS = 18
 
@@ -65,11 +65,16 @@ def _by_cells(seq: np.ndarray, pairs: int, min_count: int, turn: int):
 
 
 def _by_count(seq: np.ndarray, pairs: int, min_count: int):
-    """The same with exact counts of all pairs."""
-    key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    """The same with exact counts of all pairs (those in cells that reach the minimum; no other pair can)."""
+    h = _hash(seq[:-1], seq[1:], 0).astype(np.intp)
+    may = np.flatnonzero((np.bincount(h, minlength=1 << _BITS) >= min_count)[h])
+    if not len(may):
+        return None
+    key = seq[may].astype(np.uint64) << np.uint64(32) | seq[may + 1]
     order = np.argsort(key)  # places of one pair side by side
     starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
     counts = np.diff(np.append(starts, len(key)))
+    order = may[order]
     often = np.flatnonzero(counts >= min_count)
     often = often[np.argsort(-counts[often], kind="stable")[:pairs]]
     if not len(often):
