@@ -28,14 +28,18 @@ def classes() -> np.ndarray:
     Planes 4 to 13 hold no characters and the last two are for private use."""
     from tokenizers import Regex, pre_tokenizers
 
-    points = np.array([*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000)])
-    every = "".join(map(chr, points.tolist()))
     out = np.zeros(0x110000, np.uint8)
-    for kind, pat in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        rest = np.zeros(len(points), bool)
-        for _, (a, b) in pre_tokenizers.Split(Regex(pat), "removed").pre_tokenize_str(every):
-            rest[a:b] = True
-        out[points[~rest]] = kind
+    kinds = [(kind, pre_tokenizers.Split(Regex(pat), "removed")) for kind, pat in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+"))]
+    # a few at a time: the library keeps many bytes for each character that it looks at
+    for at in [*range(0, 0x40000, 0x1000), *range(0xE0000, 0xF0000, 0x1000)]:
+        points = np.arange(at, at + 0x1000)
+        points = points[(points < 0xD800) | (points >= 0xE000)]
+        every = "".join(map(chr, points.tolist()))
+        for kind, split in kinds:
+            other = np.zeros(len(points), bool)
+            for _, (a, b) in split.pre_tokenize_str(every) if every else ():
+                other[a:b] = True
+            out[points[~other]] = kind
     return out
 
 
