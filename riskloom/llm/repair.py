@@ -87,6 +87,23 @@ def _by_count(seq: np.ndarray, pairs: int, min_count: int):
     return seq[rep], seq[rep + 1], at[left], r[left]
 
 
+def _apart(at: np.ndarray, r: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of places that overlap each other every second one from the left; before that, if asked for,
+    those of the more frequent pair (the smaller number), so the most frequent one keeps all its own."""
+    if len(at) > 1 and first:
+        touch = np.diff(at) == 1
+        keep = np.ones(len(at), bool)
+        keep[1:] &= ~(touch & (r[:-1] < r[1:]))
+        keep[:-1] &= ~(touch & (r[1:] < r[:-1]))
+        at, r = at[keep], r[keep]
+    if len(at) > 1 and (touch := np.diff(at) == 1).any():
+        run = np.concatenate([[True], ~touch])
+        start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+        keep = (np.arange(len(at)) - start) % 2 == 0
+        at, r = at[keep], r[keep]
+    return at, r
+
+
 def compress(ids: np.ndarray, n_terminals: int, pairs: int = PAIRS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules of shape (r, 2), expansion length of each rule, remaining symbols).
 
@@ -101,11 +118,7 @@ def compress(ids: np.ndarray, n_terminals: int, pairs: int = PAIRS, min_count: i
         new, n = np.zeros((0, 2), np.uint32), 0
         if found:
             a, b, at, r = found
-            # of places that overlap each other, every second one from the left
-            run = np.concatenate([[True], np.diff(at) != 1]) if len(at) else np.zeros(0, bool)
-            start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            keep = (np.arange(len(at)) - start) % 2 == 0
-            at, r = at[keep], r[keep]
+            at, r = _apart(at, r, first=exact)
             good = np.bincount(r, minlength=len(a)) >= min_count
             symbol = np.cumsum(good) - 1 + n_terminals + sum(map(len, rules))
             at, r = at[good[r]], r[good[r]]
@@ -119,7 +132,7 @@ def compress(ids: np.ndarray, n_terminals: int, pairs: int = PAIRS, min_count: i
             rules.append(new)
             sizes = np.concatenate([sizes, sizes[new[:, 0]] + sizes[new[:, 1]]])
         elif exact and found and most > 1:
-            most = 1  # pairs that overlap one another have taken each other's places: one at a time
+            most = 1  # the most frequent pair overlaps itself: one at a time
         elif exact:
             break
         # cells find the last pairs slowly; exact counts take them all
