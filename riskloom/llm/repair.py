@@ -136,7 +136,7 @@ def compress(ids: np.ndarray, n_terminals: int, pairs: int = PAIRS, min_count: i
         elif exact:
             break
         # cells find the last pairs slowly; exact counts take them all
-        exact = exact or n <= len(seq) >> 7
+        exact = exact or n <= len(seq) >> 5
         turn += 1
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return table, sizes[n_terminals:], seq
