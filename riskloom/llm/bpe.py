@@ -24,9 +24,9 @@ from riskloom.llm.tokens import Encoder, text_chunks
 LEXICON_SIZE = 65_536
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)  # a worker that serves the next lexicon lets the last one go
 def lexicon_encoder(path: str, lexicon: str) -> Encoder:
-    return Encoder(path, Lexicon(SparkFiles.get(lexicon)))
+    return Encoder(path, Lexicon(SparkFiles.get(lexicon)), cache=400_000)
 
 
 def encode(docs: DataFrame, path: str, size: int = LEXICON_SIZE) -> DataFrame:

@@ -113,10 +113,11 @@ def word_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts to ids like ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    ``lexicon`` (optional) maps distinct pieces to ids before the cache does.
+    ``lexicon`` (optional) maps distinct pieces to ids before the cache does;
+    the cache starts anew beyond ``cache`` pieces.
     """
 
-    def __init__(self, path: str, lexicon=None):
+    def __init__(self, path: str, lexicon=None, cache: int = CACHE_PIECES):
         import json
         import os
 
@@ -130,7 +131,7 @@ class Encoder:
         self.starts = byte_level_starts if spec["normalizer"] is None else word_starts
         self.drop_space = self.starts is word_starts
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.lexicon = lexicon
+        self.lexicon, self.cache = lexicon, cache
         self.reset()
 
     def reset(self) -> None:
@@ -190,7 +191,7 @@ class Encoder:
             parts = [self._direct(t) if any(x in t for x in self.special) else self.encode([t])[0] for t in texts]
             return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         distinct, piece, codes, bounds = self.pieces(texts)
-        if len(self.slots) > CACHE_PIECES:
+        if len(self.slots) > self.cache:
             self.reset()
         new = [i for i, x in enumerate(distinct) if x not in self.slots]
         if new:
