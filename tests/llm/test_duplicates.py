@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -144,6 +145,37 @@ def test_suffix_dedup_matches_brute_force(docs_of):
     assert suffixes.digest(docs_of([])).count() == 0
 
 
+def test_suffix_dedup_of_rows_without_or_with_repeated_ids(docs_of):
+    """Rows of one id, or without one, aren't smaller than each other, whatever their hashes."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared, other = words(12), words(15)
+    by_crc = {}
+    while True:  # two texts whose CRCs agree in 24 bits
+        text = f"{words(3)} {len(by_crc)}"
+        key = zlib.crc32((text + shared).encode()) & 0xFFFFFF
+        if by_crc.setdefault(key, text) != text:
+            twins = [by_crc[key] + shared, text + shared]
+            break
+    rows = [(1, other), (7, twins[0]), (7, twins[1]), (7, twins[0]), (None, words(5) + shared), (None, other + words(4)),
+            (None, words(30)), (None, words(30)), (None, None), (9, words(40))]
+    low = {}
+    for d, t in rows:
+        for i in range(len(t or "") - 49):
+            low[t[i:i + 50]] = min(low.get(t[i:i + 50], 1 << 63), 1 << 62 if d is None else d)
+    want = []
+    for d, t in rows:
+        gone = set()
+        for i in range(len(t or "") - 49):
+            if low[t[i:i + 50]] < (1 << 62 if d is None else d):
+                gone.update(range(i, i + 50))
+        kept = "".join(c for i, c in enumerate(t or "") if i not in gone)
+        want.append((d or 0, len(t or ""), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    got = [(r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffixes.digest(docs_of(rows)).collect()]
+    assert sorted(got) == sorted(want)
+    assert sum(w[2] > 0 for w in want) == 2
+
+
 def test_embedding_links_match_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = []
