@@ -39,7 +39,7 @@ GUARDS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13}",
     "phone": r"\+[0-9][\x20().0-9-]{8}",
 }
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])?"  # a part has a digit, maybe zeros alone
 # a word with a digit or an at sign
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
 CELLS = 1 << 24  # of pair hashes, a bit each
@@ -60,42 +60,70 @@ def _valid(kind: str, m: str) -> str:
     return f"CASE WHEN length({digits}) BETWEEN 14 AND 19 THEN {luhn} ELSE false END"
 
 
-def _located(t: str, pattern: str, guard: str, valid: str) -> Column:
-    """Array of (s, e, m, ctx, f) for each valid match: the pieces between the matches
-    and the matches themselves, walked in order, give the offsets.  ``c`` are the last
-    two whole words and what stands of the next one; ``ctx`` the two, in lower case, and
-    ``f`` tells the first valid match that starts in its word (``w`` is the last such word's start)."""
+BLOCK = 256  # items in a block of a walk
+
+
+def _walk(n: str, zero: dict[str, str], body: str, item: str) -> str:
+    """Array of the ``item`` structs that ``body`` puts in ``out`` on a walk over k = 0 .. n - 1
+    with the state ``b``.  Items are gathered in blocks, so that no step copies all before it."""
+    last = f"least(i + {BLOCK - 1}, {n} - 1)"
+    block = (f"aggregate(sequence(i, {last}), struct({', '.join(f'a.{f} AS {f}' for f in zero)}, cast(array() AS array<{item}>) AS out), "
+             f"(b, k) -> {body})")
+    return (f"CASE WHEN {n} > 0 THEN aggregate(sequence(0, {n} - 1, {BLOCK}), "
+            f"struct({', '.join(f'{x} AS {f}' for f, x in zero.items())}, cast(array() AS array<array<{item}>>) AS out), "
+            f"(a, i) -> aggregate(array({block}), a, (s, r) -> struct({', '.join(f'r.{f} AS {f}' for f in zero)}, concat(s.out, array(r.out)) AS out)), "
+            f"a -> flatten(a.out)) ELSE cast(array() AS array<{item}>) END")
+
+
+def _pieces(t: str, pattern: str, guard: str, valid: str) -> Column:
+    """Array of (p, m, v): what stands before each match, the match, and whether it is valid;
+    the last one, without a match, is what stands behind them.  Null if ``guard`` finds nothing."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
     g = guard.replace("\\", "\\\\").replace("'", "\\'")
-    made_type = "array<struct<s:int,e:int,m:string,ctx:string,f:boolean>>"
+    return F.expr(f"CASE WHEN {t} RLIKE '{g}' THEN zip_with(split({t}, '{p}', -1), regexp_extract_all({t}, '{p}', 0), "
+                  f"(p, m) -> struct(p AS p, m AS m, coalesce({valid}, false) AS v)) END")
+
+
+def _located(z: str) -> Column:
+    """Array of (s, e, m, ctx, f) for each valid match of the pieces ``z``, whose lengths give
+    the offsets.  ``c`` are the last two whole words and what stands of the next one; ``ctx``
+    the two, in lower case, and ``f`` tells the first valid match that starts in its word
+    (``w`` is the last such word's start)."""
     words = "slice(concat(array('', ''), split(concat(array_join({c}, ' '), {x}), '[\\\\x20\\\\x09-\\\\x0D]+')), -3, 3)"
-    at, word = "a.at + length(x.p)", "a.at + length(x.p) - length(c[2])"
-    made = f"struct({at} AS s, {at} + length(x.m) AS e, x.m AS m, lower(concat(c[0], ' ', c[1])) AS ctx, {word} != a.w AS f)"
-    return F.expr(
-        f"CASE WHEN {t} RLIKE '{g}' THEN "
-        f"aggregate(zip_with(split({t}, '{p}', -1), regexp_extract_all({t}, '{p}', 0), (p, m) -> struct(p AS p, m AS m)), "
-        f"struct(0 AS at, -1 AS w, array('', '', '') AS c, cast(array() AS {made_type}) AS out), (a, x) -> CASE WHEN x.m IS NULL THEN a ELSE "
-        f"transform(array({words.format(c='a.c', x='x.p')}), c -> transform(array({valid}), v -> struct("
-        f"{at} + length(x.m) AS at, CASE WHEN v THEN {word} ELSE a.w END AS w, {words.format(c='c', x='x.m')} AS c, "
-        f"CASE WHEN v THEN array_append(a.out, {made}) ELSE a.out END AS out))[0])[0] END, a -> a.out) "
-        f"ELSE cast(array() AS {made_type}) END")
+    p, m, v = (f"{z}[k].{f}" for f in "pmv")
+    at, word = f"(s.at + length({p}))", f"s.at + length({p}) - length(c[2])"
+    made = f"struct({at} AS s, {at} + length({m}) AS e, {m} AS m, lower(concat(c[0], ' ', c[1])) AS ctx, {word} != s.w AS f)"
+    body = (f"aggregate(array({words.format(c='b.c', x=p)}), b, (s, c) -> struct({at} + length({m}) AS at, "
+            f"CASE WHEN {v} THEN {word} ELSE s.w END AS w, {words.format(c='c', x=m)} AS c, "
+            f"CASE WHEN {v} THEN array_append(s.out, {made}) ELSE s.out END AS out))")
+    return F.expr(_walk(f"(size({z}) - 1)", {"at": "0", "w": "-1", "c": "array('', '', '')"}, body,
+                        "struct<s:int,e:int,m:string,ctx:string,f:boolean>"))
 
 
 def extract(docs: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
     """``docs`` with one more struct: ``base`` spans (s, k, e, m, ctx, f) and ``words``
     (s, e, m, ctx), the identifier-shaped words outside of them; ``k`` numbers KINDS."""
     keep = [F.col(f"`{c}`") for c in docs.columns]
-    t, *ks = fresh(docs, "t_", *[f"{k}_" for k in KINDS])
+    t, words, base, every, *ks = fresh(docs, "t_", "words_", "base_", "every_", *[f"{k}_" for k in KINDS])
     step = docs.select(*keep, once(text_or_empty(text)).alias(t))
-    step = step.select(*keep, t, *[
-        _located(t, PATTERNS[k], GUARDS[k], _valid(k, "x.m")).alias(c) for k, c in zip(KINDS, ks)],
-        _located(t, TOKEN, "[0-9@]", "length(x.m) BETWEEN 5 AND 200 AND x.m RLIKE '[0-9].*[0-9].*[0-9]|[^@]@[^@]'").alias("words_"))
-    base = "concat(" + ", ".join(
+    step = step.select(*keep, *[once(_pieces(t, PATTERNS[k], GUARDS[k], _valid(k, "m"))).alias(c) for k, c in zip(KINDS, ks)],
+                       once(_pieces(t, TOKEN, "[0-9@]", "length(m) BETWEEN 5 AND 200 AND m RLIKE '[0-9].*[0-9].*[0-9]|[^@]@[^@]'")).alias(words))
+    step = step.select(*keep, *[once(_located(c)).alias(c) for c in [*ks, words]])
+    spans = "concat(" + ", ".join(
         f"transform({c}, x -> struct(x.s AS s, {i} AS k, x.e AS e, x.m AS m, x.ctx AS ctx, x.f AS f))" for i, c in enumerate(ks)) + ")"
-    step = step.select(*keep, t, "words_", F.expr(f"sort_array({base})").alias("base_"))
-    words = ("transform(filter(words_, x -> NOT exists(base_, b -> b.s < x.e AND x.s < b.e)), "
-             "x -> struct(x.s AS s, x.e AS e, x.m AS m, x.ctx AS ctx))")
-    return step.select(*keep, once(F.struct(F.col("base_").alias("base"), F.expr(words).alias("words"))).alias(out))
+    step = step.select(*keep, words, once(F.expr(f"sort_array({spans})")).alias(base))
+    # base spans and words in order (words, which don't overlap each other, as the last kind)
+    step = step.select(*keep, words, base, once(F.expr(
+        f"CASE WHEN size({base}) > 0 AND size({words}) > 0 THEN sort_array(concat({base}, transform({words}, x -> "
+        f"struct(x.s AS s, {len(KINDS)} AS k, x.e AS e, x.m AS m, x.ctx AS ctx, x.f AS f)))) END")).alias(every))
+    # a word stays if no span before it reaches into it and what comes next starts behind it
+    x = f"{every}[k]"
+    free = (f"struct(CASE WHEN {x}.k < {len(KINDS)} THEN greatest(b.at, {x}.e) ELSE b.at END AS at, CASE WHEN {x}.k = {len(KINDS)} AND {x}.s >= b.at "
+            f"AND coalesce(get({every}, k + 1).s >= {x}.e, true) THEN array_append(b.out, struct({x}.s AS s, {x}.e AS e, {x}.m AS m, {x}.ctx AS ctx)) ELSE b.out END AS out)")
+    item = "struct<s:int,e:int,m:string,ctx:string>"
+    left = (f"CASE WHEN size({base}) = 0 THEN transform({words}, x -> struct(x.s AS s, x.e AS e, x.m AS m, x.ctx AS ctx)) "
+            f"ELSE {_walk(f'size({every})', {'at': '0'}, free, item)} END")
+    return step.select(*keep, once(F.struct(F.col(base).alias("base"), F.expr(left).alias("words"))).alias(out))
 
 
 @dataclass(frozen=True)
@@ -171,13 +199,19 @@ def joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, conf: Bootstrap = Bootstrap()) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by its kind in brackets."""
-    i, h, sp = fresh(docs, "id", "hash", "spans")
+    i, h, sp, cut = fresh(docs, "id", "hash", "spans", "cut")
     spans = find(docs, conf).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.array_sort(F.concat("base", "added")).alias(sp))
     spans = spans.where(F.size(sp) > 0).groupBy(i, h).agg(F.first(sp).alias(sp))
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    made = F.expr(
-        f"aggregate(`{sp}`, struct(0 AS at, '' AS out), (a, x) -> struct(greatest(a.at, x.e) AS at, CASE WHEN x.s >= a.at THEN "
-        f"concat(a.out, substring(text, a.at + 1, x.s - a.at), array({names})[x.k]) ELSE a.out END AS out), "
-        "a -> concat(a.out, substring(text, a.at + 1, length(text))))")
+    # the text before each span that starts behind all earlier ones, cut from the text a block at a time
+    x = f"`{sp}`[k]"
+    body = (f"struct(greatest(b.at, {x}.e) AS at, CASE WHEN {x}.s >= b.at THEN array_append(b.out, struct(b.at AS lo, {x}.s AS hi, {x}.k AS k)) ELSE b.out END AS out)")
+    pieces = _walk(f"size(`{sp}`)", {"at": "0"}, body, "struct<lo:int,hi:int,k:int>")
+    last = f"least(i + {BLOCK - 1}, size({cut}) - 1)"
+    made = (f"concat(array_join(flatten(transform(sequence(0, size({cut}) - 1, {BLOCK}), i -> transform(array("
+            f"substring(text, {cut}[i].lo + 1, {cut}[{last}].hi - {cut}[i].lo)), t -> transform(sequence(i, {last}), k -> "
+            f"concat(substring(t, {cut}[k].lo - {cut}[i].lo + 1, {cut}[k].hi - {cut}[k].lo), array({names})[{cut}[k].k])))[0])), ''), "
+            f"substring(text, array_max(`{sp}`.e) + 1, length(text)))")
     both = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(text_or_empty()) == F.col(h)), "left")
-    return both.withColumn("text", F.when(F.col(sp).isNotNull(), made).otherwise(F.col("text"))).select(docs.columns)
+    both = both.withColumn(cut, once(F.expr(pieces)))
+    return both.withColumn("text", F.when(F.col(sp).isNotNull(), F.expr(made)).otherwise(F.col("text"))).select(docs.columns)

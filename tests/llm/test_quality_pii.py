@@ -69,7 +69,7 @@ def base(text):
 
 def test_base_spans_match_brute_force(docs_of):
     rng = random.Random(1)
-    texts = [None, "", "a@b", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "300.1.1.1 001.2.3.04", "é😀 a.b@c.de 😀 9.9.9.9", "x" * 30_000 + "@y.z",
+    texts = [None, "", "a@b", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "300.1.1.1 001.2.3.04", "10.0.0.1 0.0.0.0 000.00.0.256 255.255.255.0", "é😀 a.b@c.de 😀 9.9.9.9", "x" * 30_000 + "@y.z",
              "1" * 20_000, "1." * 20_000, "+" + "(" * 5_000, "4041894974608795 4041894974608795", "+1 (724) 555-7058"]
     texts += ["".join(rng.choice("ab01 .@+-()%_2\n") for _ in range(rng.randint(1, 60))) for _ in range(400)]
     rows = [*enumerate(texts), (0, None)]
@@ -122,3 +122,19 @@ def test_digest_of_spans(docs_of):
     r = pii.find(docs_of([(1, "q a@b.co 9.9.9.9")])).select(F.sha2(pii.joined("base"), 256).alias("h"), pii.joined("base").alias("s")).first()
     assert r["s"] == "email:2:8,ip:9:16"
     assert r["h"] == hashlib.sha256(r["s"].encode()).hexdigest()
+
+
+def test_many_spans_in_one_text(docs_of):
+    rng = random.Random(3)
+    kinds = [lambda i: f"user{i}@x.org", lambda i: f"10.{i // 256}.{i % 256}.4", lambda i: f"x{i}y77", lambda i: f"+1 555 01{i:05}", lambda i: f"a{i}@b.co,c{i}@d.co"]
+    log = "é ".join(rng.choice(kinds)(i) for i in range(20_000))
+    rows = [(1, log), (2, ""), (3, None)]
+    got = {r["doc_id"]: [tuple(x) for x in r["base"]] for r in pii.find(docs_of(rows)).collect()}
+    assert got == {1: base(log), 2: [], 3: []}
+    want, at = "", 0
+    for s, k, e in base(log):
+        if s >= at:
+            want += log[at:s] + f"[{pii.KINDS[k].upper()}]"
+        at = max(at, e)
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs_of(rows)).collect()}
+    assert out == {1: want + log[at:], 2: "", 3: None}
