@@ -124,6 +124,14 @@ def test_digest_of_spans(docs_of):
     assert r["h"] == hashlib.sha256(r["s"].encode()).hexdigest()
 
 
+def test_query_counts_by_kind(docs_of, scratch):
+    texts = [None, "", "q a@b.co 9.9.9.9", "9.9.9.9 a@b.co c@d.co e@f.co", "+1 724 555 70588 4041894974608795 a@b.co", "x 9.9.9.9 8.8.8.8 7.7.7.7"]
+    docs_of(list(enumerate(texts))).write.parquet(f"{scratch}/documents.parquet")
+    from riskloom.llm.queries import QUERIES
+    got = {r["doc_id"]: tuple(r[f"n_{k}"] for k in pii.KINDS) for r in QUERIES["op9_pii"](docs_of([]).sparkSession, scratch).collect()}
+    assert got == {i: tuple(sum(k == j for _, k, _ in base(t)) for j in range(4)) for i, t in enumerate(texts)}
+
+
 def test_many_spans_in_one_text(docs_of):
     rng = random.Random(3)
     kinds = [lambda i: f"user{i}@x.org", lambda i: f"10.{i // 256}.{i % 256}.4", lambda i: f"x{i}y77", lambda i: f"+1 555 01{i:05}", lambda i: f"a{i}@b.co,c{i}@d.co"]
