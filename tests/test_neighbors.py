@@ -1,6 +1,7 @@
 """kNN exactness on clustered data, LOF novelty mode, LSH recall vs exact."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,18 @@ def test_lsh_candidates_recall(spark):
     recall = hit.count() / exact.count()
     assert recall > 0.5
     assert hit.filter(F.abs(F.col("dist") - F.col("d2")) > 1e-9).count() == 0
+
+
+def test_queries_are_sent_to_parts_in_small_batches():
+    rng = np.random.default_rng(5)
+    rings = NB._Rings(rng.normal(size=(40, 8)))
+    rings.set_parts([(c, r, 3000, 0.1 * r, 0.1 * r + 3.0) for c in range(40) for r in range(5)], 1000)
+    x = rng.normal(size=(300, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(x.tolist()), pa.array([1.0] * 300)], ["_qid", "_qv", "r"])
+    sent = list(NB._sent(batch, rings, 8, cells=2000))
+    assert max(len(b) for b in sent) <= 2000 // 8
+    reach = rings.reach(rings.distances(x), np.full(300, 1.0 + NB._SLACK))
+    want = {(i, int(rings.first[j]) + n) for i, j in zip(*np.nonzero(reach)) for n in range(3)}
+    got = [(q, p) for b in sent for q, p in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+    assert len(got) == len(want) and set(got) == want
+    assert all(b.column(1).to_pylist() == x[b.column(0).to_numpy()].tolist() for b in sent[:20])
