@@ -125,3 +125,19 @@ def test_queries_are_sent_to_parts_in_small_batches():
     got = [(q, p) for b in sent for q, p in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
     assert len(got) == len(want) and set(got) == want
     assert all(b.column(1).to_pylist() == x[b.column(0).to_numpy()].tolist() for b in sent[:20])
+
+
+def test_a_part_gives_only_neighbours_within_the_bound():
+    rng = np.random.default_rng(6)
+    refs, queries, ids = rng.integers(-9, 9, (900, 4)) * 1.0, rng.integers(-9, 9, (200, 4)) * 1.0, rng.permutation(900)
+    d = np.sqrt(((queries[:, None, :] - refs[None, :, :]) ** 2).sum(axis=2))
+    bound = np.quantile(d, 0.003, axis=1)
+    at, found, dist = (np.concatenate(x) for x in zip(*NB._top(queries, refs, ids, 5, bound)))
+    want = [(i, int(ids[j]), d[i, j]) for i in range(200) for j in np.lexsort((ids, d[i]))[:5] if d[i, j] <= bound[i]]
+    assert [(a, b) for a, b, _ in want] == list(zip(at.tolist(), found.tolist())) and len(want) < 1000
+    assert np.allclose([x for *_, x in want], dist, atol=1e-12)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([[0.0] * 4, [1.0] * 4]), pa.array([0.5, 9.0])], ["_qid", "_qv", "r"])
+    rings = NB._Rings(np.zeros((1, 4)))
+    rings.set_parts([(0, 0, 900, 0.0, 5.0)], 400)
+    sent = pa.Table.from_batches(list(NB._sent(batch, rings, 4))).to_pydict()
+    assert {(q, r) for q, r in zip(sent["_qid"], sent["r"])} == {(1, 0.5), (2, 9.0)}
