@@ -88,3 +88,25 @@ def test_confusion_metrics_reproduce_published_rows(spark):
     got = {r["model"]: r for r in EV.metrics_from_confusion(cm).collect()}
     for m, *_, acc, prec, rec, f1 in rows:
         assert (got[m]["accuracy"], got[m]["precision"], got[m]["recall"], got[m]["f1_score"]) == (acc, prec, rec, f1)
+
+
+def test_training_rows_are_in_equal_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(M, "SMALL_ROWS", 100)
+    monkeypatch.setattr(M, "TASK_ROWS", 25)
+    rows = [(i, *[float(i % (j + 2)) for j in range(len(FEATURE_COLUMNS))], int(i % 10 == 0)) for i in range(1000)]
+    frame = spark.createDataFrame(rows, f"txn_id long, {', '.join(f'{c} double' for c in FEATURE_COLUMNS)}, label int").coalesce(1)
+    train, _, _ = M.fit_prepare(frame, frame)
+    sizes = train.rdd.glom().map(len).collect()
+    assert sum(sizes) == 900 + 450 and len(sizes) >= 54 and max(sizes) <= 50
+    few = spark.range(0, 100, 1, 16)
+    assert M._spread(few, 100) is few
+
+
+def test_a_forest_with_kept_nodes_has_the_same_trees(spark, monkeypatch):
+    train = spark.createDataFrame([(i, *[float((i * (j + 3)) % 17) for j in range(len(FEATURE_COLUMNS))], i % 3 % 2, 1.0) for i in range(300)],
+                                  f"txn_id long, {', '.join(f'{c} double' for c in FEATURE_COLUMNS)}, label int, weight double").repartition(2).cache()
+    kept = M.fit_rf(train, trees=5, depth=6)
+    monkeypatch.setattr(M, "NODE_IDS", 0)
+    walked = M.fit_rf(train, trees=5, depth=6)
+    assert kept.toDebugString == walked.toDebugString.replace(walked.uid, kept.uid)
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
