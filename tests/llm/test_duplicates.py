@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from riskloom.llm import simhash, suffixes, vectors
@@ -224,3 +225,32 @@ def test_recall_with_more_bits(spark):
     bits, tables = vectors.sizes_for(10**8, 0.98)
     got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df, bits=bits, tables=tables).collect()}
     assert got == {i: int(n) for i, n in enumerate(near.sum(axis=1))}
+
+
+def test_op4_windows_whose_documents_share_less_than_47_bytes_are_not_ranked():
+    S, rng = suffixes, random.Random(5)
+    some = lambda n, of=b"abcdefghijklm": bytes(rng.choices(of, k=n))
+
+    def ranked(shared: int) -> int:
+        core, segs = some(shared), []
+        for raw in (some(80, b"ABCDEFGHIJ") + core + some(80, b"ABCDEFGHIJ"), some(80, b"0123456789") + core + some(80, b"0123456789")):
+            _, start, count, low, _ = S.runs([raw])
+            for s, c, m in zip(start.tolist(), count.tolist(), low.tolist()):
+                (sides,), off = S._sides([raw[s:s + c + S.WIDTH - 1]])
+                segs.append((m, c, off, {(x["n"], x["k"]) for x in sides}))
+        n = 0
+        for i, (m, c, off, sides) in enumerate(segs):
+            both = sides & set().union(*(t for j, (k, _, _, t) in enumerate(segs) if j != i and k == m))
+            n += len(S._windows(np.array([c]), off, np.array([sum(1 << k for k, _ in both)]))[0])
+        return n
+
+    assert sum(ranked(46) for _ in range(40)) == 0
+    assert sum(ranked(60) for _ in range(10)) >= 10 * 2 * 11  # every window of the shared bytes, in both
+
+
+def test_op4_minima_are_those_of_the_runs():
+    texts = ["x" * 49, "", None, "ab" * 100, *("".join(chr(97 + (i * i + 7 * j * j + i * j) % 26) for i in range(300 * j)) for j in range(1, 5))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    got = {m for b in suffixes._minima([batch]) for m in b.column(0).to_pylist()}
+    assert got == set(suffixes.runs([(t or "").encode() for t in texts])[3].tolist()) and got
+    assert not any(b.num_rows for b in suffixes._minima([batch.slice(0, 3)]))
