@@ -236,8 +236,8 @@ def test_op4_windows_whose_documents_share_less_than_47_bytes_are_not_ranked():
         for raw in (some(80, b"ABCDEFGHIJ") + core + some(80, b"ABCDEFGHIJ"), some(80, b"0123456789") + core + some(80, b"0123456789")):
             _, start, count, low, _ = S.runs([raw])
             for s, c, m in zip(start.tolist(), count.tolist(), low.tolist()):
-                (sides,), off = S._sides([raw[s:s + c + S.WIDTH - 1]])
-                segs.append((m, c, off, {(x["n"], x["k"]) for x in sides}))
+                sides, off = S._sides([raw[s:s + c + S.WIDTH - 1]])
+                segs.append((m, c, off, {(x["n"], x["k"]) for x in sides.to_pylist()[0]}))
         n = 0
         for i, (m, c, off, sides) in enumerate(segs):
             both = sides & set().union(*(t for j, (k, _, _, t) in enumerate(segs) if j != i and k == m))
