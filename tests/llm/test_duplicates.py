@@ -254,3 +254,40 @@ def test_op4_minima_are_those_of_the_runs():
     got = {m for b in suffixes._minima([batch]) for m in b.column(0).to_pylist()}
     assert got == set(suffixes.runs([(t or "").encode() for t in texts])[3].tolist()) and got
     assert not any(b.num_rows for b in suffixes._minima([batch.slice(0, 3)]))
+
+
+def test_op4_sampled_suffixes_tell_windows_apart():
+    """One row of 48 bytes for each sampled suffix; with the characters beside it, it is equal exactly for equal windows."""
+    S, rng = suffixes, random.Random(8)
+    core = bytes(rng.choices(b"abcdefghijklm", k=60))
+    raws = [core[:k] + bytes(rng.choices(b"xyz", k=1)) + core[k + 1:] for k in (3, 3, 28, 51)] + [core]
+    off = [int(S._sides([r])[1][0]) for r in raws]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(range(5)), pa.array(raws, pa.binary()), pa.array(off, pa.int32()),
+                                        pa.array([(1 << len(S.PARTS)) - 1] * 5, pa.int32())], ["sid", "doc", "raw", "off", "parts"])
+    keys, seen = {}, set()
+    for out in S._sampled([batch]):
+        for row in out.to_pylist():
+            i, words = row["at"] & 63, tuple(row[w] for w in S.WORDS)
+            assert (row["sid"], i) not in seen and (i - off[row["sid"]]) % 3
+            seen.add((row["sid"], i))
+            keys |= {(row["sid"], i - k): (k, (row["at"] >> 6 + 17 * k) & 131071, words) for k in (0, 1) if (row["at"] >> 6 + 17 * k) & 131071}
+    windows = {(s, i): r[i:i + S.WIDTH] for s, r in enumerate(raws) for i in range(len(r) - S.WIDTH + 1)}
+    assert keys.keys() == windows.keys()
+    for a in windows:
+        for b in windows:
+            if (a[1] - off[a[0]]) % 3 == (b[1] - off[b[0]]) % 3:
+                assert (keys[a] == keys[b]) == (windows[a] == windows[b])
+
+
+def test_op4_runs_are_grouped_without_sorting(docs_of, monkeypatch):
+    """The smallest document of every run is found by hashing, not by sorting all runs."""
+    plans, table = [], suffixes.Scratch.table
+
+    def kept(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df)
+
+    monkeypatch.setattr(suffixes.Scratch, "table", kept)
+    shared = "the quick brown fox jumps over the lazy dog and runs away from it"
+    suffixes.digest(docs_of([(1, "a " + shared), (2, "b " + shared), (3, shared + " c")])).count()
+    assert len([p for p in plans if "min_by" in p and "SortAggregate" not in p]) == 1
