@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import materialise
 from riskloom.llm.tokens import encoder, text_chunks
 
+ENCODED_CHARS = 500_000  # of text encoded at once: a fourth of the usual, for the pipeline's workers
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -112,7 +113,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
 
     def encode(batches):
         enc = encoder(path)
-        for part, texts in text_chunks(batches):
+        for part, texts in text_chunks(batches, limit=ENCODED_CHARS):
             ids, off = enc.encode(texts)
             rows = []
             for d, a, b in zip(part.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist()):

@@ -1,7 +1,9 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import html, language
+from riskloom.llm import html, language, packing
 from riskloom.llm.common import read
 
 SF_SMALL = "/root/testdata/sf0.001"
@@ -102,3 +104,25 @@ def test_pipeline_stages(spark, docs_of, scratch):
             if k == 3 and docs.count():
                 kept = {r["doc_id"]: r["text"] for r in docs.collect()}
                 assert set(kept) == {3, 5} and "@" not in kept[5] and kept[3] == text
+
+
+def test_pipeline_encodes_little_text_at_once(monkeypatch):
+    """Packing's workers hold the arrays of half a million characters, however large the batch is."""
+    sizes = []
+
+    class Encoder:
+        def encode(self, texts):
+            sizes.append(sum(map(len, texts)))
+            return np.zeros(len(texts), np.uint32), np.arange(len(texts) + 1)
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, fn, schema):
+            texts = ["x" * 90_000] * 30 + [None, "", "y" * 700_000]
+            return list(fn([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])]))
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Encoder())
+    out = packing.token_pieces(Docs(), "", 4096, 1)
+    assert sum(sizes) == 3_400_000 and sorted(sizes)[-2] <= 500_000 and sum(b.num_rows for b in out)
