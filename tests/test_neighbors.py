@@ -141,3 +141,39 @@ def test_a_part_gives_only_neighbours_within_the_bound():
     rings.set_parts([(0, 0, 900, 0.0, 5.0)], 400)
     sent = pa.Table.from_batches(list(NB._sent(batch, rings, 4))).to_pydict()
     assert {(q, r) for q, r in zip(sent["_qid"], sent["r"])} == {(1, 0.5), (2, 9.0)}
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_knn_of_rows_without_clusters_is_exact_and_copies_few_rows(spark, monkeypatch, few):
+    """Every query can reach most parts: with few copies allowed, what is stored stays in proportion to the rows."""
+    rng = np.random.default_rng(4)
+    x = [(i, [float(a) for a in v]) for i, v in enumerate(rng.integers(-9, 10, (500, 12)))]
+    x += [(900 + i, [v * 2.0**66 for v in x[i][1]]) for i in range(30)]
+    df = spark.createDataFrame(x, "vec_id long, features array<double>")
+    stored, cut = [], NB.cut_lineage
+
+    def counted(rows):
+        stored.append((rows := cut(rows)).count())
+        return rows
+
+    monkeypatch.setattr(NB, "cut_lineage", counted)
+    monkeypatch.setattr(NB, "FEW", few)
+    assert _ranks(NB.knn(df, df, 4, block=16)) == _brute(x, x, 4, True)
+    assert few or sum(stored) < 8 * len(x)
+
+
+def test_a_tree_files_every_row_in_a_leaf_of_its_box():
+    rng = np.random.default_rng(8)
+    sample = np.column_stack([rng.integers(0, 2, 300) * 9.0, rng.normal(size=300), np.full(300, 3.0)])
+    tree = NB._Tree(sample, 20)
+    cell = tree.file(sample)
+    assert len(np.unique(cell)) == 20 and np.bincount(cell).max() <= 40
+    tree.set_parts([(c, 0, int(n), 0.0, 0.0) for c, n in enumerate(np.bincount(cell))], 7)
+    part = tree.part(np.arange(300), cell, np.zeros_like(cell))
+    tree.set_boxes([(int(p), sample[part == p].min(axis=0).tolist(), sample[part == p].max(axis=0).tolist()) for p in np.unique(part)])
+    q = rng.normal(scale=5.0, size=(50, 3))
+    d = np.sqrt(((q[:, None, :] - sample[None]) ** 2).sum(axis=2))
+    yes = tree.reach(tree.distances(q), d.min(axis=1))
+    assert yes[np.arange(50), cell[d.argmin(axis=1)]].all() and yes.mean() < 0.8
+    one = NB._Tree(np.ones((9, 2)), 4)
+    assert one.file(np.zeros((3, 2))).tolist() == [0, 0, 0]
