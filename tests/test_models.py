@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskloom.operators import evaluation as EV
@@ -110,3 +111,13 @@ def test_a_forest_with_kept_nodes_has_the_same_trees(spark, monkeypatch):
     walked = M.fit_rf(train, trees=5, depth=6)
     assert kept.toDebugString == walked.toDebugString.replace(walked.uid, kept.uid)
     assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+
+
+def test_the_svm_stores_no_waves(spark, monkeypatch):
+    train = spark.createDataFrame([(i, *[float((i * (j + 3)) % 17) for j in range(len(FEATURE_COLUMNS))], i % 3 % 2, 1.0) for i in range(200)],
+                                  f"txn_id long, {', '.join(f'{c} double' for c in FEATURE_COLUMNS)}, label int, weight double")
+    stored = []
+    monkeypatch.setattr(M, "cut_lineage", lambda df: stored.append(df) or df)
+    svm = M.RffSvm(dims=16).fit(train)
+    assert [df.columns for df in stored] == [["label", "weight", "features"]] and svm.predict(train).count() == 200
+    assert stored[0].select(F.max(F.size(vector_to_array("features")))).first()[0] == 1
